@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from evispark.llm.langid import op9_language_id
 from evispark.llm.quality_rules import op7_quality_rules
 
 QUERIES = {
     "op7_quality_rules": op7_quality_rules,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLE: dict[str, str] = {}
