@@ -5,9 +5,11 @@ from __future__ import annotations
 from evispark.llm.langid import op9_language_id
 from evispark.llm.quality_qda import op1_quality_classifier
 from evispark.llm.quality_rules import op7_quality_rules
+from evispark.llm.simhash import op6_simhash
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op9_language_id": op9_language_id,
 }
