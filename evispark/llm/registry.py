@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from evispark.llm.bpe import op3_bpe
 from evispark.llm.langid import op9_language_id
 from evispark.llm.quality_qda import op1_quality_classifier
 from evispark.llm.quality_rules import op7_quality_rules
@@ -9,6 +10,7 @@ from evispark.llm.simhash import op6_simhash
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op3_bpe": op3_bpe,
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op9_language_id": op9_language_id,
