@@ -7,9 +7,11 @@ from evispark.llm.langid import op9_language_id
 from evispark.llm.quality_qda import op1_quality_classifier
 from evispark.llm.quality_rules import op7_quality_rules
 from evispark.llm.simhash import op6_simhash
+from evispark.llm.sstable import op2_sstable
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_sstable": op2_sstable,
     "op3_bpe": op3_bpe,
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
