@@ -6,6 +6,7 @@ from evispark.llm.bpe import op3_bpe
 from evispark.llm.langid import op9_language_id
 from evispark.llm.quality_qda import op1_quality_classifier
 from evispark.llm.quality_rules import op7_quality_rules
+from evispark.llm.secret_scan import op8_secret_scan
 from evispark.llm.simhash import op6_simhash
 from evispark.llm.sstable import op2_sstable
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
+    "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,
 }
 
