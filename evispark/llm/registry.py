@@ -10,6 +10,7 @@ from evispark.llm.quality_rules import op7_quality_rules
 from evispark.llm.secret_scan import op8_secret_scan
 from evispark.llm.simhash import op6_simhash
 from evispark.llm.sstable import op2_sstable
+from evispark.llm.token_counts import op10_token_counts
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE: dict[str, str] = {}
