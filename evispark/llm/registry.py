@@ -5,6 +5,7 @@ from __future__ import annotations
 from evispark.llm.bpe import op3_bpe
 from evispark.llm.decontaminate import op5_decontaminate
 from evispark.llm.langid import op9_language_id
+from evispark.llm.licenses import op4_license_scan
 from evispark.llm.quality_qda import op1_quality_classifier
 from evispark.llm.quality_rules import op7_quality_rules
 from evispark.llm.secret_scan import op8_secret_scan
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_sstable": op2_sstable,
     "op3_bpe": op3_bpe,
+    "op4_license_scan": op4_license_scan,
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
