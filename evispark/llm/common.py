@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,9 +49,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes of text each, one row at least."""
-    sizes = np.asarray(batch.column(column).cast(pa.large_string()).is_valid(), dtype=np.int64)
-    lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(lengths + sizes) // limit
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    group = np.cumsum(lengths + 1) // limit
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
@@ -68,9 +68,11 @@ def map_text(
 
     ``make`` runs once a task and returns a function from a list of texts (None for
     null) to a dict of column values by the names in ``fields``. ``keep`` lists the
-    columns carried over; all others are pruned before Python sees them.
+    columns carried over; all others are pruned before Python sees them. A kept column
+    that has the name of a computed one gives way to it.
     """
-    keep = ["doc_id"] if keep is None else keep
+    new = {f.name.lower() for f in fields}
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c.lower() not in new]
     carried = [c for c in keep if c != text_col]
     narrow = docs.select(*(F.col(f"`{c}`") for c in carried), F.col(f"`{text_col}`").cast("string").alias("__text"))
     text_type = [T.StructField(text_col, T.StringType())] if text_col in keep else []
@@ -91,6 +93,20 @@ def map_text(
     return narrow.mapInArrow(run, schema)
 
 
+def filter_text(docs: DataFrame, make: Callable[[], Callable[[list], list]], text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, for whose text the function from ``make`` gives True."""
+
+    def run(batches):
+        fn = make()
+        for batch in batches:
+            for piece in pieces(batch, text_col):
+                kept = piece.filter(pa.array(fn(piece.column(text_col).to_pylist()), pa.bool_()))
+                if kept.num_rows:
+                    yield kept
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(column: str, parts: int) -> F.Column:
     """crc32 of a column's text, modulo ``parts``; null where the column is null."""
     return F.crc32(F.col(column).cast("string")) % parts

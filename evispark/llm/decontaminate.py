@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evispark.llm.common import map_text, read_table
+from evispark.llm.common import filter_text, map_text, read_table
 
 WORD = re.compile(r"[^\W_]+")
 SAMPLED = 3  # steps sampled of each walk
@@ -273,34 +273,46 @@ def find_leaks(
     text_col: str = "text",
 ) -> DataFrame:
     """The kept columns and ``leaks``: an array of (item_id, edits, item_words, start, end), empty for clean documents."""
-    keep = ["doc_id"] if keep is None else keep
-    spark = docs.sparkSession
-    clean = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
-    blocks = max(1, -(-clean.count() // block_items))
-    out, repeats = docs, None
-    for b in range(blocks):
-        mine = clean.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text")
-        rows = [(r[0], r[1]) for r in mine.toLocalIterator()]  # block_items expected
-        repeats = repeats or choose_repeats(rows[:1000], share, target_recall)
-        shared = spark.sparkContext.broadcast((rows, share, repeats))
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c.lower() != "leaks"]
+    out = docs
+    for b, block in enumerate(_blocks(items, share, target_recall, block_items)):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
         name = "leaks" if b == 0 else "__more"
 
         def make(shared=shared, name=name):
             index = LeakIndex(*shared.value)
             return lambda texts: {name: index.leaks(texts)}
 
-        carried = keep if b == 0 else [*keep, "leaks"]
-        if text_col not in carried and b < blocks - 1:
-            carried = [*carried, text_col]
+        carried = list(dict.fromkeys([*keep, text_col])) + ["leaks"] * bool(b)
         out = map_text(out, make, [T.StructField(name, LEAKS)], carried, text_col)
         if b:
             out = out.withColumn("leaks", F.concat("leaks", "__more")).drop("__more")
     return out.select(*keep, "leaks")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that leak no item, with their columns."""
-    return find_leaks(docs, items, docs.columns, **options).filter(F.size("leaks") == 0).drop("leaks")
+def _blocks(items: DataFrame, share: float, target_recall: float, block_items: int):
+    """Blocks of about ``block_items`` items, with what LeakIndex needs, one at a time."""
+    clean = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
+    blocks, repeats = max(1, -(-clean.count() // block_items)), None
+    for b in range(blocks):
+        mine = clean.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text")
+        rows = [(r[0], r[1]) for r in mine.toLocalIterator()]
+        repeats = repeats or choose_repeats(rows[:1000], share, target_recall)
+        yield rows, share, repeats
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, share: float = 0.2, target_recall: float = 0.99, block_items: int = 20_000, text_col: str = "text") -> DataFrame:
+    """The documents that leak no item, with all their columns."""
+    out = docs
+    for block in _blocks(items, share, target_recall, block_items):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def make(shared=shared):
+            index = LeakIndex(*shared.value)
+            return lambda texts: [not found for found in index.leaks(texts)]
+
+        out = filter_text(out, make, text_col)
+    return out
 
 
 def op5_decontaminate(spark, sf_dir) -> DataFrame:

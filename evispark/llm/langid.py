@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evispark.llm.common import fold, hash_share, map_text, read_table
+from evispark.llm.common import filter_text, fold, hash_share, map_text, read_table
 
 WORD = re.compile(r"[^\W\d_]+")
 START, END = "\x02", "\x03"
@@ -259,12 +259,22 @@ def _calibrate(models: LanguageModels, sample: DataFrame, spark) -> None:
         models.mean[i], models.reach[i] = r["mean"], max(r["reach"], r["widest"], 1.0)
 
 
+def verdicts(models: LanguageModels, scorer: Scorer, texts: list[str | None], slack: float):
+    """Best language's place, posterior-like score, its bits a letter, whether the text has letters, and whether it is rejected."""
+    bits, letters = scorer.entropies(texts)
+    best = bits.argmin(axis=1)
+    lowest = bits[np.arange(len(texts)), best]
+    weight = np.exp2(-(bits - lowest[:, None]) * np.minimum(letters, 40)[:, None] / 4)
+    limit = models.mean[best] + slack * models.reach[best] / np.sqrt(np.clip(letters, 1, 100))
+    some = letters > 0
+    return best, np.where(some, 1 / weight.sum(axis=1), 0.0), lowest, some, ~some | (lowest > limit)
+
+
 def identify(docs: DataFrame, models: LanguageModels | None, keep: list[str] | None = None, text_col: str = "text", slack: float = 1.5) -> DataFrame:
     """The kept columns, ``lang_pred``, ``score`` (0 to 1), ``bits`` (cross-entropy a letter) and ``rejected``.
 
     A text is rejected where its bits exceed the calibrated mean by ``slack`` times the
-    reach seen in calibration, divided by the root of its length but at least by the
-    reach itself over the root of 100 letters.
+    reach seen in calibration, divided by the root of its length in letters (100 at most).
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
@@ -276,17 +286,12 @@ def identify(docs: DataFrame, models: LanguageModels | None, keep: list[str] | N
             n = len(texts)
             if scorer is None:
                 return {"lang_pred": [UNDETERMINED] * n, "score": [0.0] * n, "bits": [None] * n, "rejected": [True] * n}
-            bits, letters = scorer.entropies(texts)
-            best = bits.argmin(axis=1)
-            lowest = bits[np.arange(n), best]
-            weight = np.exp2(-(bits - lowest[:, None]) * np.minimum(letters, 40)[:, None] / 4)
-            limit = models.mean[best] + slack * models.reach[best] / np.sqrt(np.clip(letters, 1, 100))
-            some = letters > 0
+            best, score, lowest, some, rejected = verdicts(models, scorer, texts, slack)
             return {
                 "lang_pred": [models.languages[b] if s else UNDETERMINED for b, s in zip(best, some)],
-                "score": np.where(some, 1 / weight.sum(axis=1), 0.0),
+                "score": score,
                 "bits": [float(x) if s else None for x, s in zip(lowest, some)],
-                "rejected": ~some | (lowest > limit),
+                "rejected": rejected,
             }
 
         return run
@@ -295,6 +300,18 @@ def identify(docs: DataFrame, models: LanguageModels | None, keep: list[str] | N
     return map_text(docs, make, fields, keep, text_col)
 
 
+def keep_identified(docs: DataFrame, models: LanguageModels | None, slack: float = 1.5, text_col: str = "text") -> DataFrame:
+    """The rows, with their columns, whose text is not rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+
+    def make():
+        models = shared.value
+        scorer = Scorer(models) if models else None
+        return lambda texts: ~verdicts(models, scorer, texts, slack)[4] if scorer else [False] * len(texts)
+
+    return filter_text(docs, make, text_col)
+
+
 def op9_language_id(spark, sf_dir) -> DataFrame:
     """The predicted language of every document, learned from the three folds of four that may be learned from."""
     docs = read_table(spark, sf_dir, "documents")

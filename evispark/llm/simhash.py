@@ -223,6 +223,28 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None, id_col: str
     return rows.join(by_fp, "fp")
 
 
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: that of the least identifier.
+
+    Texts stay where they are: identifiers that occur once are kept by a semi-join with
+    the components' least identifiers. Only rows whose identifier is null or repeated are
+    compared by their content.
+    """
+    rows = stored(near_duplicates(docs.select(id_col, text_col), [id_col], id_col, text_col), "near-duplicates")
+    repeated = rows.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(id_col)
+    winners = rows.filter(F.col(id_col) == F.col("component_id")).select(id_col)
+    single = docs.join(winners.join(repeated, id_col, "left_anti"), id_col, "left_semi")
+    odd = docs.filter(F.col(id_col).isNull()).unionByName(docs.join(repeated, id_col, "left_semi").select(docs.columns))
+    component = rows.select(F.col("fp").alias("__fp"), F.col("component_id").alias("__component")).distinct()
+    marked = fingerprints(odd.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("text")), ["__row"])
+    marked = marked.withColumnRenamed("fp", "__fp").join(component, "__fp")
+    # A component without any identifier is named by its fingerprint.
+    due = marked.filter(F.col(f"__row.{id_col}").eqNullSafe(F.col("__component")))
+    group = [F.col("__component"), F.when(F.col("__component").isNull(), F.col("__fp"))]
+    one = due.groupBy(*group).agg(F.min(F.struct(F.xxhash64(f"__row.{text_col}").alias("h"), "__row")).alias("x")).select("x.__row.*")
+    return single.select(docs.columns).unionByName(one.select(docs.columns))
+
+
 def op6_simhash(spark, sf_dir) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
