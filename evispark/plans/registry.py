@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from evispark.plans import evidence, graph, hierarchy, search, text
+from evispark.plans import evidence, graph, hierarchy, search, services, text
 
-MODULES = (evidence, graph, hierarchy, search, text)
+MODULES = (evidence, graph, hierarchy, search, services, text)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
