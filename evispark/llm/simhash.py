@@ -211,15 +211,16 @@ def _compare_cells(radius: int):
 
 
 def near_duplicates(docs: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The kept columns, ``fp``, and ``component_id``: the least identifier reachable over links."""
+    """The kept columns, ``fp``, ``component`` (its least fingerprint), and ``component_id``: the least identifier reachable over links."""
     keep = [id_col] if keep is None else keep
     rows = stored(fingerprints(docs, keep, text_col), "fingerprints")
     distinct = stored(rows.groupBy("fp").agg(F.min(id_col).alias("least_id")), "distinct-fingerprints")
     grouped = connected_components(near_links(distinct))
     member = distinct.join(grouped.withColumnRenamed("node", "fp"), "fp")
     least = member.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    linked = member.join(least, "component").select("fp", "component_id")
-    by_fp = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
+    linked = member.join(least, "component").select("fp", "component", F.col("component_id").alias("linked_id"))
+    own = F.when(F.col("component").isNull(), F.col("least_id")).otherwise(F.col("linked_id"))
+    by_fp = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), own.alias("component_id"))
     return rows.join(by_fp, "fp")
 
 
@@ -235,13 +236,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     winners = rows.filter(F.col(id_col) == F.col("component_id")).select(id_col)
     single = docs.join(winners.join(repeated, id_col, "left_anti"), id_col, "left_semi")
     odd = docs.filter(F.col(id_col).isNull()).unionByName(docs.join(repeated, id_col, "left_semi").select(docs.columns))
-    component = rows.select(F.col("fp").alias("__fp"), F.col("component_id").alias("__component")).distinct()
+    of = rows.select(F.col("fp").alias("__fp"), F.col("component").alias("__component"), F.col("component_id").alias("__least")).distinct()
     marked = fingerprints(odd.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("text")), ["__row"])
-    marked = marked.withColumnRenamed("fp", "__fp").join(component, "__fp")
-    # A component without any identifier is named by its fingerprint.
-    due = marked.filter(F.col(f"__row.{id_col}").eqNullSafe(F.col("__component")))
-    group = [F.col("__component"), F.when(F.col("__component").isNull(), F.col("__fp"))]
-    one = due.groupBy(*group).agg(F.min(F.struct(F.xxhash64(f"__row.{text_col}").alias("h"), "__row")).alias("x")).select("x.__row.*")
+    due = marked.withColumnRenamed("fp", "__fp").join(of, "__fp").filter(F.col(f"__row.{id_col}").eqNullSafe(F.col("__least")))
+    one = due.groupBy("__component").agg(F.min(F.struct(F.xxhash64(f"__row.{text_col}").alias("h"), "__row")).alias("x")).select("x.__row.*")
     return single.select(docs.columns).unionByName(one.select(docs.columns))
 
 
