@@ -7,7 +7,7 @@ a secret when the mean log-likelihood ratio a character passes a threshold.
 
 The models learn from labelled samples, a table of (token, label). ``labelled_tokens``
 makes one from a corpus: values of base spans and seeded random strings are label 1,
-words without a digit label 0, from at most ``max_docs`` documents by hash. Transition counts are summed by
+words without a digit and seeded identifiers label 0, from at most ``max_docs`` documents by hash. Transition counts are summed by
 Spark; the models are two square tables.
 
 Defined cases: null and empty texts have no spans; overlapping spans of different kinds
@@ -74,13 +74,18 @@ def transitions(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return before * STATES + codes, np.repeat(np.arange(len(tokens)), lengths)
 
 
-def fit_ratio(random_counts: np.ndarray, ordinary_counts: np.ndarray, soft: float = 0.5) -> np.ndarray:
-    """Log-likelihood ratio of each transition: random strings over ordinary identifiers."""
+def fit_ratio(random_counts: np.ndarray, ordinary_counts: np.ndarray, soft: float = 0.5, weight: float = 5.0) -> np.ndarray:
+    """Log-likelihood ratio of each transition: random strings over ordinary identifiers.
+
+    A transition's probability is interpolated with the character's own, which counts as
+    ``weight`` observations, so contexts that a label never showed fall back on it.
+    """
 
     def log_model(flat):
-        table = flat.reshape(STATES, STATES).astype(float)
-        table[:, 1:] += soft
-        return np.log(np.maximum(table[:, 1:], 1e-300) / table[:, 1:].sum(axis=1, keepdims=True))
+        table = flat.reshape(STATES, STATES)[:, 1:].astype(float)
+        own = table.sum(axis=0) + soft
+        own /= own.sum()
+        return np.log((table + weight * own) / (table.sum(axis=1, keepdims=True) + weight))
 
     ratio = np.zeros((STATES, STATES))
     ratio[:, 1:] = log_model(random_counts) - log_model(ordinary_counts)
@@ -102,8 +107,27 @@ def random_strings(n: int = 2000, seed: int = 7) -> list[str]:
     return ["".join(rng.choices(sets[i % 4], k=rng.randint(20, 64))) for i in range(n)]
 
 
+# Words that identifiers are made of.
+IDENTIFIER_WORDS = (
+    "get set add remove find make build read write load store parse format check test run start stop open close send receive update delete create "
+    "user name file path list item index count value key type class element document table column row table query result config option default "
+    "internal external global national configuration management average long identifier very support server client request response message error"
+).split()
+
+
+def ordinary_identifiers(n: int = 4000, seed: int = 7) -> list[str]:
+    """Seeded identifiers of one to five words in camel, snake, kebab and upper case."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        words = rng.choices(IDENTIFIER_WORDS, k=rng.randint(1, 5))
+        styles = (words[0] + "".join(w.title() for w in words[1:]), "_".join(words), "-".join(words), "_".join(words).upper(), "".join(words))
+        out.append(styles[i % 5])
+    return out
+
+
 def labelled_tokens(docs: DataFrame, max_docs: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(token, label) from about ``max_docs`` documents at most, chosen by hash of the identifier, and the seeded strings."""
+    """(token, label) from about ``max_docs`` documents at most, chosen by hash of the identifier, and the seeded samples."""
     total = docs.count()
     drawn = docs if total <= max_docs else docs.filter(hash_share(id_col, "secrets") < max_docs / total)
 
@@ -122,7 +146,7 @@ def labelled_tokens(docs: DataFrame, max_docs: int = 20_000, id_col: str = "doc_
 
     kind = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("label", T.IntegerType())]))
     found = map_text(drawn, make, [T.StructField("found", kind)], [id_col], text_col).select(F.explode("found").alias("x")).select("x.token", "x.label").distinct()
-    seeded = docs.sparkSession.createDataFrame([(t, 1) for t in random_strings()], "token string, label int")
+    seeded = docs.sparkSession.createDataFrame([(t, 1) for t in random_strings()] + [(t, 0) for t in ordinary_identifiers()], "token string, label int")
     return found.filter("length(token) > 0").unionByName(seeded)
 
 
@@ -142,8 +166,7 @@ def train(labelled: DataFrame) -> np.ndarray:
     counts = np.zeros((2, STATES * STATES))
     for r in added:
         counts[r["label"], r["move"]] = r["n"]
-    # every ordinary token may be letters only; equal weight keeps the two tables comparable
-    return fit_ratio(counts[1] / max(counts[1].sum(), 1) * 1e5, counts[0] / max(counts[0].sum(), 1) * 1e5)
+    return fit_ratio(counts[1], counts[0])
 
 
 def find_spans(text: str | None, ratio: np.ndarray, threshold: float) -> tuple[list, list]:
@@ -160,7 +183,7 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan(docs: DataFrame, ratio: np.ndarray, keep: list[str] | None = None, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, ratio: np.ndarray, keep: list[str] | None = None, threshold: float = 1.0, text_col: str = "text") -> DataFrame:
     """The kept columns and ``found``: (kind, start, end) of every span, and the base digest columns."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     kind = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -182,7 +205,7 @@ def scan(docs: DataFrame, ratio: np.ndarray, keep: list[str] | None = None, thre
     return map_text(docs, make, fields, keep, text_col)
 
 
-def redact(docs: DataFrame, ratio: np.ndarray, threshold: float = 0.5, mark: str = "<SECRET>", text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, ratio: np.ndarray, threshold: float = 1.0, mark: str = "<SECRET>", text_col: str = "text") -> DataFrame:
     """The same rows and columns with each run of overlapping spans replaced by ``mark``; null stays null."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
