@@ -80,7 +80,7 @@ def redirect(edges: DataFrame, mapping: DataFrame, columns: Sequence[str]) -> Da
 
 def garbage(nodes: DataFrame, degree: DataFrame, name: str, pattern: str, most: int = 10) -> DataFrame:
     """Nodes whose name fits a pattern and that have few edges; degrees are counted before the join."""
-    return nodes.filter(F.col(name).rlike(pattern)).join(degree, name, "left").filter(F.coalesce("degree", F.lit(0)) <= most).select(name)
+    return nodes.filter(F.col(name).rlike(pattern)).select(name).join(degree.select(name, "degree"), name, "left").filter(F.coalesce("degree", F.lit(0)) <= most).select(name)
 
 
 def infer_parents(nodes: DataFrame, concepts: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def pooled(facts: DataFrame, value: str, keys: tuple[str, ...] = PAIR) -> DataFr
     """
     w = weight("evidence_level", SYNTHESIS, 0.1)
     x = facts.withColumn("w", w).withColumn("x", F.col(value).cast("double"))
-    means = x.groupBy(*keys).agg(F.sum("w").alias("sw"), (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mean"), F.count("*").alias("n"))
+    means = x.groupBy(*keys).agg(F.sum("w").alias("sw"), F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")).alias("mean"), F.count("*").alias("n"))
     spread = x.join(means, [*keys]).groupBy(*keys, "mean", "n", "sw").agg(F.sum(F.col("w") * F.pow(F.col("x") - F.col("mean"), 2)).alias("ss"))
     se = F.sqrt(F.col("ss") / F.col("sw")) / F.sqrt("n")
     return spread.select(
@@ -29,7 +29,7 @@ def pooled(facts: DataFrame, value: str, keys: tuple[str, ...] = PAIR) -> DataFr
 
 def heterogeneity(n: Column, mean: Column, sd: Column) -> Column:
     """low, moderate or high by the coefficient of variation in percent."""
-    cv = F.when(mean == 0, 0.0).otherwise(sd / F.abs(mean) * 100)
+    cv = F.when(mean == 0, 0.0).otherwise(F.try_divide(sd, F.abs(mean)) * 100)
     return F.when(n < 2, "low").when(cv < 10, "low").when(cv < 30, "moderate").otherwise("high")
 
 
@@ -77,7 +77,7 @@ def i_squared(effects: DataFrame, effect: str, variance: str, keys: tuple[str, .
     """Inverse-variance I-squared (0 to 100) by key; a variance of zero or less has no weight; fewer than two studies give 0."""
     w = F.when(F.col(variance) > 0, 1 / F.col(variance)).otherwise(0.0)
     x = effects.select(*keys, F.col(effect).cast("double").alias("x"), w.alias("w"))
-    means = x.groupBy(*keys).agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"), F.count("*").alias("n"))
+    means = x.groupBy(*keys).agg(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")).alias("m"), F.count("*").alias("n"))
     q = x.join(means, [*keys]).groupBy(*keys, "n").agg(F.sum(F.col("w") * F.pow(F.col("x") - F.col("m"), 2)).alias("q"))
     share = F.when((F.col("n") < 2) | F.col("q").isNull() | (F.col("q") <= 0), 0.0).otherwise(F.greatest(F.lit(0.0), (F.col("q") - (F.col("n") - 1)) / F.col("q") * 100))
     return q.select(*keys, "n", F.round(share, 4).alias("i_squared"))

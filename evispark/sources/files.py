@@ -7,9 +7,8 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-PAPER_RECORD = T.StructType.fromDDL(
+PAPER_RECORD = (
     "paper_id string, title string, authors array<string>, year int, journal string, doi string, pmid string, abstract string, sub_domain string, "
     "study_design string, evidence_level string, sample_size int, follow_up_months int, "
     "interventions array<string>, pathologies array<string>, anatomy_levels array<string>, "
@@ -25,8 +24,7 @@ class TextSource(Protocol):
 
 def read_papers(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Structured papers from JSON lines (or whole JSON files); broken records are kept apart in ``_corrupt``."""
-    schema = T.StructType([*PAPER_RECORD.fields, T.StructField("_corrupt", T.StringType())])
-    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", multiline)
+    reader = spark.read.schema(PAPER_RECORD + ", _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", multiline)
     return reader.json(path)
 
 
