@@ -94,14 +94,15 @@ def similarity_join(sets: DataFrame, key: str, element: str, least: float) -> Da
     size = F.size("items")
     # a hair's breadth of slack: the product may round to just above a whole number
     prefix = F.slice("items", F.lit(1), size - F.ceil(F.lit(least) * size - 1e-9).cast("int") + 1)
-    front = classes.select("id", F.size("items").alias("n"), F.explode(prefix).alias("e"))
+    # the sets travel with their prefixes, so that a pair is verified where it is met and few pairs are shuffled
+    front = classes.select("id", "n_members", "items", F.size("items").alias("n"), F.explode(prefix).alias("e"))
     a, b = front.alias("a"), front.alias("b")
-    pairs = a.join(b, (F.col("a.e") == F.col("b.e")) & (F.col("a.id") < F.col("b.id")) & (F.col("b.n") >= least * F.col("a.n")) & (F.col("a.n") >= least * F.col("b.n")))
-    pairs = pairs.select(F.col("a.id").alias("first"), F.col("b.id").alias("second")).distinct()
-    left = classes.select(F.col("id").alias("first"), F.col("items").alias("x"), F.col("n_members").alias("n_first"))
-    right = classes.select(F.col("id").alias("second"), F.col("items").alias("y"), F.col("n_members").alias("n_second"))
-    scored = pairs.join(left, "first").join(right, "second").withColumn("similarity", jaccard(F.col("x"), F.col("y")))
-    return scored.filter(F.col("similarity") >= least).select("first", "second", "n_first", "n_second", F.round("similarity", 6).alias("similarity"))
+    fits = (F.col("a.id") < F.col("b.id")) & (F.col("b.n") >= least * F.col("a.n")) & (F.col("a.n") >= least * F.col("b.n"))
+    met = a.join(b, (F.col("a.e") == F.col("b.e")) & fits)
+    common = F.size(F.array_intersect("a.items", "b.items"))
+    similarity = common / (F.col("a.n") + F.col("b.n") - common).cast("double")
+    found = met.select(F.col("a.id").alias("first"), F.col("b.id").alias("second"), F.col("a.n_members").alias("n_first"), F.col("b.n_members").alias("n_second"), similarity.alias("similarity"))
+    return found.filter(F.col("similarity") >= least).distinct().withColumn("similarity", F.round("similarity", 6))
 
 
 def nearest_cached(entries: DataFrame, probes: DataFrame, least: float) -> DataFrame:
