@@ -78,30 +78,38 @@ def weighted_overlap(factors: dict[str, float]) -> Column:
     return out
 
 
-def similarity_join(sets: DataFrame, key: str, element: str, least: float) -> DataFrame:
+def similarity_join(sets: DataFrame, key: str, element: str, least: float, most_pairs: int = 64) -> DataFrame:
     """Pairs of keys whose element sets have a Jaccard similarity of ``least`` or more, by prefix filtering.
 
-    ``sets`` has a row for each (key, element). Elements are ordered from rare to common;
-    two similar sets must share one of the first |s| - ceil(least * |s|) + 1, so only
-    those prefixes are joined, which keeps very common elements out of the join. Keys with
-    equal sets are joined once: as one class, whose members come back at the end.
+    ``sets`` has a row for each (key, element). Elements are ordered from rare to common.
+    A set of n elements shares t = ceil(least * n) of them at least with any similar one,
+    so two similar sets have one of their first n - t + 1 elements in common, and, if both
+    need two, two of their first n - t + 2. Sets of up to ``most_pairs`` elements meet on
+    such twos, which are much rarer than single elements; very small and large sets, and
+    those that may be similar to them, meet on ones. Keys with equal sets are joined once:
+    as one class, with the number of its members.
     """
     rows = sets.select(key, element).distinct()
     frequency = rows.groupBy(element).agg(F.count("*").alias("__df"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("__df", F.col(element)))), lambda x: x[element])
     whole = rows.join(frequency, element).groupBy(key).agg(ordered.alias("items"))
-    classes = whole.groupBy("items").agg(F.min(key).alias("id"), F.count("*").alias("n_members"))
-    size = F.size("items")
+    classes = whole.groupBy("items").agg(F.min(key).alias("id"), F.count("*").alias("n_members")).withColumn("n", F.size("items"))
     # a hair's breadth of slack: the product may round to just above a whole number
-    prefix = F.slice("items", F.lit(1), size - F.ceil(F.lit(least) * size - 1e-9).cast("int") + 1)
-    # the sets travel with their prefixes, so that a pair is verified where it is met and few pairs are shuffled
-    front = classes.select("id", "n_members", "items", F.size("items").alias("n"), F.explode(prefix).alias("e"))
-    a, b = front.alias("a"), front.alias("b")
+    needed = F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int")
+    front = lambda k: F.slice("items", F.lit(1), F.least(F.col("n"), F.col("n") - needed + k))
+    ones = F.transform(front(1), lambda x: x.cast("string"))
+    two = F.flatten(F.transform(front(2), lambda x, i: F.transform(F.slice(front(2), i + 2, F.size(front(2))), lambda y: F.concat_ws("|", x.cast("string"), y.cast("string")))))
+    small, large = F.col("n") <= 1 / least**2 + 1e-9, F.col("n") > most_pairs * least
+    none = F.array().cast("array<string>")
+    keys = F.concat(F.when(small | large, ones).otherwise(none), F.when((needed >= 2) & (F.col("n") <= most_pairs), two).otherwise(none))
+    # the sets travel with their keys, so that a pair is verified where it is met and few pairs are shuffled
+    met = classes.select("id", "n_members", "items", "n", F.explode(keys).alias("e"))
+    a, b = met.alias("a"), met.alias("b")
     fits = (F.col("a.id") < F.col("b.id")) & (F.col("b.n") >= least * F.col("a.n")) & (F.col("a.n") >= least * F.col("b.n"))
-    met = a.join(b, (F.col("a.e") == F.col("b.e")) & fits)
+    pairs = a.join(b, (F.col("a.e") == F.col("b.e")) & fits)
     common = F.size(F.array_intersect("a.items", "b.items"))
     similarity = common / (F.col("a.n") + F.col("b.n") - common).cast("double")
-    found = met.select(F.col("a.id").alias("first"), F.col("b.id").alias("second"), F.col("a.n_members").alias("n_first"), F.col("b.n_members").alias("n_second"), similarity.alias("similarity"))
+    found = pairs.select(F.col("a.id").alias("first"), F.col("b.id").alias("second"), F.col("a.n_members").alias("n_first"), F.col("b.n_members").alias("n_second"), similarity.alias("similarity"))
     return found.filter(F.col("similarity") >= least).distinct().withColumn("similarity", F.round("similarity", 6))
 
 
