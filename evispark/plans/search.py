@@ -113,7 +113,7 @@ def hybrid(s, d):
     near = se.nearest(_vectors(s, d), _queries(s, d), 30)
     labels = t.table(s, d, "labels").select(F.col("doc_id").alias("vec_id"), "quality")
     g = F.when(F.col("quality") == 1, 1.0).when(F.col("quality") == 0, 0.1).otherwise(0.5)
-    return near.join(labels, "vec_id", "left").select("query_id", "vec_id", F.round(0.4 * g + 0.6 * se.rescaled(F.col("similarity")), 6).alias("score"))
+    return near.join(labels, "vec_id", "left").select("query_id", "vec_id", F.round(0.4 * g + 0.6 * se.rescaled(F.col("similarity")), 9).alias("score"))
 
 
 def overlap(s, d):
@@ -212,7 +212,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, ki
     ),
     "vector_top_k": f"WITH {_near('WHERE vec_id <> query_id')} SELECT query_id, vec_id, similarity, place FROM near WHERE place <= 10",
     "vector_post_filter": f"WITH {_near('WHERE vec_id <> query_id')} SELECT query_id, count(*) AS n_kept, max(similarity) AS best FROM near WHERE place <= 30 AND (1 + similarity) / 2 >= {D(0.5)} AND label = query_label GROUP BY 1",
-    "vector_hybrid": f"WITH {_near()} SELECT query_id, vec_id, round({D(0.4)} * CASE quality WHEN 1 THEN {D(1)} WHEN 0 THEN {D(0.1)} ELSE {D(0.5)} END + {D(0.6)} * ((1 + similarity) / 2), 6) AS score FROM near LEFT JOIN labels ON doc_id = vec_id WHERE place <= 30",
+    "vector_hybrid": f"WITH {_near()} SELECT query_id, vec_id, round({D(0.4)} * CASE quality WHEN 1 THEN {D(1)} WHEN 0 THEN {D(0.1)} ELSE {D(0.5)} END + {D(0.6)} * ((1 + similarity) / 2), 9) AS score FROM near LEFT JOIN labels ON doc_id = vec_id WHERE place <= 30",
     "vector_overlap_at_k": f"""WITH {_near()}, h AS (SELECT query_id, vec_id, round({_cos.format("embedding[1:32]", "query[1:32]")}, 6) AS similarity FROM q, embeddings),
 hn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS place FROM h)
 SELECT a.query_id, round(count(b.vec_id) / {D(10)}, 6) AS overlap FROM near a LEFT JOIN hn b ON a.query_id = b.query_id AND a.vec_id = b.vec_id AND b.place <= 10 WHERE a.place <= 10 GROUP BY 1""",
