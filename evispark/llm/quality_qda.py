@@ -8,8 +8,8 @@ The score is the logistic of the difference of log densities and log priors, wit
 Mahalanobis distances through Cholesky factors computed once and shipped with the model.
 
 Defined cases: null and empty texts have the vector of no words and get a score like any
-other; rows without a label are not learned from; repeated rows count as often as they
-occur; if a class has no row, all texts get the share of class 1 (one half without any
+other; rows without a label are not learned from; equal label rows count once, however
+often they occur, which bounds the sample; if a class has no row, all texts get the share of class 1 (one half without any
 label); an empty table gives an empty result; other columns are ignored.
 """
 
@@ -129,7 +129,7 @@ def moments(labelled: DataFrame, label_col: str, text_col: str = "text") -> tupl
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", max_rows: int = 20_000, toward_pooled: float = 0.05, toward_mean: float = 0.01) -> Discriminant:
     """Fit on a sample, chosen by hash of the identifier, of about ``max_rows`` labelled rows at most."""
-    labelled = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, label_col)
+    labelled = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, label_col).distinct()
     total = labelled.count()
     if total > max_rows:
         labelled = labelled.filter(hash_share(id_col, "quality") < max_rows / total)
