@@ -24,3 +24,12 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers find this package where it isn't installed: they get its folder in their path."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if here not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([here, *paths])
