@@ -35,7 +35,8 @@ WORD = re.compile(r"[^\W\d_]+")
 START, END = "\x02", "\x03"
 UNDETERMINED = "und"
 BASE = np.uint64(0x9E3779B97F4A7C15)
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
+WORDS_AT_ONCE = 8192
 
 
 def words_of(text: str | None) -> list[str]:
@@ -177,7 +178,8 @@ class Scorer:
         lists = [words_of(t) for t in texts]
         new = list({w for words in lists for w in words if w not in self.place})
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-        self.bits = np.concatenate([self.bits, bits_of_words(self.models, new)])
+        parts = [bits_of_words(self.models, new[a : a + WORDS_AT_ONCE]) for a in range(0, len(new), WORDS_AT_ONCE)]
+        self.bits = np.concatenate([self.bits, *parts])
         out, letters = np.zeros((len(texts), len(self.models.languages))), np.zeros(len(texts), dtype=np.int64)
         for i, words in enumerate(lists):
             if words:
