@@ -9,8 +9,9 @@ Mahalanobis distances through Cholesky factors computed once and shipped with th
 
 Defined cases: null and empty texts have the vector of no words and get a score like any
 other; rows without a label are not learned from; equal label rows count once, however
-often they occur, which bounds the sample; if a class has no row, all texts get the share of class 1 (one half without any
-label); an empty table gives an empty result; other columns are ignored.
+often they occur, which bounds the sample; if a class has no row, all texts get the share
+of class 1 (one half without any label); an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations

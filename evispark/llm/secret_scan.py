@@ -7,8 +7,9 @@ a secret when the mean log-likelihood ratio a character passes a threshold.
 
 The models learn from labelled samples, a table of (token, label). ``labelled_tokens``
 makes one from a corpus: values of base spans and seeded random strings are label 1,
-words without a digit and seeded identifiers label 0, from at most ``max_docs`` documents by hash. Transition counts are summed by
-Spark; the models are two square tables.
+words without a digit and seeded identifiers label 0, from at most ``max_docs``
+documents by hash. Transition counts are summed by Spark; the models are two square
+tables.
 
 Defined cases: null and empty texts have no spans; overlapping spans of different kinds
 all stay, but a token that overlaps a base span is not added; repeated rows give equal
