@@ -23,8 +23,8 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evispark.llm.common import map_text, read_table
@@ -187,38 +187,64 @@ def encode(docs: DataFrame, keep: list[str] | None = None, path: str | None = No
     return map_text(docs, make, [T.StructField("ids", T.ArrayType(T.IntegerType()))], keep, text_col)
 
 
-def decode(encoded: DataFrame, path: str | None = None, digests: bool = False) -> DataFrame:
-    """Adds ``decoded``; with ``digests`` the columns n_tokens, ids_sha256 and decoded_sha256 stand in place of ids and text."""
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """Adds ``decoded``, the text of the column ``ids``; null ids give an empty text."""
     path = path or public_tokenizers.path(VOCABULARY)
-    carried = [f for f in encoded.schema.fields if f.name != "ids" or not digests]
-    new = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] if digests else [("decoded", T.StringType())]
-    schema = T.StructType([*carried, *(T.StructField(n, t) for n, t in new)])
+    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches):
         codec, _ = _codec(path)
-        name = [str(i) for i in range(len(codec.tokens))]
-        sha = lambda text: hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
         for batch in batches:
-            rows = []
-            for ids in batch.column("ids"):
-                ids = ids.as_py() or []
-                text = codec.decode(ids)
-                rows.append((len(ids), sha(",".join(map(name.__getitem__, ids))), sha(text)) if digests else (text,))
-            columns = list(zip(*rows)) or [()] * len(new)
-            arrays = [batch.column(f.name) for f in carried]
-            arrays += [pa.array(c, pa.int64() if t == T.LongType() else pa.string()) for c, (_, t) in zip(columns, new)]
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+            column = batch.column("ids")
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            ends = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).cumsum().tolist()
+            texts = [codec.decode(flat[a:b].tolist()) for a, b in zip([0, *ends], ends)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return encoded.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, keep: list[str], path: str | None = None) -> DataFrame:
+def digests(docs: DataFrame, keep: list[str] | None = None, path: str | None = None, text_col: str = "text") -> DataFrame:
+    """The kept columns, n_tokens, ids_sha256 and decoded_sha256: texts encoded and decoded in one pass, of which only the digests leave the task."""
+    path = path or public_tokenizers.path(VOCABULARY)
+
+    def make():
+        codec, words = _codec(path)
+        name = [str(i) for i in range(len(codec.tokens))]
+        sha = lambda text: hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+        def run(texts):
+            lists = [ids.tolist() for ids in words.encode(texts)]
+            return {
+                "n_tokens": [len(ids) for ids in lists],
+                "ids_sha256": [sha(",".join(map(name.__getitem__, ids))) for ids in lists],
+                "decoded_sha256": [sha(codec.decode(ids)) for ids in lists],
+            }
+
+        return run
+
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return map_text(docs, make, fields, keep, text_col)
+
+
+def round_trip(docs: DataFrame, keep: list[str], path: str | None = None, text_col: str = "text") -> DataFrame:
     """The kept columns, ``ids`` and ``n_tokens`` of the texts that decode to themselves (null counts as empty)."""
-    both = decode(encode(docs, [*keep, "text"] if "text" not in keep else keep, path))
-    whole = both.filter(F.col("decoded") == F.coalesce("text", F.lit("")))
-    return whole.select(*keep, "ids", F.size("ids").cast("long").alias("n_tokens"))
+    path = path or public_tokenizers.path(VOCABULARY)
+
+    def make():
+        codec, words = _codec(path)
+
+        def run(texts):
+            arrays = words.encode(texts)
+            whole = [codec.decode(ids.tolist()) == (text or "") for ids, text in zip(arrays, texts)]
+            return {"ids": arrays, "n_tokens": [len(ids) for ids in arrays], "__whole": whole}
+
+        return run
+
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("__whole", T.BooleanType())]
+    return map_text(docs, make, fields, keep, text_col).filter("__whole").drop("__whole")
 
 
 def op3_bpe(spark, sf_dir) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
-    return decode(encode(read_table(spark, sf_dir, "documents")), digests=True)
+    return digests(read_table(spark, sf_dir, "documents"))
