@@ -92,9 +92,8 @@ def read_varint(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def pack_ids(ids: list[int]) -> bytes:
-    x = np.array(ids, dtype="<u4")
-    return b"\x02" + x.astype("<u2").tobytes() if not len(x) or x.max() < 65536 else b"\x04" + x.tobytes()
+def pack_ids(x: np.ndarray) -> bytes:
+    return b"\x02" + x.astype("<u2").tobytes() if not len(x) or x.max() < 65536 else b"\x04" + x.astype("<u4").tobytes()
 
 
 def unpack_ids(value: bytes) -> np.ndarray:
@@ -126,7 +125,7 @@ class ShardWriter:
         self.body, self.docs, self.ids = bytearray(), 0, 0
         return self._part(struct.pack("<II", len(body), zlib.crc32(body)) + body)
 
-    def add(self, key: bytes, ids: list[int]) -> Iterator[bytes]:
+    def add(self, key: bytes, ids: np.ndarray) -> Iterator[bytes]:
         shared = 0
         if self.docs:
             while shared < min(len(key), len(self.last)) and key[shared] == self.last[shared]:
@@ -232,7 +231,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, end_
         for batch in batches:
             for piece in pieces(batch, "text"):
                 for identifier, ids in zip(piece.column("doc_id").to_pylist(), encoder.encode(piece.column("text").to_pylist())):
-                    for data in writer.add(key_of(identifier), [*ids, end_id]):
+                    for data in writer.add(key_of(identifier), np.append(ids, np.uint32(end_id))):
                         yield part(data)
         for data in writer.close():
             yield part(data)
