@@ -14,11 +14,14 @@ def pooled(facts: DataFrame, value: str, keys: tuple[str, ...] = PAIR) -> DataFr
     """Weighted mean, weighted population variance, standard error and 95 % interval by key.
 
     Two passes: the mean first, then deviations from it, as the moment form cancels for
-    large means. The means have a row a key and join back on the key.
+    large means. The means have a row a key and join back on the key. The mean's two sums
+    are rounded to nine digits, beyond which they depend on the order of rows, so that a
+    mean that lies on a rounding boundary comes out alike each time.
     """
     w = weight("evidence_level", SYNTHESIS, 0.1)
     x = facts.withColumn("w", w).withColumn("x", F.col(value).cast("double"))
-    means = x.groupBy(*keys).agg(F.sum("w").alias("sw"), F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")).alias("mean"), F.count("*").alias("n"))
+    total = lambda c: F.round(F.sum(c), 9)
+    means = x.groupBy(*keys).agg(total("w").alias("sw"), F.try_divide(total(F.col("w") * F.col("x")), total("w")).alias("mean"), F.count("*").alias("n"))
     spread = x.join(means, [*keys]).groupBy(*keys, "mean", "n", "sw").agg(F.sum(F.col("w") * F.pow(F.col("x") - F.col("mean"), 2)).alias("ss"))
     se = F.sqrt(F.col("ss") / F.col("sw")) / F.sqrt("n")
     return spread.select(

@@ -93,7 +93,7 @@ FROM c a JOIN c b ON a.category = b.category AND a.outcome = b.outcome AND a.int
     "synthesis_pooled": with_tables(
         "evidence",
         then=f""", x AS (SELECT intervention, outcome, effect AS x, {_weight} AS w FROM evidence),
-m AS (SELECT intervention, outcome, sum(w) AS sw, sum(w * x) / sum(w) AS mean, count(*) AS n FROM x GROUP BY 1, 2),
+m AS (SELECT intervention, outcome, round(sum(w), 9) AS sw, round(sum(w * x), 9) / round(sum(w), 9) AS mean, count(*) AS n FROM x GROUP BY 1, 2),
 v AS (SELECT intervention, outcome, mean, n, sqrt(sum(w * (x - mean) * (x - mean)) / any_value(sw)) / sqrt(n) AS se FROM x JOIN m USING (intervention, outcome) GROUP BY 1, 2, 3, 4)
 SELECT intervention, outcome, n, round(mean, 6) AS pooled_mean, round(se, 6) AS std_error, round(mean - {D(1.96)} * se, 6) AS ci_low, round(mean + {D(1.96)} * se, 6) AS ci_high FROM v""",
     ),
