@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evispark.functions import classify, identifiers, numeric, references
-from evispark.operators import cache, chunk, conflict, extract, filters, hierarchy, inference, maintain, normalize, rank, recommend, search, synthesis
+from evispark.operators import cache, chunk, conflict, extract, filters, hierarchy, inference, maintain, network, normalize, rank, recommend, search, synthesis
 from evispark.sources import files
 from evispark.streaming import ingest
 
@@ -339,3 +339,51 @@ def test_stream_windows_equal_batch(spark, tmp_path):
     query.awaitTermination(120)
     assert rows(spark.table("windows")) == rows(ingest.windowed_counts(batch, "ts", "kind"))
     assert ingest.sessions(batch, "ts", "kind", "5 minutes").count() == 2
+
+
+def test_followers_and_ego_with_cycle_and_hub(spark):
+    cites = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (5, 4), (1, 5), (6, 1), (7, 7)], "source long, target long")
+    found = {(r.paper, r.root): r.depth for r in network.followers(cites).collect()}
+    assert found[(4, 1)] == 3 and (7, 7) not in found and (2, 2) not in found
+    near = {(r.node, r.neighbour): r.distance for r in network.ego(cites, 2, spark.createDataFrame([(6,)], "node long")).collect()}
+    assert near == {(6, 1): 1, (6, 2): 2, (6, 5): 2}
+    assert network.ego(cites.filter("source > 99")).count() == 0
+
+
+def test_citation_confidence(spark):
+    cases = [
+        (2000, 2000, ["a", "b"], ["b"], 0.7),
+        (2000, 2001, None, ["b"], 0.5),
+        (None, 2001, ["a"], None, 0.0),
+        (None, 2001, None, ["b"], 0.5),
+        (2000, None, [], [], 0.0),
+    ]
+    df = spark.createDataFrame(cases, "cy int, y int, ca array<string>, a array<string>, want double")
+    got = df.select("want", network.citation_confidence(F.col("cy"), F.col("y"), F.col("ca"), F.col("a")).alias("got")).collect()
+    assert [round(r.got, 6) for r in got] == [r.want for r in got]
+
+
+def test_stances_and_chain_confidence(spark):
+    facts = spark.createDataFrame([("o", 1, "improved"), ("o", 2, "worsened"), ("o", 3, "improved"), ("o", 3, "worsened"), ("o", 4, None), ("x", 5, "improved")], "outcome string, source_paper_id int, direction string")
+    claims = spark.createDataFrame([(9, "o", "improved", "worsened")], "claim_id int, outcome string, claimed string, opposite string")
+    assert rows(network.stances(claims, facts)) == [(9, 1, "supporting"), (9, 2, "refuting"), (9, 3, "neutral"), (9, 4, "neutral")]
+    scored = spark.createDataFrame([("a", i, 1.0, "high") for i in range(6)] + [("b", 1, 0.5, None)], "k string, i int, score double, strength string")
+    assert rows(network.chain_confidence(scored, ["k"], "score", [F.desc("score"), F.asc("i")], "strength")) == [("a", 1.0), ("b", 0.5)]
+
+
+def test_supplement_and_first_per_document(spark):
+    kind = "k string, doc int, score double"
+    local, extra = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 1.0), ("b", 3, 1.0)], kind), spark.createDataFrame([("a", 4, 1.0), ("b", 5, 1.0), ("c", 6, 1.0)], kind)
+    keys = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
+    assert rows(network.supplement(local, extra, keys, "k", 2).select("doc", "origin")) == [(1, "local"), (2, "local"), (3, "local"), (5, "extra"), (6, "extra")]
+    hits = spark.createDataFrame([("a", 1, 0.2), ("b", 1, 0.9), ("c", 2, 0.9), ("d", 3, 0.1)], kind)
+    assert rows(network.first_per_document(hits, "doc", [F.desc("score"), F.asc("doc")], 2).select("k", "doc")) == [("b", 1), ("c", 2)]
+
+
+def test_distance_boost_and_reviews(spark):
+    is_a = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")], "child string, parent string")
+    nodes = spark.createDataFrame([(n,) for n in "abcdx"], "node string")
+    found = network.distance_boost(hierarchy.closure(is_a), nodes, spark.createDataFrame([("a",)], "node string"))
+    assert {r.node: r.boost for r in found.collect()} == {"a": 1.0, "b": 0.85, "c": 0.7, "d": 0.5, "x": 0.5}
+    one_paper = spark.createDataFrame([(1, "p"), (1, "q"), (2, "p"), (2, "p")], "paper_id int, m string")
+    assert [r.paper_id for r in network.reviews((one_paper, "m"), least=2).collect()] == [1]
