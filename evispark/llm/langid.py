@@ -5,7 +5,10 @@ and an end mark. Grams of all languages share sorted arrays of 64-bit hashes, wi
 column of probabilities for each language; contexts have arrays of back-off weights
 alongside. A text goes to the language with the lowest cross-entropy a letter. A text
 is rejected when that cross-entropy lies above the language's own range, which is
-measured on labelled documents that took no part in the counts.
+measured on labelled documents that took no part in the counts: it ends half-way between
+their median and the median of the same documents with their letters shuffled, or, for
+very short texts, where the spread of the documents ends. Both are medians or quantiles
+that junk among the documents does not move.
 
 The fit uses a bounded sample: at most ``per_language`` documents a language are
 expected, chosen by hash. Grams are counted by Spark over that sample and their types,
@@ -20,6 +23,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -88,8 +92,9 @@ class LanguageModels:
     languages: list[str]
     orders: list[Order]
     floor: np.ndarray  # probability of a letter never seen, by language
-    mean: np.ndarray | None = None  # calibration: bits a letter, and how far above it a text may be
+    usual: np.ndarray | None = None  # calibration: bits a letter, how far above it documents lie, and half-way to shuffled letters
     reach: np.ndarray | None = None
+    halfway: np.ndarray | None = None
 
 
 def _continuations(raw: Counter, order: int) -> list[dict[str, int]]:
@@ -229,8 +234,22 @@ def train(docs: DataFrame, order: int = 5, per_language: int = 1500, text_col: s
     return models
 
 
+def shuffled_letters(text: str | None, seed: int = 9) -> str:
+    """The text's words with all their letters in another order."""
+    words = words_of(text)
+    letters = [c for w in words for c in w]
+    random.Random(seed).shuffle(letters)
+    rest = iter(letters)
+    return " ".join("".join(next(rest) for _ in w) for w in words)
+
+
+def _root_of_length(letters: np.ndarray) -> np.ndarray:
+    """What an excess is multiplied by in calibration and divided by in verdicts."""
+    return np.sqrt(np.clip(letters, 1, 100))
+
+
 def _calibrate(models: LanguageModels, sample: DataFrame, spark) -> None:
-    """Mean bits a letter of each language's held-back documents, and how far above it, times the root of the length, they reach."""
+    """Median bits a letter of each language's held-back documents, how far above it most of them reach, and half the way to their shuffled letters."""
     shared = spark.sparkContext.broadcast(models)
 
     def make():
@@ -238,27 +257,30 @@ def _calibrate(models: LanguageModels, sample: DataFrame, spark) -> None:
 
         def run(texts):
             bits, letters = scorer.entropies(texts)
-            return {"bits": list(bits), "letters": letters}
+            garbled, _ = scorer.entropies([shuffled_letters(t) for t in texts])
+            return {"bits": list(bits), "garbled": list(garbled), "root": _root_of_length(letters), "letters": letters}
 
         return run
 
-    fields = [T.StructField("bits", T.ArrayType(T.DoubleType())), T.StructField("letters", T.LongType())]
+    bits_type = T.ArrayType(T.DoubleType())
+    fields = [T.StructField("bits", bits_type), T.StructField("garbled", bits_type), T.StructField("root", T.DoubleType()), T.StructField("letters", T.LongType())]
     place = F.create_map(*[F.lit(x) for i, lang in enumerate(models.languages) for x in (lang, i + 1)])
+    mine = F.element_at(place, F.col("lang_label"))
     own = (
         map_text(sample.filter("held_back"), make, fields, ["lang_label"])
         .filter("letters > 0")
-        .withColumn("own", F.element_at("bits", F.element_at(place, F.col("lang_label"))))
+        .select("lang_label", "root", F.element_at("bits", mine).alias("own"), F.element_at("garbled", mine).alias("garbled"))
         .filter(F.col("own").isNotNull())
     )
-    mean = own.groupBy("lang_label").agg((F.sum(F.col("own") * F.col("letters")) / F.sum("letters")).alias("mean"))
-    reach = own.join(F.broadcast(mean), "lang_label").groupBy("lang_label", "mean").agg(
-        F.percentile_approx((F.col("own") - F.col("mean")) * F.sqrt("letters"), F.lit(0.999)).alias("reach"),
-        F.max(F.col("own") - F.col("mean")).alias("widest"),
+    usual = own.groupBy("lang_label").agg(F.percentile_approx("own", F.lit(0.5)).alias("usual"), F.percentile_approx("garbled", F.lit(0.5)).alias("garbled_usual"))
+    reach = own.join(F.broadcast(usual), "lang_label").groupBy("lang_label", "usual", "garbled_usual").agg(
+        F.percentile_approx((F.col("own") - F.col("usual")) * F.col("root"), F.lit(0.95)).alias("reach"),
     )
-    models.mean, models.reach = np.full(len(models.languages), np.inf), np.zeros(len(models.languages))
+    n = len(models.languages)
+    models.usual, models.reach, models.halfway = np.full(n, np.inf), np.zeros(n), np.zeros(n)
     for r in reach.collect():
         i = models.languages.index(r["lang_label"])
-        models.mean[i], models.reach[i] = r["mean"], max(r["reach"], r["widest"], 1.0)
+        models.usual[i], models.reach[i], models.halfway[i] = r["usual"], max(r["reach"], 1.0), max(0.0, (r["garbled_usual"] - r["usual"]) / 2)
 
 
 def verdicts(models: LanguageModels, scorer: Scorer, texts: list[str | None], slack: float):
@@ -267,7 +289,7 @@ def verdicts(models: LanguageModels, scorer: Scorer, texts: list[str | None], sl
     best = bits.argmin(axis=1)
     lowest = bits[np.arange(len(texts)), best]
     weight = np.exp2(-(bits - lowest[:, None]) * np.minimum(letters, 40)[:, None] / 4)
-    limit = models.mean[best] + slack * models.reach[best] / np.sqrt(np.clip(letters, 1, 100))
+    limit = models.usual[best] + np.maximum(slack * models.reach[best] / _root_of_length(letters), models.halfway[best])
     some = letters > 0
     return best, np.where(some, 1 / weight.sum(axis=1), 0.0), lowest, some, ~some | (lowest > limit)
 
@@ -275,8 +297,9 @@ def verdicts(models: LanguageModels, scorer: Scorer, texts: list[str | None], sl
 def identify(docs: DataFrame, models: LanguageModels | None, keep: list[str] | None = None, text_col: str = "text", slack: float = 1.5) -> DataFrame:
     """The kept columns, ``lang_pred``, ``score`` (0 to 1), ``bits`` (cross-entropy a letter) and ``rejected``.
 
-    A text is rejected where its bits exceed the calibrated mean by ``slack`` times the
-    reach seen in calibration, divided by the root of its length in letters (100 at most).
+    A text is rejected where its bits exceed the calibrated median by more than half the
+    way to shuffled letters and by more than ``slack`` times the reach seen in
+    calibration, divided by the root of its length in letters (100 at most).
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
 

@@ -420,6 +420,28 @@ def test_language_id(spark, docs, empty):
     assert {r.lang_pred for r in langid.identify(docs, None).collect()} == {"und"}
 
 
+def test_unlearned_languages_are_rejected_in_spite_of_junk(spark):
+    rng = random.Random(6)
+    own = {
+        "en": "the of and that with this from have which their government people school health children between national country before important would during".split(),
+        "de": "der die und nicht mit auch eine werden sich oder regierung menschen schule gesundheit kinder zwischen land vor wichtig würde während jahr".split(),
+    }
+    letters = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(n))
+    make = lambda ws: " ".join(rng.choices(ws, k=60))
+    rows = [(i, letters(60) if i % 100 < 3 else make(own[lang]), lang) for i in range(1000) for lang in own if (i % 2 == 0) == (lang == "en")]
+    foreign = [
+        "il governo italiano ha annunciato una nuova legge che prevede importanti riforme nel settore della scuola e della sanità pubblica entro la fine dell anno " * 2,
+        "hallitus ilmoitti tänään uudesta laista jonka tarkoituksena on uudistaa koulutusta ja terveydenhuoltoa koko maassa ennen vuoden loppua",
+        "rząd ogłosił dzisiaj nową ustawę która przewiduje ważne reformy w szkolnictwie oraz w publicznej służbie zdrowia przed końcem roku",
+        letters(40),
+    ]
+    schema = "doc_id long, text string, lang string"
+    models = langid.train(spark.createDataFrame(rows, schema))
+    mine = [(i, make(own[lang]), lang) for i, lang in enumerate(("en", "de") * 20)] + [(40, make(own["en"]) + " token = b64b244acde2e3b0aa8f051af1ec018ebaba3add", "en")]
+    texts = spark.createDataFrame([*mine, *((100 + i, t, None) for i, t in enumerate(foreign))], schema)
+    assert {r.doc_id for r in langid.keep_identified(texts, models).collect()} == {i for i, _, _ in mine}
+
+
 # 10
 
 
