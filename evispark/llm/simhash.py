@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evispark.llm import near_copies
 from evispark.llm.common import map_text, read_table, stored
 from evispark.llm.components import connected_components
 
@@ -225,19 +226,21 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None, id_col: str
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, with all its columns: that of the least identifier.
+    """One row of each component of near copies, with all its columns: that of the least identifier.
 
+    Near copies are those of ``near_copies``: a Jaccard similarity of 0.8 or more of
+    five-word shingles, not the fingerprints of this module.
     Texts stay where they are: identifiers that occur once are kept by a semi-join with
     the components' least identifiers. Only rows whose identifier is null or repeated are
     compared by their content.
     """
-    rows = stored(near_duplicates(docs.select(id_col, text_col), [id_col], id_col, text_col), "near-duplicates")
+    rows = stored(near_copies.near_copies(docs.select(id_col, text_col), id_col, text_col), "near-copies")
     repeated = rows.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(id_col)
     winners = rows.filter(F.col(id_col) == F.col("component_id")).select(id_col)
     single = docs.join(winners.join(repeated, id_col, "left_anti"), id_col, "left_semi")
     odd = docs.filter(F.col(id_col).isNull()).unionByName(docs.join(repeated, id_col, "left_semi").select(docs.columns))
     of = rows.select(F.col("fp").alias("__fp"), F.col("component").alias("__component"), F.col("component_id").alias("__least")).distinct()
-    marked = fingerprints(odd.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("text")), ["__row"])
+    marked = near_copies.set_keys(odd.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("text")), ["__row"])
     due = marked.withColumnRenamed("fp", "__fp").join(of, "__fp").filter(F.col(f"__row.{id_col}").eqNullSafe(F.col("__least")))
     one = due.groupBy("__component").agg(F.min(F.struct(F.xxhash64(f"__row.{text_col}").alias("h"), "__row")).alias("x")).select("x.__row.*")
     return single.select(docs.columns).unionByName(one.select(docs.columns))

@@ -288,6 +288,29 @@ def test_fingerprints_and_components(docs, empty):
     assert len(kept) == len({root(t) for _, t in rows}) and simhash.deduplicate(empty).count() == 0
 
 
+def test_deduplicate_links_at_jaccard_of_five_word_shingles(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(400)]
+    sets = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+    texts = []
+    for _ in range(60):
+        words = rng.choices(vocabulary, k=rng.randint(40, 300))
+        texts.append(" ".join(words))
+        for _ in range(rng.randint(0, 3)):
+            changed = list(words)
+            for _ in range(rng.randint(1, max(1, len(words) // 40))):
+                changed[rng.randrange(len(words))] = rng.choice(vocabulary)
+            texts.append(" ".join(changed))
+    own = [sets(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j]):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    kept = simhash.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == set(label)
+
+
 def test_links_of_clusters_in_small_cells(spark):
     rng = random.Random(8)
     values = set()
