@@ -47,6 +47,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discarded(df: DataFrame) -> None:
+    """Delete what ``stored`` wrote for this table; call it once nothing derives from it any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_on_key(rows: DataFrame, one: DataFrame, key: str, total: int, share: int = 4096) -> DataFrame:
+    """Inner join of rows with a table of one row a key, whose column ``n`` (dropped) says how many rows the key has.
+
+    ``total`` is the number of rows. Keys with more than a ``share``-th of them are fewer
+    than ``share``, so their side is broadcast and their rows stay where they are; the
+    others meet by key. Every row is joined in one of the two ways.
+    """
+    hot, cold = one.filter(F.col("n") > total / share), one.filter(F.col("n") <= total / share).drop("n")
+    apart = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rows.join(F.broadcast(hot.drop("n")), key).unionByName(apart)
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes of text each, one row at least."""
     lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -9,14 +9,14 @@ agree on two blocks at least, so each fingerprint is keyed by each of the ten pa
 blocks, and keys that only one fingerprint has are dropped by a join with their counts.
 A key with more fingerprints than ``cell`` is dealt into chunks, and every pair of
 chunks is a cell of its own, so no task gets a whole large group. Within a cell the
-fingerprints stand as bit planes; a batch of them is compared with all lanes at once
-by carry-save counters, and the comparison stops once every lane has passed the radius.
+fingerprints stand as bit planes and are compared as ``bit_slices`` says: carry-save
+counters, and a fingerprint's block is abandoned once all its lanes have passed the radius.
 A cell sends on at most one link a fingerprint (to the least of its local component),
 never all pairs.
 
 Defined cases: a null, empty or blank text has no words and fingerprint zero, linked like
 any other; a text of one or two words has one shingle; repeated rows share a component;
-a null identifier takes part in links but is never the least; an empty table gives an
+a fingerprint that many rows share takes no task to itself; a null identifier takes part in links but is never the least; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -33,15 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evispark.llm import near_copies
-from evispark.llm.common import map_text, read_table, stored
+from evispark.llm.bit_slices import near_pairs
+from evispark.llm.common import join_on_key, map_text, read_table, stored
 from evispark.llm.components import connected_components
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 SEED, RADIUS = 42, 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit and width
 PAIRS = tuple(combinations(range(len(BLOCKS)), 2))
-LANES = 2048  # fingerprints of small groups compared in one go
-QUERIES = 64
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -75,38 +74,6 @@ def fingerprints(docs: DataFrame, keep: list[str] | None = None, text_col: str =
     return map_text(docs, make, [T.StructField("fp", T.LongType())], keep, text_col)
 
 
-def bit_planes(values: np.ndarray) -> np.ndarray:
-    """planes[b]: bit b of every value, 64 lanes a word; lanes beyond the last value are zero."""
-    lanes = -len(values) % 64
-    bits = np.unpackbits(np.concatenate([values, np.zeros(lanes, dtype=np.uint64)]).view(np.uint8), bitorder="little").reshape(-1, 64)
-    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
-
-
-def within_radius(values: np.ndarray, planes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each value a row of words whose set lanes differ from it in ``radius`` bits at most.
-
-    Differences of four planes at a time go through a carry-save adder into vertical
-    counters; ``over`` gathers the lanes that passed the radius, and the loop ends when
-    all have.
-    """
-    shape = (len(values), planes.shape[1])
-    one, two, over = np.zeros(shape, np.uint64), np.zeros(shape, np.uint64), np.zeros(shape, np.uint64)
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for b in range(64):
-        flip = (np.uint64(0) - ((values >> np.uint64(b)) & np.uint64(1)))[:, None]
-        carry = planes[b][None, :] ^ flip
-        one, carry = one ^ carry, one & carry
-        two, carry = two ^ carry, two & carry
-        over |= carry
-        if b % 8 == 7 and (over == full).all():
-            break
-    near = ~over
-    if radius < 3:
-        count_over = {2: one & two, 1: two, 0: one | two}[radius]
-        near &= ~count_over
-    return near
-
-
 def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least index of each index's component, from links a-b."""
     label = np.arange(n)
@@ -128,34 +95,16 @@ def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def local_links(values: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links (value, least value of its local component) among values of equal group.
-
-    ``group`` is sorted. Runs of small groups are compared together and links across
-    groups masked out.
-    """
+    """Links (value, least value of its local component) among values of equal group; ``group`` is sorted."""
     n = len(values)
     label = np.arange(n)
     order = np.lexsort((values, group))
     values, group = values[order], group[order]
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [n]])
-    start = 0
-    for i in range(1, len(cuts)):
-        last = i == len(cuts) - 1
-        if not last and cuts[i + 1] - cuts[start] <= LANES:
-            continue
-        a, b = int(cuts[start]), int(cuts[i])
-        start = i
-        planes = bit_planes(values[a:b])
-        own = np.arange(b - a)
-        for q in range(0, b - a, QUERIES):
-            some = values[a + q : min(b, a + q + QUERIES)]
-            near = within_radius(some, planes, radius)
-            lanes = np.unpackbits(near.view(np.uint8), axis=1, bitorder="little")[:, : b - a]
-            x, y = np.nonzero(lanes)
-            x = x + q
-            live = (x < y) & (group[a + x] == group[a + y]) & (label[a + x] != label[a + y])
-            if live.any():
-                label[a:b] = a + _least_labels(b - a, np.concatenate([own, x[live]]), np.concatenate([label[a:b] - a, y[live]]))
+    for a, b, x, y in near_pairs(values, group, radius):
+        live = label[x] != label[y]
+        if live.any():
+            own = np.arange(a, b)
+            label[a:b] = a + _least_labels(b - a, np.concatenate([own, x[live]]) - a, np.concatenate([label[a:b], y[live]]) - a)
     linked = label != np.arange(n)
     return values[linked], values[label[linked]]
 
@@ -163,15 +112,18 @@ def local_links(values: np.ndarray, group: np.ndarray, radius: int = RADIUS) ->
 def near_links(distinct: DataFrame, cell: int = 4096, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of fingerprints within the radius.
 
-    ``distinct`` has one row a fingerprint, in column ``fp``.
+    ``distinct`` has one row a fingerprint, in column ``fp``. The five blocks find all
+    pairs within three bits, so a greater radius is refused.
     """
+    if not 0 <= radius <= len(BLOCKS) - 2:
+        raise ValueError(f"blocks find pairs within {len(BLOCKS) - 2} bits")
     keys = F.array(*[_pair_key(i, x, y) for i, (x, y) in enumerate(PAIRS)])
     keyed = distinct.select("fp", F.explode(keys).alias("key"))
-    sizes = keyed.groupBy("key").count().filter("count > 1").withColumnRenamed("count", "size")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("size", F.col("n"))
     chunks = F.ceil(F.col("size") / F.lit(cell)).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     dealt = (
-        keyed.join(sizes, "key")
+        join_on_key(keyed, sizes, "key", len(PAIRS) * distinct.count())
         .withColumn("chunks", chunks)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -215,21 +167,22 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None, id_col: str
     """The kept columns, ``fp``, ``component`` (its least fingerprint), and ``component_id``: the least identifier reachable over links."""
     keep = [id_col] if keep is None else keep
     rows = stored(fingerprints(docs, keep, text_col), "fingerprints")
-    distinct = stored(rows.groupBy("fp").agg(F.min(id_col).alias("least_id")), "distinct-fingerprints")
+    distinct = stored(rows.groupBy("fp").agg(F.min(id_col).alias("least_id"), F.count("*").alias("n")), "distinct-fingerprints")
     grouped = connected_components(near_links(distinct))
     member = distinct.join(grouped.withColumnRenamed("node", "fp"), "fp")
     least = member.groupBy("component").agg(F.min("least_id").alias("component_id"))
     linked = member.join(least, "component").select("fp", "component", F.col("component_id").alias("linked_id"))
     own = F.when(F.col("component").isNull(), F.col("least_id")).otherwise(F.col("linked_id"))
-    by_fp = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), own.alias("component_id"))
-    return rows.join(by_fp, "fp")
+    by_fp = distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("component", "fp").alias("component"), own.alias("component_id"))
+    return join_on_key(rows, stored(by_fp, "fingerprint-components"), "fp", rows.count())
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of near copies, with all its columns: that of the least identifier.
 
     Near copies are those of ``near_copies``: a Jaccard similarity of 0.8 or more of
-    five-word shingles, not the fingerprints of this module.
+    five-word shingles, by bit-sliced comparison of five-word fingerprints and an exact
+    check.
     Texts stay where they are: identifiers that occur once are kept by a semi-join with
     the components' least identifiers. Only rows whose identifier is null or repeated are
     compared by their content.
@@ -242,7 +195,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     of = rows.select(F.col("fp").alias("__fp"), F.col("component").alias("__component"), F.col("component_id").alias("__least")).distinct()
     marked = near_copies.set_keys(odd.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("text")), ["__row"])
     due = marked.withColumnRenamed("fp", "__fp").join(of, "__fp").filter(F.col(f"__row.{id_col}").eqNullSafe(F.col("__least")))
-    one = due.groupBy("__component").agg(F.min(F.struct(F.xxhash64(f"__row.{text_col}").alias("h"), "__row")).alias("x")).select("x.__row.*")
+    order = F.struct(F.xxhash64(f"__row.{text_col}"), F.sha2(F.to_json("__row"), 256))  # rows with map columns have no order of their own
+    one = due.groupBy("__component").agg(F.min_by("__row", order).alias("x")).select("x.*")
     return single.select(docs.columns).unionByName(one.select(docs.columns))
 
 
