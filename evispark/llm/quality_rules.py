@@ -1,10 +1,17 @@
 """Quality rules by weak supervision.
 
-Each rule looks at counts of a whole text and votes good (1), bad (0) or abstains.
-Expectation-maximisation over the counts of vote patterns estimates the share of
-good documents and, for each rule and class, how often it votes either way. A
-document is kept when the posterior probability that it is good reaches one half
-and the base rule does not fail it.
+Each rule looks at one statistic of a whole text and votes good (1), bad (0) or
+abstains (2). Expectation-maximisation over the counts of vote patterns estimates the
+share of good documents and two accuracies of each rule: how often its votes on good
+documents are good, and how often its votes on bad ones are bad. A document is kept when
+the posterior probability that it is good reaches one half and the base rule does not
+fail it, so a rule that often errs is outvoted, and one bad vote suffices only where the
+rule proves reliable. Abstentions say nothing of the class.
+
+Accuracies are learned from the documents: the prior that says that rules are better
+than chance weighs as much as ``PRIOR_DOCS`` votes. Different rules see the same defect
+from different sides (symbols, plain words, function words), which is what the estimate
+lives on; no rule is a combination of others.
 
 The pass over the texts runs once and leaves a few numbers a document. What the
 estimation sees is one row for each vote pattern (3 to the number of rules at most),
@@ -30,8 +37,17 @@ WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 ABSTAIN = 2
-
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_adjacent")
+PLAIN = re.compile(rb"(?<![^\x20\x09-\x0d])[A-Za-z\x80-\xff]+[.,;:!?]?(?![^\x20\x09-\x0d])")
+# Frequent function words of the languages of the corpus.
+STOP_WORDS = frozenset(
+    w.encode()
+    for w in (
+        "the of and to in is that for it was with as on be by at der die und das den von zu mit sich des auf ist im nicht "
+        "le la les et que dans une est pour qui par el los las del en por con una para y de un se"
+    ).split()
+)
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_adjacent", "n_plain", "n_stop")
 
 _not_symbols = bytes(b for b in range(256) if b not in SYMBOLS)
 _not_upper = bytes(b for b in range(256) if not 65 <= b <= 90)
@@ -84,6 +100,8 @@ def text_counts(text: str | None) -> tuple[int, ...]:
         len(data.translate(None, _not_upper)),
         len(data.translate(None, _not_letters)),
         sum(a == b for a, b in zip(words, words[1:])),
+        len(PLAIN.findall(data)),
+        sum(map(STOP_WORDS.__contains__, words)),
     )
 
 
@@ -98,72 +116,56 @@ def count_texts(docs: DataFrame, keep: list[str], text_col: str = "text") -> Dat
     return map_text(docs, make, [T.StructField(c, T.LongType()) for c in COUNTS], keep, text_col)
 
 
-def _vote(bad=None, good=None):
-    out = F.lit(ABSTAIN)
-    if good is not None:
-        out = F.when(good, 1).otherwise(out)
-    return F.when(bad, 0).otherwise(out) if bad is not None else out
+def _vote(bad, good):
+    return F.when(bad, 0).when(good, 1).otherwise(ABSTAIN)
 
 
 def rule_votes() -> dict[str, F.Column]:
-    """The rules: name and vote (0 bad, 1 good, 2 abstains) over the columns in COUNTS.
-
-    Rules that know a defect blame or abstain; length does either; prose praises texts
-    that look like running text.
-    """
-    c = F.col
-    per_word = lambda name: c(name) / F.greatest(c("n_words"), F.lit(1))
-    per_line = c("n_dup_lines") / F.greatest(c("n_lines"), F.lit(1))
-    upper = c("n_upper") / F.greatest(c("n_letters"), F.lit(1))
-    length = per_word("word_chars")
-    prose = (c("n_words") >= 20) & (per_word("n_symbols") <= 0.02) & (per_word("n_repeat_words") <= 0.3) & (per_word("n_adjacent") <= 0.05) & length.between(3, 10) & (upper <= 0.15)
+    """The rules: name and vote (0 bad, 1 good, 2 abstains) over the columns in COUNTS, each of one statistic."""
+    n = F.col("n_words")
+    share = lambda part, whole: F.col(part) / F.greatest(F.col(whole), F.lit(1))
+    symbols, lines, repeats, adjacent = share("n_symbols", "n_words"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words"), share("n_adjacent", "n_words")
+    length, upper, plain, stop = share("word_chars", "n_words"), share("n_upper", "n_letters"), share("n_plain", "n_words"), share("n_stop", "n_words")
     return {
-        "length": _vote(c("n_words") < 20, c("n_words") >= 60),
-        "symbols": _vote(per_word("n_symbols") > 0.1),
-        "dup_lines": _vote((c("n_lines") >= 4) & (per_line > 0.6)),
-        "repeats": _vote(per_word("n_repeat_words") > 0.3),
-        "word_length": _vote((c("n_words") > 0) & ((length < 2) | (length > 14))),
-        "capitals": _vote(upper > 0.4),
-        "adjacent": _vote(per_word("n_adjacent") > 0.2),
-        "prose": _vote(None, prose),
+        "length": _vote(n < 20, n >= 60),
+        "symbols": _vote(symbols > 0.1, (n > 0) & (symbols <= 0.02)),
+        "dup_lines": _vote((F.col("n_lines") >= 4) & (lines > 0.3), (F.col("n_lines") >= 4) & (lines <= 0.1)),
+        "repeats": _vote(repeats > 0.2, (n >= 40) & (repeats <= 0.05)),
+        "adjacent": _vote(adjacent > 0.1, (n >= 20) & (adjacent <= 0.05)),
+        "word_length": _vote((n > 0) & ((length < 3) | (length > 7)), length.between(3.5, 6.5)),
+        "capitals": _vote(upper > 0.3, (n > 0) & (upper <= 0.1)),
+        "plain_words": _vote((n >= 10) & (plain < 0.7), (n >= 10) & (plain >= 0.85)),
+        "stop_words": _vote((n >= 40) & (stop < 0.05), (n >= 40) & (stop >= 0.1)),
     }
 
 
-#: What rules are believed to do before any document is seen, by class (bad, good) and vote (bad, good, abstains). A rule that
-#: knows one defect of six sees some of the bad documents and blames hardly any good one.
-DEFECT = ((0.15, 0.0, 0.85), (0.004, 0.0, 0.996))
-PRIORS = {"length": ((0.15, 0.5, 0.35), (0.02, 0.75, 0.23)), "prose": ((0.0, 0.2, 0.8), (0.0, 0.85, 0.15))}
+#: What rules are believed to do before any document is seen: the share of right votes on bad and on good documents.
+PRIOR_RIGHT, PRIOR_DOCS = (0.6, 0.9), 20.0
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, prior: np.ndarray, strength: float = 0.5, rounds: int = 200, tol: float = 1e-9) -> tuple[float, np.ndarray, np.ndarray]:
-    """Expectation-maximisation over vote patterns, with a prior on what rules do.
+def estimate(patterns: np.ndarray, counts: np.ndarray, prior_docs: float = PRIOR_DOCS, rounds: int = 500, tol: float = 1e-9) -> tuple[float, np.ndarray, np.ndarray]:
+    """Expectation-maximisation over vote patterns.
 
-    Returns the share of good documents, table[rule, class, vote] of vote
-    probabilities, and the posterior of good for each pattern. ``prior`` has the table's
-    shape, is the start, and counts as ``strength`` times all documents in each class.
-    Defects of different kinds seldom meet in one document, so without it the likelihood
-    alone would take the largest group of related defects for the bad class; with it a
-    single reliable defect suffices. Add-one smoothing keeps probabilities above zero.
+    Returns the share of good documents, right[rule, class]: the estimated share of right
+    votes among a rule's votes on bad (0) and good (1) documents, and the posterior of
+    good for each pattern.
     """
-    n, rules = patterns.shape
-    share = 0.8
-    table = np.maximum(prior, 1e-6)
-    posterior = np.full(n, share)
-    at = np.arange(rules)
+    good, bad = (patterns == 1).astype(float), (patterns == 0).astype(float)
+    prior = np.tile(PRIOR_RIGHT, (patterns.shape[1], 1))
+    right, share, posterior = prior.copy(), 0.8, np.full(len(patterns), 0.8)
     for _ in range(rounds):
-        like = np.log(table)[at[None, :], :, patterns].sum(axis=1) + np.log([1 - share, share])
-        new = 1 / (1 + np.exp(np.clip(like[:, 0] - like[:, 1], -700, 700)))
+        as_good = np.log(share) + good @ np.log(right[:, 1]) + bad @ np.log(1 - right[:, 1])
+        as_bad = np.log(1 - share) + bad @ np.log(right[:, 0]) + good @ np.log(1 - right[:, 0])
+        new = 1 / (1 + np.exp(np.clip(as_bad - as_good, -700, 700)))
         moved, posterior = np.abs(new - posterior).max(initial=0.0), new
-        weight = np.stack([(1 - posterior) * counts, posterior * counts], axis=1)
-        total = weight.sum()
-        if total == 0 or moved < tol:
+        if moved < tol:
             break
-        share = float(np.clip((weight[:, 1].sum() + 1) / (total + 2), 1e-6, 1 - 1e-6))
-        for r in range(rules):
-            for vote in range(3):
-                table[r, :, vote] = weight[patterns[:, r] == vote].sum(axis=0) + 1 + strength * total * prior[r, :, vote]
-            table[r] /= table[r].sum(axis=1, keepdims=True)
-    return share, table, posterior
+        weight = np.stack([(1 - posterior) * counts, posterior * counts])
+        share = (weight[1].sum() + 1) / (counts.sum() + 2)
+        votes, hits = weight @ (good + bad), np.stack([weight[0] @ bad, weight[1] @ good])
+        right = (hits.T + prior_docs * prior) / (votes.T + prior_docs)
+        right = np.clip(right, 1e-9, 1 - 1e-9)
+    return share, right, posterior
 
 
 def apply_quality_rules(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -173,10 +175,9 @@ def apply_quality_rules(docs: DataFrame, keep: list[str] | None = None, text_col
     rules = rule_votes()
     pattern = F.concat(*(v.cast("string") for v in rules.values()))
     counted = stored(count_texts(docs, keep, text_col).withColumn("votes", pattern), "quality-counts")
-    seen = counted.groupBy("votes").count().collect()  # a row for each pattern, 3 ** rules at most
+    seen = sorted(counted.groupBy("votes").count().collect())  # a row for each pattern, 3 ** rules at most
     patterns = np.array([[int(x) for x in r["votes"]] for r in seen], dtype=np.int64).reshape(-1, len(rules))
-    prior = np.array([PRIORS.get(name, DEFECT) for name in rules])
-    _, _, posterior = estimate(patterns, np.array([r["count"] for r in seen], dtype=float), prior)
+    _, _, posterior = estimate(patterns, np.array([r["count"] for r in seen], dtype=float))
     rows = [(r["votes"], float(p)) for r, p in zip(seen, posterior)]
     verdicts = spark.createDataFrame(rows, "votes string, p_good double")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

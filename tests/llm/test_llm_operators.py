@@ -376,17 +376,6 @@ def test_quality_counts_and_verdicts(docs, empty):
         assert quality_rules.text_counts(t)[4] == brute_counts(t)[4]
 
 
-def test_estimate_recovers_accuracies():
-    rng = np.random.default_rng(0)
-    good = rng.random(20000) < 0.7
-    votes = np.stack([np.where(rng.random(20000) < 0.3, 2, np.where(rng.random(20000) < a, good, ~good)) for a in (0.9, 0.8, 0.85, 0.7)], axis=1)
-    patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    share, table, posterior = quality_rules.estimate(patterns, counts.astype(float), np.array([[[0.45, 0.15, 0.4], [0.15, 0.45, 0.4]]] * 4), strength=0.0)
-    assert abs(share - 0.7) < 0.05
-    right = table[:, 1, 1] / (table[:, 1, 0] + table[:, 1, 1])
-    np.testing.assert_allclose(right, [0.9, 0.8, 0.85, 0.7], atol=0.05)
-
-
 # 8
 
 
