@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from evispark.llm import bpe, components, decontaminate, langid, licenses, quality_qda, quality_rules, secret_scan, simhash, sstable, token_counts
+from evispark.llm import bpe, components, decontaminate, langid, quality_qda, quality_rules, secret_scan, simhash, sstable, token_counts
 from evispark.llm.registry import QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -164,27 +164,6 @@ def test_bpe_long_words_and_round_trip(docs, empty):
     assert bpe.round_trip(empty, empty.columns).count() == 0
 
 
-# 4
-
-
-def test_licenses(docs, empty, spark):
-    mit = licenses.TEMPLATES["MIT-notice"]
-    texts = [
-        "Some words.\nReleased under the MIT License.\nMore words.",
-        "a b c. Licensed under CC BY-NC 4.0. d e f",
-        "Licensed under CC BY-ND 4.0.",
-        "x\n" + mit.replace("sell", "vend") + "\ny",
-        "This work is licensed under the GNU General Public License, version 2.",
-        "They licensed the song to a studio; permission is rarely given.",
-    ]
-    found = by_id(licenses.find_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
-    names = [[x.license for x in found[i][0].licenses] for i in range(len(texts))]
-    assert names == [["MIT"], ["CC-BY-NC-4.0"], [], ["MIT-notice"], ["GPL-2.0"], []]
-    hit = found[0][0].licenses[0]
-    assert texts[0][hit.start : hit.end] == "Released under the MIT License"
-    assert all(not r.licenses for r in licenses.find_licenses(docs).collect()) and licenses.find_licenses(empty).count() == 0
-
-
 # 5
 
 
