@@ -14,12 +14,13 @@ store that Spark reads. Its parts, in order, each followed by one newline byte:
   numbers of documents and ids.
 
 A key is the identifier with its sign bit turned, big-endian, so that byte order is
-number order; a null identifier has the empty key, which sorts first. A look-up asks the
-filter, then searches the index, then one block.
+number order; a null identifier has the empty key, which sorts first. A manifest beside
+the shards has each one's range of identifiers. A look-up takes the shards whose range
+fits, asks the filter, then searches the index, then reads one block.
 
 Defined cases: null and empty texts hold the end id only; repeated identifiers stay, as
-neighbours, ordered by a hash of their text, and may lie in two shards; an empty table
-gives no shard and an empty result; other columns are ignored. Memory: a task holds one
+neighbours, ordered by a hash of their text, and may lie in two shards; rows equal in
+identifier and text are dealt by a draw of their own; an empty table gives no shard and an empty result; other columns are ignored. Memory: a task holds one
 block of ids, and the index and keys' hashes of its shard; a reader holds one shard.
 """
 
@@ -29,7 +30,7 @@ import struct
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -155,30 +156,36 @@ class ShardWriter:
 
 
 class Shard:
-    """Reads one shard from its bytes."""
+    """Reads one shard from its bytes, or from anything that has a length and gives slices; blocks are read when asked for."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data):
         self.data = data
-        magic, self.number, index_at, index_size, bloom_at, bloom_size, self.docs, self.ids = FOOTER.unpack_from(data, len(data) - FOOTER.size - 1)
+        footer = data[len(data) - FOOTER.size - 1 : len(data) - 1]
+        magic, self.number, index_at, index_size, bloom_at, bloom_size, self.docs, self.ids = FOOTER.unpack(footer)
         if magic != MAGIC:
             raise ValueError("not a shard")
-        self.blocks, at = [], index_at
-        while at < index_at + index_size:
-            size, at = read_varint(data, at)
-            key, at = bytes(data[at : at + size]), at + size
+        index, self.blocks, at = data[index_at : index_at + index_size], [], 0
+        while at < index_size:
+            size, at = read_varint(index, at)
+            key, at = bytes(index[at : at + size]), at + size
             rest = []
             for _ in range(4):
-                n, at = read_varint(data, at)
+                n, at = read_varint(index, at)
                 rest.append(n)
             self.blocks.append((key, *rest))
         self.keys = [b[0] for b in self.blocks]
-        self.bits = struct.unpack_from("<q", data, bloom_at)[0]
-        self.bloom = data[bloom_at + 8 : bloom_at + bloom_size]
+        self.bloom_at, self.bloom_size = bloom_at, bloom_size
+
+    @cached_property
+    def bloom(self) -> tuple[int, bytes]:
+        found = self.data[self.bloom_at : self.bloom_at + self.bloom_size]
+        return struct.unpack_from("<q", found)[0], found[8:]
 
     def _entries(self, block: int) -> Iterator[tuple[bytes, bytes]]:
         _, place, size, _, _ = self.blocks[block]
-        length, crc = struct.unpack_from("<II", self.data, place)
-        body = self.data[place + 8 : place + size]
+        part = self.data[place : place + size]
+        length, crc = struct.unpack_from("<II", part)
+        body = part[8:]
         if length != len(body) or zlib.crc32(body) != crc:
             raise ValueError(f"block {block} of shard {self.number} is damaged")
         body = zstandard.ZstdDecompressor().decompress(body)
@@ -197,7 +204,8 @@ class Shard:
                 yield key, unpack_ids(value)
 
     def may_hold(self, key: bytes) -> bool:
-        return all(self.bloom[p >> 3] >> (7 - (p & 7)) & 1 for p in bloom_probes(key, self.bits))
+        bits, bloom = self.bloom
+        return all(bloom[p >> 3] >> (7 - (p & 7)) & 1 for p in bloom_probes(key, bits))
 
     def get(self, key: bytes) -> list[np.ndarray]:
         """The ids of every entry with this key."""
@@ -221,9 +229,10 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, end_
     """
     vocabulary = vocabulary or public_tokenizers.path(VOCABULARY)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    narrow = narrow.withColumn("draw", F.pmod(F.monotonically_increasing_id(), F.lit(1024)).cast("short"))
     size = narrow.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
-    by = [F.col("doc_id"), F.xxhash64("text")]
+    by = [F.col("doc_id"), F.xxhash64("text"), F.col("draw")]  # the draw parts rows that are equal in both
 
     def write(batches):
         encoder, writer = library_encoder(vocabulary), ShardWriter(TaskContext.get().partitionId())
@@ -243,37 +252,75 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, end_
 
 
 def _shards(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 0").select("content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 0").select("path", "content")
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, doc_id, local_start, ids_crc32, n_tokens) of every document, read back from the files."""
+    """(file, shard, doc_id, local_start, ids_crc32, n_tokens) of every document, read back from the files."""
 
     def read(batches):
         for batch in batches:
-            for content in batch.column("content"):
+            for file, content in zip(batch.column("path"), batch.column("content")):
                 shard, rows, start = Shard(content.as_buffer().to_pybytes()), [], 0
                 for key, ids in shard.scan():
                     rows.append((shard.number, identifier_of(key), start, zlib.crc32(ids.tobytes()), len(ids)))
                     start += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["shard", "doc_id", "local_start", "ids_crc32", "n_tokens"])
+                columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
+                yield pa.RecordBatch.from_arrays([pa.array([file.as_py()] * len(rows), pa.string()), *columns], names=["file", "shard", "doc_id", "local_start", "ids_crc32", "n_tokens"])
 
-    return _shards(spark, path).mapInArrow(read, "shard long, doc_id long, local_start long, ids_crc32 long, n_tokens long")
+    return _shards(spark, path).mapInArrow(read, "file string, shard long, doc_id long, local_start long, ids_crc32 long, n_tokens long")
 
 
-def lookup(spark: SparkSession, path: str, identifiers: list[int]) -> DataFrame:
-    """(doc_id, ids) of the given identifiers (a bounded list), by filter and binary search in every shard."""
+def write_manifest(spark: SparkSession, path: str, rows: DataFrame | None = None) -> None:
+    """A row a shard beside the shards, in ``_manifest``: file, number, documents, nulls, and the least and greatest identifier."""
+    rows = read_shards(spark, path) if rows is None else rows
+    nulls = F.count_if(F.col("doc_id").isNull()).alias("nulls")
+    ranges = rows.groupBy("shard", "file").agg(F.count("*").alias("docs"), nulls, F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    ranges.coalesce(1).write.mode("overwrite").parquet(f"{path}/_manifest")
 
-    def find(batches):
-        for batch in batches:
-            for content in batch.column("content"):
-                shard = Shard(content.as_buffer().to_pybytes())
-                rows = [(i, ids.tolist()) for i in identifiers for ids in shard.get(key_of(i))]
-                if rows:
-                    a, b = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.list_(pa.int64()))], names=["doc_id", "ids"])
-
-    return _shards(spark, path).mapInArrow(find, "doc_id long, ids array<long>")
+
+def lookup(spark: SparkSession, path: str, identifiers: list[int | None]) -> list[tuple[int | None, list[int]]]:
+    """(identifier, ids) of every document with one of the identifiers, a bounded list.
+
+    The manifest names the shards whose range holds an identifier; of those the footer,
+    the filter, the index and the blocks that the index points at are read, through
+    Hadoop's file system, and nothing else.
+    """
+    wanted = [i for i in dict.fromkeys(identifiers) if i is not None]
+    within = F.exists(F.array(*map(F.lit, wanted)), lambda x: x.between(F.col("low"), F.col("high"))) if wanted else F.lit(False)
+    if None in identifiers:
+        within = within | (F.col("nulls") > 0)
+    found = []
+    for r in spark.read.parquet(f"{path}/_manifest").filter(within).orderBy("shard").collect():  # shards that the bounded list meets
+        with FileRange(spark, r["file"]) as data:
+            shard = Shard(data)
+            due = [i for i in wanted if r["low"] is not None and r["low"] <= i <= r["high"]] + [None] * (None in identifiers and r["nulls"] > 0)
+            found += [(i, ids.tolist()) for i in due for ids in shard.get(key_of(i))]
+    return found
+
+
+class FileRange:
+    """Slices of a file in any store that Hadoop reads; ``read`` counts the bytes asked for."""
+
+    def __init__(self, spark: SparkSession, file: str):
+        jvm = spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.size, self.stream, self.bytes_of, self.read = store.getFileStatus(path).getLen(), store.open(path), jvm.org.apache.commons.io.IOUtils.toByteArray, 0
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, part: slice) -> bytes:
+        self.stream.seek(part.start)
+        self.read += part.stop - part.start
+        return bytes(self.bytes_of(self.stream, part.stop - part.start))
+
+    def __enter__(self) -> FileRange:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.stream.close()
 
 
 def with_starts(rows: DataFrame, group: int = 1024) -> DataFrame:
