@@ -43,6 +43,8 @@ class SpeculativeBpe:
         self.rank = {(a, b): r for r, (a, b, _) in enumerate(vocab.merges)}
         self.product = [c for _, _, c in vocab.merges]
         self.byte_id = {t[0]: i for i, t in enumerate(self.tokens) if len(t) == 1}
+        if len(self.byte_id) < 256:
+            raise ValueError(f"{path} lacks {256 - len(self.byte_id)} of the 256 single bytes")
         self._edges(vocab)
         self.longest = max(map(len, self.by_bytes), default=0)
         keys = np.array([a << 32 | b for a, b, _ in vocab.merges], dtype=np.int64)
@@ -228,7 +230,11 @@ def digests(docs: DataFrame, keep: list[str] | None = None, path: str | None = N
 
 
 def round_trip(docs: DataFrame, keep: list[str], path: str | None = None, text_col: str = "text") -> DataFrame:
-    """The kept columns, ``ids`` and ``n_tokens`` of the texts that decode to themselves (null counts as empty)."""
+    """The kept columns, ``ids`` and ``n_tokens`` of every text (null counts as empty), each of which is decoded again.
+
+    Raises ValueError for a text that does not decode to itself, so that no row is lost
+    unseen; with byte-level vocabularies that hold all bytes there is none.
+    """
     path = path or public_tokenizers.path(VOCABULARY)
 
     def make():
@@ -236,13 +242,15 @@ def round_trip(docs: DataFrame, keep: list[str], path: str | None = None, text_c
 
         def run(texts):
             arrays = words.encode(texts)
-            whole = [codec.decode(ids.tolist()) == (text or "") for ids, text in zip(arrays, texts)]
-            return {"ids": arrays, "n_tokens": [len(ids) for ids in arrays], "__whole": whole}
+            for ids, text in zip(arrays, texts):
+                if codec.decode(ids.tolist()) != (text or ""):
+                    raise ValueError(f"a text of {len(text or '')} characters does not decode to itself: {(text or '')[:60]!r}")
+            return {"ids": arrays, "n_tokens": [len(ids) for ids in arrays]}
 
         return run
 
-    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("__whole", T.BooleanType())]
-    return map_text(docs, make, fields, keep, text_col).filter("__whole").drop("__whole")
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())]
+    return map_text(docs, make, fields, keep, text_col)
 
 
 def op3_bpe(spark, sf_dir) -> DataFrame:

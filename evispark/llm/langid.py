@@ -17,8 +17,9 @@ task scores a distinct word once and keeps a bounded cache.
 
 Defined cases: null texts and texts without a letter get ``und``, score 0 and are
 rejected; equal cross-entropies go to the first language in sorted order; repeated rows
-are scored alike; with no labelled document every text gets ``und``; an empty table
-gives an empty result; other columns are ignored.
+are scored alike; with no labelled document every text gets ``und`` and nothing is
+rejected, as nothing is known of any language; labelled rows without an identifier are
+drawn by their text; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -200,8 +201,9 @@ def labelled_sample(docs: DataFrame, per_language: int, text_col: str, lang_col:
     if not sizes:
         return labelled.limit(0).select(lang_col, text_col, F.lit(False).alias("held_back"))
     share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, per_language / n))])
-    drawn = labelled.filter(hash_share(id_col, "sample") < F.element_at(share, F.col(lang_col)))
-    return drawn.select(lang_col, text_col, (hash_share(id_col, "held back") < 0.2).alias("held_back"))
+    keyed = labelled.withColumn("__key", F.coalesce(F.col(id_col).cast("string"), F.col(text_col)))
+    drawn = keyed.filter(hash_share("__key", "sample") < F.element_at(share, F.col(lang_col)))
+    return drawn.select(lang_col, text_col, (hash_share("__key", "held back") < 0.2).alias("held_back"))
 
 
 def train(docs: DataFrame, order: int = 5, per_language: int = 1500, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> LanguageModels | None:
@@ -310,7 +312,7 @@ def identify(docs: DataFrame, models: LanguageModels | None, keep: list[str] | N
         def run(texts):
             n = len(texts)
             if scorer is None:
-                return {"lang_pred": [UNDETERMINED] * n, "score": [0.0] * n, "bits": [None] * n, "rejected": [True] * n}
+                return {"lang_pred": [UNDETERMINED] * n, "score": [0.0] * n, "bits": [None] * n, "rejected": [False] * n}
             best, score, lowest, some, rejected = verdicts(models, scorer, texts, slack)
             return {
                 "lang_pred": [models.languages[b] if s else UNDETERMINED for b, s in zip(best, some)],
@@ -326,13 +328,15 @@ def identify(docs: DataFrame, models: LanguageModels | None, keep: list[str] | N
 
 
 def keep_identified(docs: DataFrame, models: LanguageModels | None, slack: float = 1.5, text_col: str = "text") -> DataFrame:
-    """The rows, with their columns, whose text is not rejected."""
+    """The rows, with their columns, whose text is not rejected; all rows where there is no model."""
+    if models is None:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def make():
         models = shared.value
-        scorer = Scorer(models) if models else None
-        return lambda texts: ~verdicts(models, scorer, texts, slack)[4] if scorer else [False] * len(texts)
+        scorer = Scorer(models)
+        return lambda texts: ~verdicts(models, scorer, texts, slack)[4]
 
     return filter_text(docs, make, text_col)
 

@@ -99,8 +99,34 @@ def test_sstable_round_trip(docs, spark, tmp_path):
     assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in want.items()}
     ids = [r.doc_id for r in got]
     assert ids[0] is None and ids[1:] == sorted(ids[1:])
-    found = by_id(sstable.lookup(spark, path, [3, 5, 10**12]))
-    assert len(found[3]) == 1 and len(found[5]) == 2 and 10**12 not in found
+    sstable.write_manifest(spark, path)
+    for wanted in ([3, 5, 10**12, None], [], [10**12], [7]):
+        found = sorted(((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in sstable.lookup(spark, path, wanted)), key=repr)
+        assert found == sorted(((i, n, crc) for i in wanted for n, crc in want.get(i, [])), key=repr)
+
+
+def test_sstable_lookup_reads_few_bytes(spark, tmp_path):
+    rng = random.Random(2)
+    text = spark.createDataFrame([(i, " ".join(rng.choices(WORDS, k=300)) + str(rng.random())) for i in range(3000)], "doc_id long, text string")
+    path = f"file://{tmp_path}/large"
+    sstable.write_shards(text, path)
+    sstable.write_manifest(spark, path)
+    row = spark.read.parquet(f"{path}/_manifest").first()
+    assert (row.docs, row.low, row.high, row.nulls) == (3000, 0, 2999, 0)
+    with sstable.FileRange(spark, row.file) as data:
+        assert len(sstable.Shard(data).get(sstable.key_of(1234))) == 1
+        assert data.read < len(data) / 3
+
+
+def test_rows_equal_in_identifier_and_text_are_dealt_over_shards(spark, tmp_path):
+    path = f"file://{tmp_path}/equal"
+    rows = spark.createDataFrame([(7, "the same text again and again")] * 4000 + [(8, "other")], "doc_id long, text string").repartition(4)
+    sstable.write_shards(rows, path, shard_bytes=40_000)
+    sstable.write_manifest(spark, path)
+    assert spark.read.parquet(f"{path}/_manifest").filter("low = 7").count() > 3
+    assert len(sstable.lookup(spark, path, [7])) == 4000 and len(sstable.lookup(spark, path, [8])) == 1
+    starts = [r.start for r in sstable.with_starts(sstable.read_shards(spark, path)).collect()]
+    assert len(set(starts)) == 4001 and min(starts) == 0
 
 
 def test_sstable_of_an_empty_table(empty, spark, tmp_path):
