@@ -35,7 +35,7 @@ def secrets_redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds ids and n_tokens; a text that did not decode to itself would be left out."""
+    """Adds ids and n_tokens; raises if a text does not decode to itself."""
     return bpe.round_trip(docs, docs.columns)
 
 
