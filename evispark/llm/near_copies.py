@@ -161,7 +161,7 @@ def _with_partner(batches):
         yield kept(held)
 
 
-def near_cells(distinct: DataFrame, cell: int = 512) -> DataFrame:
+def near_cells(distinct: DataFrame, cell: int = 256) -> DataFrame:
     """The cells (fp, bits, cell) in which sets that share a band key meet another within the radius; ``distinct`` has fp, bits and bands."""
     keyed = distinct.select("fp", "bits", F.explode("bands").alias("key"))
     hashes = F.sum(F.xxhash64("fp").cast("decimal(38,0)"))
