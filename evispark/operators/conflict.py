@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.functions.levels import CONFLICT, weight
 
 PAIR = ("intervention", "outcome")
+DIRECTIONS = ("improved", "worsened", "unchanged")
 
 
 def severity(top: Column) -> Column:
@@ -61,6 +62,25 @@ def opposed_pairs(affects: DataFrame, keys: tuple[str, ...] = PAIR, mirrored: bo
     return a.join(b, [*on, other, differ])
 
 
+def opposed_counts(affects: DataFrame, keys: tuple[str, ...] = PAIR) -> DataFrame:
+    """For each key the number of ordered pairs of facts of different papers and directions, and the closest two such papers.
+
+    No pair is built: pairs are counted from totals by direction and by paper, and the
+    closest paper of another direction is the last one before in a window ordered by paper.
+    """
+    own = affects.groupBy(*keys, "source_paper_id", "direction").agg(F.count("*").alias("n"))
+    square = lambda c: F.sum(F.col(c) * F.col(c))
+    by_paper = own.groupBy(*keys, "source_paper_id").agg((F.pow(F.sum("n"), 2) - square("n")).alias("same_paper"), F.sum("n").alias("n"))
+    by_paper = by_paper.groupBy(*keys).agg(F.sum("same_paper").alias("same_paper"), F.sum("n").alias("total"))
+    by_direction = own.groupBy(*keys, "direction").agg(F.sum("n").alias("n")).groupBy(*keys).agg(square("n").alias("same_direction"))
+    before = Window.partitionBy(*keys).orderBy("source_paper_id").rangeBetween(Window.unboundedPreceding, -1)
+    # the last paper before may have the same direction only, so the last of each direction is looked at
+    seen = F.array(*(F.when(F.col("direction") != d, F.max(F.when(F.col("direction") == d, F.col("source_paper_id"))).over(before)) for d in DIRECTIONS))
+    closest = own.withColumn("gap", F.col("source_paper_id") - F.array_max(seen)).groupBy(*keys).agg(F.min("gap").alias("closest"))
+    n_pairs = (F.col("total") * F.col("total") - F.col("same_direction") - F.col("same_paper")).cast("long")
+    return by_paper.join(by_direction, [*keys]).withColumn("n_pairs", n_pairs).filter("n_pairs > 0").join(closest, [*keys]).select(*keys, "n_pairs", "closest")
+
+
 def gap_conflicts(studies: DataFrame, keys: tuple[str, ...] = PAIR, least_gap: float = 5.0) -> DataFrame:
     """Unordered pairs of studies whose evidence scores lie ``least_gap`` apart, counted for each key.
 

@@ -69,6 +69,27 @@ def similar_entities(up: DataFrame, most: int = 2, reach: int = 3) -> DataFrame:
     return kin.groupBy(F.col("a.node").alias("node"), F.col("b.node").alias("relative")).agg(F.min(F.col("a.distance") + F.col("b.distance")).alias("distance"))
 
 
+def kin_totals(up: DataFrame, most: int = 4, reach: int = 3, values: DataFrame | None = None) -> DataFrame:
+    """(node, distance, n_relatives, total): relatives in other branches of a common ancestor, by the distance over it, with the sum of their values.
+
+    Members are summed by ancestor and depth, and once more by the branch below the
+    ancestor; a node's relatives over an ancestor are the members less those of its own
+    branch. No pair of nodes is built. ``values`` has (node, value). In a hierarchy where
+    a node has several parents, relatives count once for each way to them.
+    """
+    near = up.filter(F.col("distance") <= F.lit(min(reach, most - 1))).withColumn("branch", F.element_at("path", -2))
+    valued = near.join(values, "node", "left") if values is not None else near.withColumn("value", F.lit(0))
+    sums = [F.count("*").alias("n"), F.sum(F.coalesce("value", F.lit(0))).alias("v")]
+    branches = valued.groupBy("ancestor", "branch", "distance").agg(*sums)
+    members = branches.groupBy("ancestor", F.col("distance").alias("depth")).agg(F.sum("n").alias("all_n"), F.sum("v").alias("all_v"))
+    own = branches.withColumnsRenamed({"distance": "depth", "n": "own_n", "v": "own_v"})
+    # one row for each branch of an ancestor and depth: what lies outside the branch
+    outside = branches.select("ancestor", "branch").distinct().join(members, "ancestor").join(own, ["ancestor", "branch", "depth"], "left")
+    outside = outside.select("ancestor", "branch", "depth", (F.col("all_n") - F.coalesce("own_n", F.lit(0))).alias("n"), (F.col("all_v") - F.coalesce("own_v", F.lit(0))).alias("v"))
+    met = near.select("node", "ancestor", "branch", "distance").join(outside, ["ancestor", "branch"]).filter((F.col("distance") + F.col("depth") <= most) & (F.col("n") > 0))
+    return met.groupBy("node", (F.col("distance") + F.col("depth")).alias("distance")).agg(F.sum("n").alias("n_relatives"), F.sum("v").alias("total"))
+
+
 def tree(up: DataFrame, depth: int = 3) -> DataFrame:
     """Roots with the number of descendants at each level down to ``depth``."""
     nodes = up.select(F.col("node").alias("n")).distinct()

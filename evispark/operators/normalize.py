@@ -40,13 +40,21 @@ def indel_ratio(a: str, b: str) -> Column:
     return batch(a, b)
 
 
+def letter_pairs(name: str) -> Column:
+    """The distinct pairs of neighbouring letters of a text column."""
+    pairs = F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.substring(F.col(name), i, F.lit(2)))
+    return F.array_distinct(F.when(F.length(name) >= 2, pairs).otherwise(F.array().cast("array<string>")))
+
+
 def normalize(names: DataFrame, aliases: DataFrame, least_overlap: float = 0.8, least_ratio: float = 0.85) -> DataFrame:
     """(name, canonical, confidence, method) for each distinct name.
 
     ``aliases`` has (alias, canonical, ord), ``ord`` deciding ties. Stages: exact, equal
     words (overlap of the larger word set), then fuzzy. Each stage is an equi-join: on the
-    key, on a shared word, and, for fuzzy, on the first letter with lengths that allow the
-    ratio. A name is left to a later stage only if no earlier one has it.
+    key, on a shared word, and, for fuzzy, on a shared pair of letters with lengths that
+    allow the ratio: from a ratio of 0.75 on, names of two letters or more always share
+    such a pair, as an edit breaks two pairs at most. A name is left to a later stage only
+    if no earlier one has it.
     """
     n = names.select("name", key(F.col("name")).alias("k"), words(F.col("name")).alias("w")).distinct()
     a = aliases.select(key(F.col("alias")).alias("ak"), words(F.col("alias")).alias("aw"), "canonical", "ord")
@@ -58,7 +66,8 @@ def normalize(names: DataFrame, aliases: DataFrame, least_overlap: float = 0.8,
     token = pick(shared.filter(F.col("share") >= least_overlap).withColumn("confidence", F.round(0.9 + 0.1 * F.col("share"), 6)), [-F.col("share"), F.col("ord")])
     left = rest.join(token.select("name"), "name", "left_anti")
     fits = 2 * F.least(F.length("k"), F.length("ak")) >= least_ratio * (F.length("k") + F.length("ak"))
-    close = left.join(a, (F.substring("k", 1, 1) == F.substring("ak", 1, 1)) & fits).withColumn("confidence", F.round(indel_ratio("k", "ak"), 6))
+    close = left.withColumn("g", F.explode(letter_pairs("k"))).join(a.withColumn("g", F.explode(letter_pairs("ak"))), "g").filter(fits)
+    close = close.select("name", "k", "ak", "canonical", "ord").distinct().withColumn("confidence", F.round(indel_ratio("k", "ak"), 6))
     fuzzy = pick(close.filter(F.col("confidence") >= least_ratio), [-F.col("confidence"), F.col("ord")])
     found = None
     for method, df in (("exact", exact), ("token", token), ("fuzzy", fuzzy)):

@@ -79,16 +79,17 @@ def merge_adaptive(graph: DataFrame, vector: DataFrame, key: str, kind: str) ->
     return both.select(key, F.round(score, 6).alias("score"))
 
 
-def reciprocal_rank_fusion(lists: dict[str, tuple[DataFrame, float]], key: str, order: list[Column], groups: tuple[str, ...] = ()) -> DataFrame:
+def reciprocal_rank_fusion(lists: dict[str, tuple[DataFrame, float]], key: str, order: list[Column], groups: tuple[str, ...] = (), depth: int = 200) -> DataFrame:
     """Weighted sums of 1 / (60 + rank) over ranked lists, by group.
 
-    Ranks come from a window by group; without a group the ranking is a report over a
-    bounded list, and Spark ranks it in one task.
+    Each list is a search's result: the first ``depth`` rows of a group by the order.
+    The limit reaches every partition before the shuffle, so a task ranks ``depth`` rows a
+    partition at most, whatever the number of groups.
     """
     w = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))).orderBy(*order)
     out = None
     for df, weight in lists.values():
-        part = df.withColumn("__rank", F.row_number().over(w)).select(*groups, key, (F.lit(weight) / (RRF_K + F.col("__rank"))).alias("part"))
+        part = df.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= depth).select(*groups, key, (F.lit(weight) / (RRF_K + F.col("__rank"))).alias("part"))
         out = part if out is None else out.unionByName(part)
     return out.groupBy(*groups, key).agg(F.round(F.sum("part"), 12).alias("rrf"))
 

@@ -49,19 +49,21 @@ def tokens(text: str | Column) -> Column:
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score) of every document that shares a term with a query.
 
-    Terms of documents that no query has are dropped by a join with the queries' terms
-    right after the explode, before any shuffle; lengths and counts cover all documents.
+    Texts are split once. Terms that no query has count towards a document's length only:
+    they become one row a document in the partial counts, before any shuffle. Statistics,
+    document frequencies and scores all read that one small shuffle again.
     """
-    length = F.size("terms")
-    split = docs.select("doc_id", tokens("text").alias("terms")).withColumn("length", length)
-    stats = split.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
     wanted = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    vocabulary = wanted.select("term").distinct()
-    tf = split.select("doc_id", "length", F.explode("terms").alias("term")).join(vocabulary, "term").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
+    vocabulary = wanted.select("term", F.col("term").alias("known")).distinct()
+    split = docs.select("doc_id", F.explode_outer(tokens("text")).alias("term")).join(vocabulary, "term", "left")
+    counts = split.groupBy("doc_id", "known").agg(F.count("term").alias("tf"))
+    lengths = counts.groupBy("doc_id").agg(F.sum("tf").alias("length"))
+    stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
+    tf = counts.filter("known IS NOT NULL").withColumnRenamed("known", "term")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    scored = wanted.join(tf, "term").join(df, "term").crossJoin(F.broadcast(stats)).withColumn("part", part)
+    scored = wanted.join(tf.join(lengths, "doc_id"), "term").join(df, "term").crossJoin(F.broadcast(stats)).withColumn("part", part)
     return scored.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
@@ -102,15 +104,17 @@ def similarity_join(sets: DataFrame, key: str, element: str, least: float, most_
     small, large = F.col("n") <= 1 / least**2 + 1e-9, F.col("n") > most_pairs * least
     none = F.array().cast("array<string>")
     keys = F.concat(F.when(small | large, ones).otherwise(none), F.when((needed >= 2) & (F.col("n") <= most_pairs), two).otherwise(none))
-    # the sets travel with their keys, so that a pair is verified where it is met and few pairs are shuffled
-    met = classes.select("id", "n_members", "items", "n", F.explode(keys).alias("e"))
+    # identifiers and keys alone meet; sets are joined to the distinct candidates afterwards
+    met = classes.select("id", "n", F.explode(keys).alias("e"))
     a, b = met.alias("a"), met.alias("b")
     fits = (F.col("a.id") < F.col("b.id")) & (F.col("b.n") >= least * F.col("a.n")) & (F.col("a.n") >= least * F.col("b.n"))
-    pairs = a.join(b, (F.col("a.e") == F.col("b.e")) & fits)
-    common = F.size(F.array_intersect("a.items", "b.items"))
-    similarity = common / (F.col("a.n") + F.col("b.n") - common).cast("double")
-    found = pairs.select(F.col("a.id").alias("first"), F.col("b.id").alias("second"), F.col("a.n_members").alias("n_first"), F.col("b.n_members").alias("n_second"), similarity.alias("similarity"))
-    return found.filter(F.col("similarity") >= least).distinct().withColumn("similarity", F.round("similarity", 6))
+    pairs = a.join(b, (F.col("a.e") == F.col("b.e")) & fits).select(F.col("a.id").alias("first"), F.col("b.id").alias("second")).distinct()
+    side = lambda name, of: classes.select(F.col("id").alias(name), F.col("items").alias(f"items_{of}"), F.col("n").alias(f"size_{of}"), F.col("n_members").alias(f"n_{name}"))
+    whole = pairs.join(side("first", "a"), "first").join(side("second", "b"), "second")
+    common = F.size(F.array_intersect("items_a", "items_b"))
+    similarity = common / (F.col("size_a") + F.col("size_b") - common).cast("double")
+    found = whole.select("first", "second", "n_first", "n_second", similarity.alias("similarity"))
+    return found.filter(F.col("similarity") >= least).withColumn("similarity", F.round("similarity", 6))
 
 
 def nearest_cached(entries: DataFrame, probes: DataFrame, least: float) -> DataFrame:

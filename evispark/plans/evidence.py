@@ -14,9 +14,7 @@ D = lambda x: f"CAST({x} AS DOUBLE)"
 QUERIES = {
     "conflict_report": lambda s, d: conflict.conflict_report(t.evidence(s, d)),
     "conflict_gap_pairs": lambda s, d: conflict.gap_conflicts(t.evidence(s, d)),
-    "conflict_within_pair": lambda s, d: conflict.opposed_pairs(t.affects(s, d).filter("is_significant AND rate >= 0.09"))
-    .groupBy(F.col("a.intervention").alias("intervention"), F.col("a.outcome").alias("outcome"))
-    .agg(F.count("*").alias("n_pairs"), F.min(F.abs(F.col("a.source_paper_id") - F.col("b.source_paper_id"))).alias("closest")),
+    "conflict_within_pair": lambda s, d: conflict.opposed_counts(t.affects(s, d).filter("is_significant")),
     "conflict_across_interventions": lambda s, d: _across(s, d),
     "synthesis_pooled": lambda s, d: synthesis.pooled(t.evidence(s, d), "effect"),
     "synthesis_grade": lambda s, d: synthesis.synthesize(t.evidence(s, d), "effect"),
@@ -80,7 +78,7 @@ FROM s a JOIN s b ON a.intervention = b.intervention AND a.outcome = b.outcome A
     ),
     "conflict_within_pair": with_tables(
         "affects",
-        then=f""", f AS (SELECT * FROM affects WHERE is_significant AND rate >= {D(0.09)})
+        then=""", f AS (SELECT * FROM affects WHERE is_significant)
 SELECT a.intervention, a.outcome, count(*) AS n_pairs, min(abs(a.source_paper_id - b.source_paper_id)) AS closest
 FROM f a JOIN f b ON a.intervention = b.intervention AND a.outcome = b.outcome AND a.source_paper_id <> b.source_paper_id AND a.direction <> b.direction GROUP BY 1, 2""",
     ),

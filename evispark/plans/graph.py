@@ -96,13 +96,14 @@ def pathology_interventions(s, d):
 def treatment_comparison(s, d):
     """Pairs of interventions of one category that treat a pathology, with mean p-values on the outcomes they share."""
     means = t.affects(s, d).groupBy("intervention", "outcome").agg(F.avg("p_value").alias("p"))
-    tr = t.treats(s, d, 20).join(t.intervention(s, d).select("intervention", "category"), "intervention").select("intervention", "pathology", "category")
+    # one map of outcomes an intervention, as long as the list of outcomes, so that pairs meet their means without a shuffle by outcome
+    maps = means.groupBy("intervention").agg(F.map_from_entries(F.collect_list(F.struct("outcome", F.round("p", 6)))).alias("of"))
+    tr = t.treats(s, d, 20).join(t.intervention(s, d).select("intervention", "category"), "intervention").join(maps, "intervention").select("intervention", "pathology", "category", "of")
     a, b = tr.alias("a"), tr.alias("b")
     pairs = a.join(b, (F.col("a.pathology") == F.col("b.pathology")) & (F.col("a.category") == F.col("b.category")) & (F.col("a.intervention") < F.col("b.intervention")))
-    pairs = pairs.select(F.col("a.pathology").alias("pathology"), F.col("a.intervention").alias("first"), F.col("b.intervention").alias("second"))
-    x = means.select(F.col("intervention").alias("first"), "outcome", F.col("p").alias("p1"))
-    y = means.select(F.col("intervention").alias("second"), "outcome", F.col("p").alias("p2"))
-    return pairs.join(x, "first").join(y, ["second", "outcome"], "left").select("pathology", "first", "second", "outcome", F.round("p1", 6).alias("p1"), F.round("p2", 6).alias("p2"))
+    names = [F.col("a.pathology").alias("pathology"), F.col("a.intervention").alias("first"), F.col("b.intervention").alias("second")]
+    rows = pairs.select(*names, F.col("b.of").alias("other"), F.explode("a.of").alias("outcome", "p1"))
+    return rows.select("pathology", "first", "second", "outcome", "p1", F.try_element_at("other", F.col("outcome")).alias("p2"))
 
 
 def head_to_head(s, d):
@@ -122,7 +123,7 @@ def paper_star(s, d):
 
 def compare_outcomes(s, d):
     """Outcomes of two categories side by side: shared, or of one only."""
-    facts = t.affects(s, d).filter("is_significant AND rate > 0.08").join(t.intervention(s, d).select("intervention", "category"), "intervention")
+    facts = t.affects(s, d).filter("is_significant").join(t.intervention(s, d).select("intervention", "category"), "intervention")
     facts = facts.withColumn("outcome", F.concat_ws("/", "outcome", F.col("effect").cast("int").cast("string")))
     one = facts.filter("category = 1").groupBy("outcome").agg(F.count("*").alias("n1"))
     two = facts.filter("category = 2").groupBy("outcome").agg(F.count("*").alias("n2"))
@@ -329,7 +330,7 @@ SELECT paper_id, pathology, interventions, outcomes FROM studies LEFT JOIN i USI
     ),
     "join_compare_outcomes": with_tables(
         "affects", "intervention",
-        then=f""", f AS (SELECT category, outcome || '/' || CAST(CAST(effect AS INTEGER) AS VARCHAR) AS outcome FROM affects JOIN intervention USING (intervention) WHERE is_significant AND rate > {D(0.08)}),
+        then=f""", f AS (SELECT category, outcome || '/' || CAST(CAST(effect AS INTEGER) AS VARCHAR) AS outcome FROM affects JOIN intervention USING (intervention) WHERE is_significant),
 a AS (SELECT outcome, count(*) AS n1 FROM f WHERE category = 1 GROUP BY 1), b AS (SELECT outcome, count(*) AS n2 FROM f WHERE category = 2 GROUP BY 1)
 SELECT outcome, n1, n2, CASE WHEN n1 IS NOT NULL AND n2 IS NOT NULL THEN 'shared' WHEN n2 IS NULL THEN 'first' ELSE 'second' END AS bucket FROM a FULL JOIN b USING (outcome)""",
     ),

@@ -41,7 +41,7 @@ QUERIES = {
     "hierarchy_common_ancestor": lambda s, d: h.common_ancestors(_up(s, d), _pairs(s, d)),
     "hierarchy_levels": lambda s, d: h.levels(_up(s, d)),
     "hierarchy_similar": lambda s, d: h.similar_entities(_up(s, d)),
-    "hierarchy_cousins": lambda s, d: h.similar_entities(_up(s, d).filter("node LIKE 'N%'"), most=4),
+    "hierarchy_cousins": lambda s, d: h.kin_totals(_up(s, d), most=4).select("node", "distance", "n_relatives"),
     "hierarchy_tree": lambda s, d: h.tree(_up(s, d)),
     "hierarchy_problems": lambda s, d: h.problems(t.is_a(s, d), t.table(s, d, "customer").select(F.concat(F.lit("N"), (F.col("c_nationkey") * 2).cast("string")).alias("node")), _up(s, d)),
     "hierarchy_expand": lambda s, d: h.expand(_up(s, d), t.table(s, d, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("name")), 2),
@@ -67,10 +67,13 @@ def _pairs(s, d):
 
 
 def _related(s, d):
-    """Papers counted over each intervention's relatives: those below a shared parent or grandparent."""
-    kin = h.similar_entities(_up(s, d).filter("node LIKE 'S%'"), most=2)
-    papers = t.investigates(s, d).select(F.concat(F.lit("S"), F.col("intervention").cast("string")).alias("relative"), "paper_id").groupBy("relative").agg(F.count("*").alias("n"))
-    return kin.join(papers, "relative").groupBy("node").agg(F.sum("n").alias("n_paper_links"), F.count("*").alias("n_relatives"))
+    """Papers of each node's relatives below a shared parent or grandparent, and of the node's ancestors up to there, summed by ancestor."""
+    up = _up(s, d)
+    papers = t.investigates(s, d).select(F.concat(F.lit("S"), F.col("intervention").cast("string")).alias("node"), "paper_id").groupBy("node").agg(F.count("*").alias("value"))
+    kin = h.kin_totals(up, most=4, reach=2, values=papers).groupBy("node").agg(F.sum("total").alias("n_paper_links"), F.sum("n_relatives").alias("n_relatives"))
+    above = up.filter("distance <= 2").join(papers.withColumnRenamed("node", "ancestor"), "ancestor", "left").groupBy("node").agg(F.count("*").alias("n_ancestors"), F.coalesce(F.sum("value"), F.lit(0)).alias("n_above"))
+    links = (F.coalesce("n_paper_links", F.lit(0)) + F.col("n_above")).cast("long").alias("n_paper_links")
+    return above.join(kin, "node", "left").select("node", links, F.coalesce("n_relatives", F.lit(0)).alias("n_relatives"), "n_ancestors")
 
 
 _facts_sql = "facts AS (SELECT *, 'S' || intervention AS entity FROM affects)"
@@ -81,6 +84,9 @@ W = lambda x: f"CAST({x} AS DOUBLE) AS rule_weight"
 _kin = """kin AS (SELECT a.node, b.node AS relative, min(a.distance + b.distance) AS distance FROM up a JOIN up b ON a.ancestor = b.ancestor AND a.node <> b.node
   WHERE a.distance + b.distance <= {0} AND a.distance <= {1} AND b.distance <= {1} {2} GROUP BY 1, 2)"""
 
+# Kin in the narrow sense: neither is an ancestor of the other.
+_apart = "AND NOT EXISTS (SELECT 1 FROM up z WHERE z.node = a.node AND z.ancestor = b.node) AND NOT EXISTS (SELECT 1 FROM up z WHERE z.node = b.node AND z.ancestor = a.node)"
+
 ORACLE = {
     "hierarchy_closure": """WITH RECURSIVE is_a AS (SELECT 'S' || s_suppkey AS child, 'N' || s_nationkey AS parent FROM supplier
   UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation UNION ALL SELECT 'R' || r_regionkey, 'ROOT' FROM region),
@@ -98,7 +104,7 @@ SELECT a, b, ancestor, total AS total_distance FROM c WHERE rn = 1""",
     ),
     "hierarchy_levels": with_tables("up", then="SELECT node, min(distance) AS level FROM up WHERE ancestor = 'ROOT' GROUP BY 1"),
     "hierarchy_similar": with_tables("up", then=", " + _kin.format(2, 1, "") + " SELECT * FROM kin"),
-    "hierarchy_cousins": with_tables("up", then=", " + _kin.format(4, 3, "AND a.node LIKE 'N%' AND b.node LIKE 'N%'") + " SELECT * FROM kin"),
+    "hierarchy_cousins": with_tables("up", then=", " + _kin.format(4, 3, _apart) + " SELECT node, distance, count(*) AS n_relatives FROM kin GROUP BY 1, 2"),
     "hierarchy_tree": with_tables("up", then="SELECT ancestor AS root, distance, count(DISTINCT node) AS n_descendants FROM up WHERE distance <= 3 AND ancestor NOT IN (SELECT child FROM is_a) GROUP BY 1, 2"),
     "hierarchy_problems": with_tables(
         "up",
@@ -112,9 +118,11 @@ SELECT name, name AS expanded FROM n UNION SELECT name, ancestor FROM n JOIN up
     ),
     "hierarchy_related_evidence": with_tables(
         "up", "investigates",
-        then=", " + _kin.format(2, 1, "AND a.node LIKE 'S%' AND b.node LIKE 'S%'")
-        + """, n AS (SELECT 'S' || intervention AS relative, count(*) AS n FROM investigates GROUP BY 1)
-SELECT node, CAST(sum(n) AS BIGINT) AS n_paper_links, count(*) AS n_relatives FROM kin JOIN n USING (relative) GROUP BY 1""",
+        then=", " + _kin.format(4, 2, _apart)
+        + """, n AS (SELECT 'S' || intervention AS x, count(*) AS n FROM investigates GROUP BY 1),
+k AS (SELECT node, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_relatives FROM kin LEFT JOIN n ON relative = x GROUP BY 1),
+a AS (SELECT node, count(*) AS n_ancestors, CAST(sum(n) AS BIGINT) AS n FROM up LEFT JOIN n ON ancestor = x WHERE distance <= 2 GROUP BY 1)
+SELECT node, coalesce(k.n, 0) + coalesce(a.n, 0) AS n_paper_links, coalesce(n_relatives, 0) AS n_relatives, n_ancestors FROM a LEFT JOIN k USING (node)""",
     ),
     "rule_transitive_hierarchy": with_tables("up", then=f"SELECT node, ancestor, distance, {W(1)} FROM up"),
     "rule_transitive_descendants": with_tables("up", then=f"SELECT ancestor AS node, node AS descendant, distance, {W(1)} FROM up"),

@@ -202,8 +202,9 @@ b AS (SELECT paper_id, coalesce(g, {D(0)}) AS g, coalesce(v, {D(0)}) AS v FROM g
     "rank_tier_fill": with_tables("paper", then=f", {HITS}, p AS (SELECT sub_domain, paper_id AS id, tier, row_number() OVER (PARTITION BY sub_domain ORDER BY tier, semantic_score DESC, paper_id) AS place FROM hits) SELECT * FROM p WHERE place <= 25"),
     "fusion_rrf": with_tables(
         "paper",
-        then=f""", {HITS}, u AS (SELECT sub_domain, paper_id, {D(0.7)} / (60 + row_number() OVER (PARTITION BY sub_domain ORDER BY semantic_score DESC, paper_id)) AS part FROM hits
-UNION ALL SELECT sub_domain, paper_id, {D(0.3)} / (60 + row_number() OVER (PARTITION BY sub_domain ORDER BY graph_score DESC, paper_id)) FROM hits WHERE graph_score IS NOT NULL) SELECT sub_domain, paper_id, round(sum(part), 12) AS rrf FROM u GROUP BY 1, 2""",
+        then=f""", {HITS}, k AS (SELECT sub_domain, paper_id, {D(0.7)} AS w, row_number() OVER (PARTITION BY sub_domain ORDER BY semantic_score DESC, paper_id) AS place FROM hits
+UNION ALL SELECT sub_domain, paper_id, {D(0.3)}, row_number() OVER (PARTITION BY sub_domain ORDER BY graph_score DESC, paper_id) FROM hits WHERE graph_score IS NOT NULL),
+u AS (SELECT sub_domain, paper_id, w / (60 + place) AS part FROM k WHERE place <= 200) SELECT sub_domain, paper_id, round(sum(part), 12) AS rrf FROM u GROUP BY 1, 2""",
     ),
     "fusion_best_of": with_tables(
         "paper",

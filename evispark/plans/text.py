@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evispark.functions import classify, identifiers, numeric, references
-from evispark.operators import cache, chunk, extract, maintain, normalize
+from evispark.operators import cache, chunk, extract, maintain, normalize, search
 from evispark.sources import tables as t
 from evispark.sources.tables import with_tables
 
@@ -62,11 +62,9 @@ def segment_rows(s, d):
 
 
 def title_pairs(s, d):
-    p = t.table(s, d, "part").select("p_partkey", "p_name", "p_brand")
-    a, b = p.alias("a"), p.alias("b")
-    pairs = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") < F.col("b.p_partkey")) & (F.col("b.p_partkey") - F.col("a.p_partkey") < 100))
-    sim = F.round(identifiers.title_similarity(F.col("a.p_name"), F.col("b.p_name")), 6)
-    return pairs.groupBy(sim.alias("similarity")).agg(F.count("*").alias("n_pairs"))
+    """All pairs of classes of equal titles whose sets of words agree to a half or more."""
+    words = t.table(s, d, "part").select("p_partkey", F.explode(normalize.words(F.col("p_name"))).alias("word"))
+    return search.similarity_join(words, "p_partkey", "word", 0.5)
 
 
 def _aliases(s):
@@ -81,7 +79,7 @@ def normalized(s, d):
 
 def fuzzy(s, d):
     names = t.table(s, d, "part").select(F.concat(F.col("p_name"), F.lit("s")).alias("name"))
-    return normalize.normalize(names, _aliases(s)).groupBy("method").agg(F.count("*").alias("n"))
+    return normalize.normalize(names, _aliases(s)).select("name", "canonical", "method", F.round("confidence", 6).alias("confidence"))
 
 
 def alias_mentions(s, d):
@@ -217,9 +215,9 @@ SELECT p_partkey, round(i - c, 6) AS difference, round((i - c) / abs(c) * 100, 6
     "text_segments": """WITH x AS (SELECT p_size % 4 + 1 AS a, p_size % 5 + 2 AS b FROM part),
 r AS (SELECT a, b, unnest(range(a, b)) AS i FROM x WHERE a < b), u AS (SELECT 'L' || i || '-' || (i + 1) AS segment FROM r UNION ALL SELECT 'L' || a || '-' || b FROM x WHERE a >= b)
 SELECT segment, count(*) AS n FROM u GROUP BY 1""",
-    "text_title_similarity": f"""WITH w AS (SELECT p_partkey, p_brand, {_words("p_name")} AS w FROM part)
-SELECT round(CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / len(list_distinct(list_concat(a.w, b.w))), 6) AS similarity, count(*) AS n_pairs
-FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND b.p_partkey - a.p_partkey < 100 GROUP BY 1""",
+    "text_title_similarity": f"""WITH s AS (SELECT p_partkey, list_sort({_words("p_name")}) AS items FROM part), c AS (SELECT items, min(p_partkey) AS id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.id AS first, b.id AS second, a.n AS n_first, b.n AS n_second, len(list_intersect(a.items, b.items)) / {D("len(list_distinct(list_concat(a.items, b.items)))")} AS similarity FROM c a JOIN c b ON a.id < b.id)
+SELECT first, second, n_first, n_second, round(similarity, 6) AS similarity FROM p WHERE similarity >= {D(0.5)}""",
     "text_normalize": f"""WITH n AS (SELECT DISTINCT p_name AS name FROM part), a(alias, canonical, ord) AS (VALUES {", ".join(f"('{a}', '{c}', {i})" for i, (a, c) in enumerate(ALIASES))}),
 e AS (SELECT name, canonical, ord, row_number() OVER (PARTITION BY name ORDER BY ord) AS rn FROM n JOIN a ON lower(name) = alias),
 w AS (SELECT name, canonical, ord, CAST(len(list_intersect({_words("name")}, {_words("alias")})) AS DOUBLE) / greatest(len({_words("name")}), len({_words("alias")})) AS share FROM n, a WHERE name NOT IN (SELECT name FROM e)),
