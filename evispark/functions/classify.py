@@ -30,23 +30,25 @@ SUB_DOMAINS: list[Rule] = [
     ("Tumor", r"\b(?:tumou?r|metasta\w+|cancer)\b", 1.0),
     ("Basic Science", r"\b(?:in vitro|animal model|cell|biomechanic\w*)\b", 1.0),
 ]
-# First hit wins, in this order.
-STUDY_DESIGNS: list[tuple[str, str]] = [
-    ("other", r"\bnon[\-_\s]?randomi[sz]ed\b"),
-    ("meta-analysis", r"meta[- ]?analysis"),
-    ("systematic-review", r"systematic[ _]review"),
-    ("RCT", r"randomi[sz]ed|\brct\b"),
-    ("prospective-cohort", r"prospective[ _]cohort"),
-    ("retrospective-cohort", r"retrospective[ _]cohort"),
-    ("case-control", r"case[-_ ]control"),
-    ("cross-sectional", r"cross[-_ ]sectional"),
-    ("case-series", r"case[_ ]series"),
-    ("case-report", r"case[_ ]report"),
-    ("retrospective-cohort", r"retrospective"),
-    ("prospective-cohort", r"prospective"),
-    ("retrospective-cohort", r"cohort"),
-    ("expert-opinion", r"expert opinion|editorial"),
-]
+# Designs by the names that they go by, hyphens and underscores read as spaces. Phrases are looked for before single words.
+DESIGN_PHRASES = {
+    "other": ["non randomized", "non randomised", "nonrandomized", "nonrandomised"],
+    "meta-analysis": ["meta analysis", "metaanalysis"],
+    "systematic-review": ["systematic review"],
+    "RCT": ["randomized", "randomised", "rct"],
+    "prospective-cohort": ["prospective cohort"],
+    "retrospective-cohort": ["retrospective cohort"],
+    "case-control": ["case control"],
+    "cross-sectional": ["cross sectional"],
+    "case-series": ["case series"],
+    "case-report": ["case report"],
+}
+DESIGN_WORDS = {"retrospective": "retrospective-cohort", "prospective": "prospective-cohort", "cohort": "retrospective-cohort", "expert opinion": "expert-opinion", "editorial": "expert-opinion"}
+# Whole names and abbreviations that stand for a design.
+DESIGN_ALIASES = {
+    "ma": "meta-analysis", "sr": "systematic-review", "trial": "RCT", "controlled trial": "RCT", "observational": "retrospective-cohort", "longitudinal": "prospective-cohort",
+    "survey": "cross-sectional", "case study": "case-report", "commentary": "expert-opinion", "letter": "expert-opinion", "narrative review": "expert-opinion",
+}
 QUERY_TYPES: list[tuple[str, str]] = [
     ("comparative", r"\bvs\b|\bversus\b|\bcompar(?:e|ison)\b|\bdifference between\b"),
     ("evidence", r"\bevidence (?:for|of)\b|\bproven to\b|\bstatistically significant\b|\bp-value\b"),
@@ -98,8 +100,16 @@ def first(text: Column, rules: Sequence[tuple[str, str]], default: str) -> Colum
 
 
 def study_design(text: Column) -> Column:
-    """Canonical study design; empty for an empty text, other where nothing fits."""
-    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", "").otherwise(first(text, STUDY_DESIGNS, "other"))
+    """Canonical study design: a whole name or abbreviation, else a phrase, else a word; empty for an empty text, other where nothing fits."""
+    plain = F.trim(F.regexp_replace(F.lower(text), r"[-_\s]+", " "))
+    out = F.when(F.coalesce(plain, F.lit("")) == "", "")
+    for name, label in DESIGN_ALIASES.items():
+        out = out.when(plain == name, label)
+    for label, names in DESIGN_PHRASES.items():
+        out = out.when(plain.rlike("|".join(names)), label)
+    for name, label in DESIGN_WORDS.items():
+        out = out.when(F.contains(plain, F.lit(name)), label)
+    return out.otherwise("other")
 
 
 def level_of_design(design: Column) -> Column:

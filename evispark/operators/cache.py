@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from collections import OrderedDict
 from collections.abc import Callable
 
@@ -38,30 +39,41 @@ def hit_rates(log: DataFrame, key: str, at: str, ttl_seconds: int) -> DataFrame:
 
 
 class QueryCache:
-    """Cached DataFrames by query name and parameters, least recently used first out."""
+    """Cached DataFrames by query name and parameters: least recently used first out, and built again once older than ``ttl_seconds`` (0: never)."""
 
-    def __init__(self, size: int = 32):
-        self.size, self.held, self.hits, self.misses = size, OrderedDict(), 0, 0
+    def __init__(self, size: int = 32, ttl_seconds: float = 3600, clock: Callable[[], float] = time.monotonic):
+        self.size, self.ttl, self.clock = size, ttl_seconds, clock
+        self.held, self.hits, self.misses = OrderedDict(), 0, 0
 
     @staticmethod
     def key(name: str, parameters: dict) -> str:
         return hashlib.sha256(json.dumps([name, parameters], sort_keys=True, default=str).encode()).hexdigest()
 
     def get(self, name: str, parameters: dict, build: Callable[[], DataFrame]) -> DataFrame:
-        key = self.key(name, parameters)
+        key, now = self.key(name, parameters), self.clock()
+        if key in self.held and self.ttl and now - self.held[key][2] > self.ttl:
+            self.held.pop(key)[1].unpersist()
         if key in self.held:
             self.hits += 1
             self.held.move_to_end(key)
         else:
             self.misses += 1
-            self.held[key] = (name, build().persist())
+            self.held[key] = (name, build().persist(), now)
             while len(self.held) > self.size:
                 self.held.popitem(last=False)[1][1].unpersist()
         return self.held[key][1]
 
     def invalidate(self, part: str = "") -> int:
         """Drops entries whose query name contains ``part``; returns how many."""
-        gone = [k for k, (name, _) in self.held.items() if part in name]
+        gone = [k for k, (name, *_) in self.held.items() if part in name]
+        for k in gone:
+            self.held.pop(k)[1].unpersist()
+        return len(gone)
+
+    def clean(self) -> int:
+        """Drops expired entries; returns how many."""
+        now = self.clock()
+        gone = [k for k, (_, _, at) in self.held.items() if self.ttl and now - at > self.ttl]
         for k in gone:
             self.held.pop(k)[1].unpersist()
         return len(gone)

@@ -70,6 +70,18 @@ def section_chunks(text: str | None, most_words: int = 500) -> list[tuple[str, s
     return out
 
 
+TIER_ONE = {"abstract", "results", "result", "conclusion", "conclusions"}
+
+
+def tiered_chunks(text: str | None, most: int = 512, overlap: int = 50) -> list[tuple[str, str]]:
+    """(section, chunk) where sections that matter most are marked "1:" before their name, all others "2:"; each section is cut by ``recursive_chunks``."""
+    text = text or ""
+    heads = list(HEADER.finditer(text))
+    bodies = [("other", text[: heads[0].start()] if heads else text)]
+    bodies += [(h[1].lower(), text[h.end() : n.start() if n else len(text)]) for h, n in zip(heads, [*heads[1:], None])]
+    return [(f"{1 if name in TIER_ONE else 2}:{name}", chunk) for name, body in bodies if body.strip() for chunk in recursive_chunks(body, most, overlap)]
+
+
 def structured_abstract(text: str | None, most: int = 1500) -> list[tuple[str, str]]:
     """(label, chunk) of an abstract with two labels or more; none else."""
     text = text or ""

@@ -63,6 +63,37 @@ def graph_score(direction: Column, level: str) -> Column:
     return F.least(F.lit(1.0), lv.weight(level, lv.HYBRID, 0.1) * boost)
 
 
+# What a concept's distance from the one asked for is worth, by steps.
+DISTANCE_SCORES = {0: 1.0, 1: 0.7, 2: 0.4}
+
+
+def graph_relevance(distance: Column, matches: Column, treats: Column, affects: Column, p_value: Column, effect: Column) -> Column:
+    """Relevance of a hit in the graph, from 0 to 1.
+
+    Distance counts 1, 0.7, 0.4 or 0.2; where it isn't known a match counts 1, none 0.3, and
+    a query without entities (null) 0.5. Links, p-value and effect size add to it.
+    """
+    near = F.when(distance.isNull(), F.when(matches.isNull(), 0.5).when(matches, 1.0).otherwise(0.3))
+    for steps, score in DISTANCE_SCORES.items():
+        near = near.when(distance == steps, score)
+    link = F.when(treats, 0.3).when(affects, 0.21).otherwise(0.0)
+    strength = F.when(p_value.isNull(), 0.0).when(p_value < 0.01, 0.2).when(p_value < 0.05, 0.14).otherwise(0.06)
+    size = F.when(effect >= 0.8, 0.1).when(effect >= 0.5, 0.07).otherwise(0.0)
+    return F.least(F.lit(1.0), (near.otherwise(0.2) + link + strength + size) / 1.5)
+
+
+def three_way(semantic_score: Column, authority_score: Column, relevance: Column, weights: tuple[float, float, float] = (0.4, 0.3, 0.3)) -> Column:
+    """Weighted sum of semantic, authority and graph relevance scores, 1 at most."""
+    a, b, c = weights
+    return F.least(F.lit(1.0), F.lit(a) * semantic_score + F.lit(b) * authority_score + F.lit(c) * relevance)
+
+
+def original_first(rows: DataFrame, groups: list[str], most: int) -> DataFrame:
+    """Originals before all others, each by score; the ``most`` first of each group, with their place."""
+    w = Window.partitionBy(*groups).orderBy(F.desc(F.col("source_type") == "original"), F.desc("score"), "id")
+    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
+
+
 def min_max(df: DataFrame, column: str, name: str) -> DataFrame:
     """Scaled to 0..1 over the whole table; all 1 where the range is next to nothing. The range is a one-row aggregate joined back."""
     ends = df.agg(F.min(column).alias("__lo"), F.max(column).alias("__hi"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from evispark.plans import evidence, graph, hierarchy, network, search, services, text, upkeep
+from evispark.plans import concepts, evidence, graph, hierarchy, network, search, services, text, upkeep
 
-MODULES = (evidence, graph, hierarchy, network, search, services, text, upkeep)
+MODULES = (concepts, evidence, graph, hierarchy, network, search, services, text, upkeep)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
