@@ -91,20 +91,37 @@ def chunks(s, d):
     return chunk.explode_text(t.table(s, d, "documents"), chunk.recursive_chunks).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max(F.length("content")).alias("longest"))
 
 
+def tiered_chunks(s, d):
+    return chunk.explode_text(t.table(s, d, "documents"), chunk.tiered_chunks).groupBy("doc_id", "section").agg(F.count("*").alias("n_chunks"))
+
+
 def section_chunks(s, d):
     return chunk.explode_text(t.table(s, d, "documents"), chunk.section_chunks).groupBy("doc_id", "section").agg(F.count("*").alias("n_chunks"))
 
 
+def _abstracts(s, d):
+    """A short abstract for each part, with statistics, citations and study elements made from its columns."""
+    digit = lambda c: (F.col("p_size") % c).cast("string")
+    text = F.concat(
+        F.lit("We studied "), (F.col("p_size") + 10).cast("string"), F.lit(" patients with "), "p_name", F.lit(" pain who underwent "), "p_name", F.lit(" fusion versus plain rods in clinics. "),
+        F.lit("Primary outcome was walking score. The HR "), F.floor(F.col("p_size") % 20 / 10).cast("string"), F.lit("."), digit(10), F.lit(" (95% CI 0."), digit(9), F.lit("-1."), digit(7),
+        F.lit("), p = 0.0"), (F.col("p_partkey") % 9 + 1).cast("string"), F.lit("; it failed in "), "p_size", F.lit(".5%. As Author"), "p_size", F.lit(" et al. ("), (F.col("p_size") + 1960).cast("string"),
+        F.lit(") said [3, "), "p_size", F.lit("], see (Doe and Roe, 1999)."),
+    )
+    return t.table(s, d, "part").select("p_partkey", text.alias("text"))
+
+
 def statistics(s, d):
-    return extract.extract(t.table(s, d, "documents"), extract.statistics, extract.STATISTICS)
+    found = extract.extract(_abstracts(s, d), extract.statistics, extract.STATISTICS, "p_partkey")
+    return found.select("p_partkey", "kind", "value", "low", "high", "p_value", "direction", "significant")
 
 
 def citation_markers(s, d):
-    return extract.extract(t.table(s, d, "documents"), extract.citations, extract.CITATIONS).groupBy("doc_id", "style").agg(F.count("*").alias("n"))
+    return extract.extract(_abstracts(s, d), extract.citations, extract.CITATIONS, "p_partkey").select("p_partkey", "style", "marker", "author", "year")
 
 
 def study_elements(s, d):
-    return extract.extract(t.table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), "text"), extract.study_elements, extract.ELEMENTS)
+    return extract.extract(_abstracts(s, d), extract.study_elements, extract.ELEMENTS, "p_partkey").select("p_partkey", "kind", "phrase")
 
 
 def formatted(s, d):
@@ -177,6 +194,7 @@ QUERIES = {
     "text_mentions": alias_mentions,
     "text_chunks": chunks,
     "text_section_chunks": section_chunks,
+    "text_tiered_chunks": tiered_chunks,
     "text_statistics": statistics,
     "text_citations": citation_markers,
     "text_study_elements": study_elements,
@@ -227,6 +245,13 @@ SELECT name, canonical, 'exact' AS method, {D(1)} AS confidence FROM e WHERE rn
 e AS (SELECT doc_id, unnest(w) AS a, unnest(list_concat(w[2:], [''])) AS b FROM w),
 m AS (SELECT doc_id, 'EN' AS canonical FROM e WHERE a = 'the' UNION ALL SELECT doc_id, 'EN' FROM e WHERE a = 'of' AND b = 'the' UNION ALL SELECT doc_id, 'ROMANCE' FROM e WHERE a = 'que' UNION ALL SELECT doc_id, 'DE' FROM e WHERE a = 'der')
 SELECT doc_id, canonical, count(*) AS n_mentions FROM m GROUP BY 1, 2""",
+    "text_statistics": f"""WITH x AS (SELECT p_partkey, p_size, p_size % 20 / {D(10)} AS v, p_size % 9 / {D(10)} AS low, 1 + p_size % 7 / {D(10)} AS high, (p_partkey % 9 + 1) / {D(100)} AS p FROM part)
+SELECT p_partkey, 'hazard_ratio' AS kind, v AS value, low, high, p AS p_value, CASE WHEN v < 1 THEN 'decreased' WHEN v > 1 THEN 'increased' ELSE 'neutral' END AS direction, p < {D(0.05)} AS significant FROM x
+UNION ALL SELECT p_partkey, 'percentage', p_size + {D(0.5)}, NULL, NULL, p, NULL, p < {D(0.05)} FROM x""",
+    "text_citations": """SELECT p_partkey, 'narrative' AS style, 'Author' || p_size || ' et al. (' || (p_size + 1960) || ')' AS marker, 'Author' || p_size AS author, CAST(p_size + 1960 AS INTEGER) AS year FROM part
+UNION ALL SELECT p_partkey, 'number', '[3, ' || p_size || ']', NULL, NULL FROM part UNION ALL SELECT p_partkey, 'paren', '(Doe and Roe, 1999)', 'Doe', 1999 FROM part""",
+    "text_study_elements": """SELECT p_partkey, 'population' AS kind, (p_size + 10) || ' patients with ' || p_name || ' pain' AS phrase FROM part UNION ALL SELECT p_partkey, 'intervention', p_name || ' fusion' FROM part
+UNION ALL SELECT p_partkey, 'comparison', 'plain rods' FROM part UNION ALL SELECT p_partkey, 'outcome', 'walking score' FROM part""",
     "text_references": """WITH b AS (SELECT *, 'Order ' || o_orderkey AS title, c_name || ' AB' AS author, CAST(o_orderkey + 1000 AS VARCHAR) AS p, CAST(o_orderkey + 1011 AS VARCHAR) AS q FROM orders JOIN customer ON o_custkey = c_custkey),
 k AS (SELECT *, CASE WHEN length(p) <> length(q) THEN 0 WHEN p[1:5] = q[1:5] AND length(p) > 5 THEN 5 WHEN p[1:4] = q[1:4] AND length(p) > 4 THEN 4 WHEN p[1:3] = q[1:3] THEN 3 WHEN p[1:2] = q[1:2] THEN 2 WHEN p[1:1] = q[1:1] THEN 1 ELSE 0 END AS same FROM b)
 SELECT o_orderkey, author || '. ' || title || '. ' || c_mktsegment || '. ' || year(o_orderdate) || ';' || o_custkey || ':' || p || '-' || substr(q, same + 1) || '.' AS vancouver,
