@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -26,10 +28,19 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "
     return spark
 
 
+_SHARED: set[str] = set()
+
+
 def share_package(spark: SparkSession) -> None:
-    """Let Python workers find this package where it isn't installed: they get its folder in their path."""
-    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    environment = spark.sparkContext.environment
-    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if here not in paths:
-        environment["PYTHONPATH"] = os.pathsep.join([here, *paths])
+    """Send this package to the Python workers of an application, once: Spark's file server ships it to each executor."""
+    context = spark.sparkContext
+    if context.applicationId in _SHARED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="evispark-"), "evispark.zip")  # on the driver; the server reads it as executors come
+    with zipfile.ZipFile(archive, "w") as out:
+        for root, _, files in os.walk(here):
+            for path in (os.path.join(root, f) for f in sorted(files) if f.endswith(".py")):
+                out.write(path, os.path.relpath(path, os.path.dirname(here)))
+    context.addPyFile(archive)
+    _SHARED.add(context.applicationId)
