@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evispark.operators.filters import best_per_group
-from evispark.operators.hierarchy import closure
 
 # What a step in the hierarchy costs, and how far a synthesis' strength moves a chain's confidence.
 BOOST_BY_DISTANCE = (1.0, 0.85, 0.7)
@@ -17,10 +16,19 @@ BOOST_BY_STRENGTH = {"high": 1.2, "moderate": 1.0, "low": 0.8, "insufficient": 0
 
 
 def followers(cites: DataFrame, depth: int = 3) -> DataFrame:
-    """(paper, root, depth): papers that build on a root over one to ``depth`` citations, at their least depth."""
-    up = closure(cites.select(F.col("source").alias("child"), F.col("target").alias("parent")), depth)
-    near = up.filter("node <> ancestor").groupBy("node", "ancestor").agg(F.min("distance").alias("depth"))
-    return near.select(F.col("node").alias("paper"), F.col("ancestor").alias("root"), "depth")
+    """(paper, root, depth): papers that build on a root over one to ``depth`` citations, at their least depth.
+
+    Breadth first: each step starts from the distinct pairs that the step before found
+    anew, so a dense network costs its pairs, not its trails.
+    """
+    steps = cites.select(F.col("source").alias("via"), F.col("target").alias("next")).distinct()
+    level = cites.select(F.col("source").alias("paper"), F.col("target").alias("root")).distinct()
+    out = level.withColumn("depth", F.lit(1))
+    for d in range(2, depth + 1):
+        ahead = level.join(steps, level.root == steps.via).select("paper", F.col("next").alias("root")).distinct()
+        level = ahead.join(out, ["paper", "root"], "left_anti")
+        out = out.unionByName(level.withColumn("depth", F.lit(d)))
+    return out.filter("paper <> root")
 
 
 def ego(cites: DataFrame, depth: int = 2, centres: DataFrame | None = None) -> DataFrame:

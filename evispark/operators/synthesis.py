@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.functions.levels import SYNTHESIS, weight
@@ -87,14 +87,17 @@ def i_squared(effects: DataFrame, effect: str, variance: str, keys: tuple[str, .
 
 
 def supporting_split(facts: DataFrame, keys: tuple[str, ...] = PAIR, most: int = 5) -> DataFrame:
-    """For each key the first papers, by number, for and against the majority direction, and how many there are."""
+    """For each key the numbers of papers for and against the majority direction, and the first ``most`` of each side, by number.
+
+    Papers are ranked by side before they are gathered, so a list never holds more than ``most``.
+    """
     votes = facts.filter(F.col("direction").isin("improved", "worsened"))
     g = votes.groupBy(*keys).agg(F.count_if(F.col("direction") == "improved").alias("up"), F.count_if(F.col("direction") == "worsened").alias("down"))
     side = votes.join(g.withColumn("main", F.when(F.col("up") >= F.col("down"), "improved").otherwise("worsened")), [*keys])
-    papers = side.groupBy(*keys, (F.col("direction") == F.col("main")).alias("supports"), "source_paper_id").agg(F.count("*").alias("lines"))
-    return papers.groupBy(*keys).agg(
-        F.count_if("supports").alias("n_supporting"),
-        F.count_if(~F.col("supports")).alias("n_opposing"),
-        F.min(F.when(F.col("supports"), F.col("source_paper_id"))).alias("first_supporting"),
-        F.min(F.when(~F.col("supports"), F.col("source_paper_id"))).alias("first_opposing"),
-    )
+    papers = side.select(*keys, (F.col("direction") == F.col("main")).alias("supports"), "source_paper_id").distinct()
+    counts = papers.groupBy(*keys).agg(F.count_if("supports").alias("n_supporting"), F.count_if(~F.col("supports")).alias("n_opposing"))
+    w = Window.partitionBy(*keys, "supports").orderBy("source_paper_id")
+    first = papers.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
+    listed = lambda side: F.array_join(F.array_sort(F.collect_list(F.when(side, F.col("source_paper_id")))), ",")
+    lists = first.groupBy(*keys).agg(listed(F.col("supports")).alias("supporting"), listed(~F.col("supports")).alias("opposing"))
+    return counts.join(lists, [*keys])

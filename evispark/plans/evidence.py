@@ -108,8 +108,10 @@ SELECT outcome, n, round(CASE WHEN n < 2 OR q IS NULL OR q <= 0 THEN {D(0)} ELSE
         "evidence",
         then=""", v AS (SELECT * FROM evidence WHERE direction <> 'unchanged'),
 g AS (SELECT intervention, outcome, CASE WHEN count(*) FILTER (WHERE direction = 'improved') >= count(*) FILTER (WHERE direction = 'worsened') THEN 'improved' ELSE 'worsened' END AS main FROM v GROUP BY 1, 2),
-p AS (SELECT DISTINCT intervention, outcome, direction = main AS supports, source_paper_id FROM v JOIN g USING (intervention, outcome))
+p AS (SELECT DISTINCT intervention, outcome, direction = main AS supports, source_paper_id FROM v JOIN g USING (intervention, outcome)),
+r AS (SELECT *, row_number() OVER (PARTITION BY intervention, outcome, supports ORDER BY source_paper_id) AS place FROM p)
 SELECT intervention, outcome, count(*) FILTER (WHERE supports) AS n_supporting, count(*) FILTER (WHERE NOT supports) AS n_opposing,
-  min(source_paper_id) FILTER (WHERE supports) AS first_supporting, min(source_paper_id) FILTER (WHERE NOT supports) AS first_opposing FROM p GROUP BY 1, 2""",
+  coalesce(string_agg(CAST(source_paper_id AS VARCHAR), ',' ORDER BY source_paper_id) FILTER (WHERE supports AND place <= 5), '') AS supporting,
+  coalesce(string_agg(CAST(source_paper_id AS VARCHAR), ',' ORDER BY source_paper_id) FILTER (WHERE NOT supports AND place <= 5), '') AS opposing FROM r GROUP BY 1, 2""",
     ),
 }

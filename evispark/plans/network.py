@@ -22,7 +22,9 @@ def cites(s, d):
 
 
 def around(s, d):
-    g = n.ego(cites(s, d)).groupBy(F.col("node").alias("paper_id"))
+    """The surroundings of a stated set of papers: those whose number is divisible by 100."""
+    centres = t.paper(s, d).filter("paper_id % 100 = 0").select(F.col("paper_id").alias("node"))
+    g = n.ego(cites(s, d), centres=centres).groupBy(F.col("node").alias("paper_id"))
     return g.agg(F.count_if(F.col("distance") == 1).alias("n_near"), F.count_if(F.col("distance") == 2).alias("n_far"))
 
 
@@ -106,7 +108,7 @@ UNION ALL SELECT a.source, c.target, 3 FROM cites a JOIN cites b ON a.target = b
 SELECT paper, root, min(depth) AS depth FROM r WHERE paper <> root GROUP BY 1, 2""",
     "network_ego": f"""WITH {CITES}, nb AS (SELECT source AS a, target AS b FROM cites UNION SELECT target, source FROM cites),
 r AS (SELECT a, b, 1 AS distance FROM nb UNION ALL SELECT x.a, y.b, 2 FROM nb x JOIN nb y ON x.b = y.a WHERE x.a <> y.b), m AS (SELECT a, b, min(distance) AS distance FROM r GROUP BY 1, 2)
-SELECT a AS paper_id, count(*) FILTER (WHERE distance = 1) AS n_near, count(*) FILTER (WHERE distance = 2) AS n_far FROM m GROUP BY 1""",
+SELECT a AS paper_id, count(*) FILTER (WHERE distance = 1) AS n_near, count(*) FILTER (WHERE distance = 2) AS n_far FROM m WHERE a % 100 = 0 GROUP BY 1""",
     "join_citing_papers": with_tables(
         "paper",
         then=f""", {CITES} SELECT target AS paper_id, count(*) AS n_citing, count(*) FILTER (WHERE context = 'supports') AS n_supporting, count(*) FILTER (WHERE context = 'contradicts') AS n_contradicting,
