@@ -70,6 +70,23 @@ def section_chunks(text: str | None, most_words: int = 500) -> list[tuple[str, s
     return out
 
 
+def merged(chunks: list[str], least: int = 200, most: int = 1500) -> list[str]:
+    """Chunks shorter than ``least`` joined to the one before as long as both fit into ``most`` characters."""
+    out: list[str] = []
+    for chunk in chunks:
+        if out and min(len(chunk), len(out[-1])) < least and len(out[-1]) + 1 + len(chunk) <= most:
+            out[-1] = f"{out[-1]} {chunk}"
+        else:
+            out.append(chunk)
+    return out
+
+
+def paragraph_chunks(text: str | None, least: int = 200, most: int = 1500) -> list[str]:
+    """Paragraphs, short ones joined and long ones cut: what stands in where no model marks the topics of a text."""
+    paragraphs = [p for part in re.split(r"\n\s*\n", text or "") for p in recursive_chunks(part, most, 0)]
+    return merged(paragraphs, least, most)
+
+
 TIER_ONE = {"abstract", "results", "result", "conclusion", "conclusions"}
 
 

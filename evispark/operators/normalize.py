@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -76,6 +76,16 @@ def normalize(names: DataFrame, aliases: DataFrame, least_overlap: float = 0.8,
     return n.select("name").distinct().join(found, "name", "left").withColumn("method", F.coalesce("method", F.lit("none")))
 
 
+def candidates(names: DataFrame, aliases: DataFrame, most: int = 5, least: float = 0.3) -> DataFrame:
+    """(name, canonical, score, place): for each name the ``most`` canonical names with the closest aliases that share a pair of letters with it and score above ``least``."""
+    n = names.select("name", key(F.col("name")).alias("k")).distinct().withColumn("g", F.explode(letter_pairs("k")))
+    a = aliases.select(key(F.col("alias")).alias("ak"), "canonical").distinct().withColumn("g", F.explode(letter_pairs("ak")))
+    close = n.join(a, "g").select("name", "k", "ak", "canonical").distinct().withColumn("score", F.round(indel_ratio("k", "ak"), 6))
+    best = close.groupBy("name", "canonical").agg(F.max("score").alias("score")).filter(F.col("score") > least)
+    w = Window.partitionBy("name").orderBy(F.desc("score"), "canonical")
+    return best.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
+
+
 def mentions(texts: DataFrame, aliases: DataFrame, text_col: str = "text", id_col: str = "doc_id", longest: int = 4) -> DataFrame:
     """(id, canonical, count) of aliases that occur in texts as whole words.
 

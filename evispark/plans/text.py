@@ -95,6 +95,14 @@ def tiered_chunks(s, d):
     return chunk.explode_text(t.table(s, d, "documents"), chunk.tiered_chunks).groupBy("doc_id", "section").agg(F.count("*").alias("n_chunks"))
 
 
+def paragraph_chunks(s, d):
+    return chunk.explode_text(t.table(s, d, "documents"), chunk.paragraph_chunks).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max(F.length("content")).alias("longest"))
+
+
+def candidate_names(s, d):
+    return normalize.candidates(t.table(s, d, "part").select(F.col("p_name").alias("name")), _aliases(s), 3)
+
+
 def section_chunks(s, d):
     return chunk.explode_text(t.table(s, d, "documents"), chunk.section_chunks).groupBy("doc_id", "section").agg(F.count("*").alias("n_chunks"))
 
@@ -195,6 +203,8 @@ QUERIES = {
     "text_chunks": chunks,
     "text_section_chunks": section_chunks,
     "text_tiered_chunks": tiered_chunks,
+    "text_paragraph_chunks": paragraph_chunks,
+    "text_normalize_candidates": candidate_names,
     "text_statistics": statistics,
     "text_citations": citation_markers,
     "text_study_elements": study_elements,

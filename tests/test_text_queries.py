@@ -135,3 +135,28 @@ def test_query_cache_forgets_in_time(spark):
     assert held.stats() == {"entries": 2, "hits": 1, "misses": 3, "hit_rate": 0.25}
     now[0] = 21.5
     assert held.clean() == 1 and list(name for name, *_ in held.held.values()) == ["b"]
+
+
+def test_candidates_equal_brute_force(spark):
+    got = {}
+    for r in registry.QUERIES["text_normalize_candidates"](spark, SF_DIR).collect():
+        got.setdefault(r.name, {})[r.place] = (r.canonical, r.score)
+    pairs = lambda x: {x[i : i + 2] for i in range(len(x) - 1)}
+    for (name,) in table(f"SELECT DISTINCT p_name FROM '{SF_DIR}/part.parquet'"):
+        best = {}
+        for alias, canonical in text.ALIASES:
+            if pairs(name) & pairs(alias):
+                best[canonical] = max(best.get(canonical, 0), round(2 * longest_common(name, alias) / (len(name) + len(alias)), 6))
+        want = sorted(((c, s) for c, s in best.items() if s > 0.3), key=lambda x: (-x[1], x[0]))[:3]
+        assert got.get(name, {}) == dict(enumerate(want, 1))
+
+
+def test_paragraph_chunks(spark):
+    assert chunk.paragraph_chunks("one\n\ntwo\n \nthree", least=5, most=9) == ["one two", "three"]
+    assert chunk.paragraph_chunks(None) == [] and chunk.merged(["a" * 300, "b", "c" * 300], 200, 1500) == ["a" * 300 + " b", "c" * 300]
+    got = {r.doc_id: (r.n_chunks, r.longest) for r in registry.QUERIES["text_paragraph_chunks"](spark, SF_DIR).collect()}
+    for doc, content in table(f"SELECT doc_id, text FROM '{SF_DIR}/documents.parquet'"):
+        parts = chunk.paragraph_chunks(content)
+        flat = lambda x: re.sub(r"[\s.]+", "", x)
+        assert flat("".join(parts)) == flat(content) and all(len(p) <= 1500 for p in parts)
+        assert got.get(doc, (0, None)) == (len(parts), max(map(len, parts), default=None))
