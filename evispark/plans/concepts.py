@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from evispark.functions import identifiers, outcomes, studies
 from evispark.functions import levels as lv
-from evispark.operators import concepts, conflict, hierarchy, normalize, rank
-from evispark.plans.search import HITS, YEAR, _hits
+from evispark.operators import concepts, conflict, hierarchy, rank
+from evispark.plans.search import HITS, _hits
 from evispark.sources import tables as t
 from evispark.sources.tables import with_tables
 
