@@ -7,6 +7,7 @@ from evispark.llm.decontaminate import op5_decontaminate
 from evispark.llm.langid import op9_language_id
 from evispark.llm.licenses import op4_license_scan
 from evispark.llm.passages import op11_repeated_passages
+from evispark.llm.prefix_trie import OP13_SQL, op13_prefix_trie
 from evispark.llm.quality_qda import op1_quality_classifier
 from evispark.llm.quality_rules import op7_quality_rules
 from evispark.llm.secret_scan import op8_secret_scan
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
     "op11_repeated_passages": op11_repeated_passages,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op13_prefix_trie": OP13_SQL}
