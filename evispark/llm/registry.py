@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from evispark.llm.bpe import op3_bpe
+from evispark.llm.collocations import OP12_SQL, op12_collocations
 from evispark.llm.decontaminate import op5_decontaminate
 from evispark.llm.langid import op9_language_id
 from evispark.llm.licenses import op4_license_scan
@@ -27,7 +28,8 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
     "op11_repeated_passages": op11_repeated_passages,
+    "op12_collocations": op12_collocations,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLE: dict[str, str] = {"op13_prefix_trie": OP13_SQL}
+ORACLE: dict[str, str] = {"op12_collocations": OP12_SQL, "op13_prefix_trie": OP13_SQL}
