@@ -52,6 +52,7 @@ class EvidenceGraph:
             "is_a": t.is_a(self.spark, self.path),
             "intervention": t.intervention(self.spark, self.path),
             "investigates": t.investigates(self.spark, self.path),
+            "papers": t.paper(self.spark, self.path),
             "treats": t.treats(self.spark, self.path).select(entity.alias("entity"), "pathology"),
             "facts": t.affects(self.spark, self.path).withColumn("entity", entity),
         }

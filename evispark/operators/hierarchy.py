@@ -34,6 +34,22 @@ def closure(is_a: DataFrame, depth: int = 5, with_self: bool = False) -> DataFra
     return out
 
 
+def reach(is_a: DataFrame, depth: int) -> DataFrame:
+    """(node, ancestor, distance): every node with itself and its ancestors within ``depth`` steps, each once, at the least distance.
+
+    Each level is the distinct pairs one step above the level before: no paths are kept,
+    so a diamond costs one row.
+    """
+    edges = is_a.filter("child IS NOT NULL AND parent IS NOT NULL").select("child", "parent").distinct()
+    nodes = edges.select(F.col("child").alias("node")).union(edges.select("parent")).distinct()
+    out = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"))
+    level = out.select("node", "ancestor")
+    for d in range(1, depth + 1):
+        level = level.join(edges, level.ancestor == edges.child).select("node", F.col("parent").alias("ancestor")).distinct()
+        out = out.unionByName(level.withColumn("distance", F.lit(d)))
+    return out.groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
+
+
 def ancestors(up: DataFrame, name: str, depth: int = 5) -> DataFrame:
     return up.filter((F.col("node") == name) & (F.col("distance") <= depth)).select("ancestor", "distance").distinct()
 

@@ -12,7 +12,7 @@ from evispark.operators.filters import best_per_group
 # What a step in the hierarchy costs, and how far a synthesis' strength moves a chain's confidence.
 BOOST_BY_DISTANCE = (1.0, 0.85, 0.7)
 BOOST_ELSEWHERE = 0.5
-BOOST_BY_STRENGTH = {"high": 1.2, "moderate": 1.0, "low": 0.8, "insufficient": 0.5}
+BOOST_BY_STRENGTH = {"strong": 1.2, "moderate": 1.0, "weak": 0.8, "insufficient": 0.5}
 
 
 def followers(cites: DataFrame, depth: int = 3) -> DataFrame:

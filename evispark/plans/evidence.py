@@ -43,7 +43,8 @@ _score = case_sql("evidence_level", CONFLICT, 1.0)
 _weight = case_sql("evidence_level", SYNTHESIS, 0.1)
 
 
-def _synthesis_sql(keys: str, source: str) -> str:
+def synthesis_ctes(keys: str, source: str) -> str:
+    """Tables g, h and k of a synthesis by the keys; k has direction, heterogeneity and strength."""
     return f"""g AS (SELECT {keys}, count(*) AS n, avg(effect) AS m, stddev_samp(effect) AS sd,
   count(*) FILTER (WHERE evidence_level IN ('1a', '1b')) AS high_level, avg(CAST(CAST(is_significant AS INTEGER) AS DOUBLE)) AS significant, min(evidence_level) AS first_level,
   count(*) FILTER (WHERE direction = 'improved') * {D(1)} / count(*) AS up, count(*) FILTER (WHERE direction = 'worsened') * {D(1)} / count(*) AS down,
@@ -51,7 +52,11 @@ def _synthesis_sql(keys: str, source: str) -> str:
 h AS (SELECT *, CASE WHEN up >= {D(0.7)} THEN 'improved' WHEN down >= {D(0.7)} THEN 'worsened' WHEN same >= {D(0.7)} THEN 'unchanged' ELSE 'mixed' END AS direction,
   greatest(up, down, same) AS mode_share, CASE WHEN n < 2 THEN 'low' WHEN m = 0 THEN 'low' WHEN sd / abs(m) * 100 < 10 THEN 'low' WHEN sd / abs(m) * 100 < 30 THEN 'moderate' ELSE 'high' END AS heterogeneity FROM g),
 k AS (SELECT *, CASE WHEN n < 2 THEN 'insufficient' WHEN n >= 3 AND high_level >= 2 AND significant >= {D(0.7)} AND mode_share >= {D(0.8)} THEN 'strong'
-  WHEN n >= 2 AND significant >= {D(0.5)} AND mode_share >= {D(0.6)} THEN 'moderate' ELSE 'weak' END AS strength FROM h)
+  WHEN n >= 2 AND significant >= {D(0.5)} AND mode_share >= {D(0.6)} THEN 'moderate' ELSE 'weak' END AS strength FROM h)"""
+
+
+def _synthesis_sql(keys: str, source: str) -> str:
+    return f"""{synthesis_ctes(keys, source)}
 SELECT {keys}, n, direction, heterogeneity, strength, substr('ABCD', CAST(least(3, CASE WHEN first_level IN ('1a', '1b') THEN 0 WHEN first_level IN ('2a', '2b') THEN 1 WHEN first_level = '3' THEN 2 ELSE 3 END
   + CASE heterogeneity WHEN 'high' THEN 2 WHEN 'moderate' THEN 1 ELSE 0 END + CASE strength WHEN 'weak' THEN 1 WHEN 'insufficient' THEN 2 ELSE 0 END) + 1 AS INTEGER), 1) AS grade FROM k"""
 

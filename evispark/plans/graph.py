@@ -71,10 +71,10 @@ def general_search(s, d):
 
 
 def rare_unmapped(s, d):
-    """Interventions without a treatment link and with few references, references counted before the join."""
+    """Interventions without a code (a negative balance) and with few references, references counted before the join."""
     refs = t.investigates(s, d).groupBy("intervention").agg(F.count("*").alias("refs"))
-    strong = t.treats(s, d, 30)
-    return f.without_partner(t.intervention(s, d), strong, "intervention").join(refs, "intervention", "left").select("intervention", F.coalesce("refs", F.lit(0)).alias("refs")).filter("refs <= 600")
+    coded = t.intervention(s, d).filter("balance >= 0")
+    return f.without_partner(t.intervention(s, d), coded, "intervention").join(refs, "intervention", "left").select("intervention", F.coalesce("refs", F.lit(0)).alias("refs")).filter("refs <= 600")
 
 
 def papers_without_lines(s, d):
@@ -98,7 +98,7 @@ def treatment_comparison(s, d):
     means = t.affects(s, d).groupBy("intervention", "outcome").agg(F.avg("p_value").alias("p"))
     # one map of outcomes an intervention, as long as the list of outcomes, so that pairs meet their means without a shuffle by outcome
     maps = means.groupBy("intervention").agg(F.map_from_entries(F.collect_list(F.struct("outcome", F.round("p", 6)))).alias("of"))
-    tr = t.treats(s, d, 20).join(t.intervention(s, d).select("intervention", "category"), "intervention").join(maps, "intervention").select("intervention", "pathology", "category", "of")
+    tr = t.treats(s, d).join(t.intervention(s, d).select("intervention", "category"), "intervention").join(maps, "intervention").select("intervention", "pathology", "category", "of")
     a, b = tr.alias("a"), tr.alias("b")
     pairs = a.join(b, (F.col("a.pathology") == F.col("b.pathology")) & (F.col("a.category") == F.col("b.category")) & (F.col("a.intervention") < F.col("b.intervention")))
     names = [F.col("a.pathology").alias("pathology"), F.col("a.intervention").alias("first"), F.col("b.intervention").alias("second")]
@@ -303,7 +303,7 @@ SELECT intervention, CASE WHEN share >= {D(0.6)} THEN 'high' ELSE 'moderate' END
     "filter_general_search": "SELECT p_brand, count(*) AS n FROM part WHERE lower(p_name) LIKE '%part 1%' OR p_type = 'PROMO' GROUP BY 1",
     "filter_rare_unmapped": with_tables(
         "treats", "intervention",
-        then=", r AS (SELECT intervention, count(*) AS refs FROM investigates GROUP BY 1) SELECT intervention, coalesce(refs, 0) AS refs FROM intervention LEFT JOIN r USING (intervention) WHERE intervention NOT IN (SELECT intervention FROM treats WHERE paper_count >= 30) AND coalesce(refs, 0) <= 600",
+        then=", r AS (SELECT intervention, count(*) AS refs FROM investigates GROUP BY 1) SELECT intervention, coalesce(refs, 0) AS refs FROM intervention LEFT JOIN r USING (intervention) WHERE balance < 0 AND coalesce(refs, 0) <= 600",
     ),
     "filter_without_lines": "SELECT o_orderstatus, count(*) AS n_papers FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) GROUP BY 1",
     "filter_duplicates": "SELECT sha256(text) AS text_key, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1",
@@ -313,7 +313,7 @@ SELECT intervention, CASE WHEN share >= {D(0.6)} THEN 'high' ELSE 'moderate' END
     ),
     "join_treatment_comparison": with_tables(
         "treats", "affects", "intervention",
-        then=""", m AS (SELECT intervention, outcome, avg(p_value) AS p FROM affects GROUP BY 1, 2), r AS (SELECT intervention, pathology, category FROM treats JOIN intervention USING (intervention) WHERE paper_count >= 20)
+        then=""", m AS (SELECT intervention, outcome, avg(p_value) AS p FROM affects GROUP BY 1, 2), r AS (SELECT intervention, pathology, category FROM treats JOIN intervention USING (intervention))
 SELECT a.pathology, a.intervention AS first, b.intervention AS second, x.outcome, round(x.p, 6) AS p1, round(y.p, 6) AS p2
 FROM r a JOIN r b ON a.pathology = b.pathology AND a.category = b.category AND a.intervention < b.intervention JOIN m x ON x.intervention = a.intervention LEFT JOIN m y ON y.intervention = b.intervention AND y.outcome = x.outcome""",
     ),

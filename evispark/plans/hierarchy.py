@@ -18,16 +18,18 @@ def _facts(s, d):
     return t.affects(s, d).withColumn("entity", F.concat(F.lit("S"), F.col("intervention").cast("string")))
 
 
-def _treats(s, d):
-    return t.treats(s, d).select(F.concat(F.lit("S"), F.col("intervention").cast("string")).alias("entity"), "pathology")
+def _group_facts(s, d):
+    """Facts of which every third line reports on the intervention's whole category."""
+    lines = t.affects(s, d).join(t.intervention(s, d).select("intervention", "category"), "intervention")
+    name = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    return lines.withColumn("entity", F.when(F.col("line") % 3 == 0, name("N", "category")).otherwise(name("S", "intervention")))
 
 
 def _group_treats(s, d):
-    """Treatment links of groups, so that members inherit them."""
-    own = t.treats(s, d, 25).select(F.concat(F.lit("S"), F.col("intervention").cast("string")).alias("entity"), "pathology")
-    group = t.intervention(s, d).select(F.concat(F.lit("N"), F.col("category").cast("string")).alias("entity"), F.concat(F.lit("S"), F.col("intervention").cast("string")).alias("member"))
-    upper = group.join(own.withColumnRenamed("entity", "member"), "member").select("entity", "pathology")
-    return own.unionByName(upper).distinct()
+    """Treatment links of interventions and of their categories, so that members inherit them."""
+    own = t.treats(s, d).join(t.intervention(s, d).select("intervention", "category"), "intervention")
+    name = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string")).alias("entity")
+    return own.select(name("S", "intervention"), "pathology").union(own.select(name("N", "category"), "pathology")).distinct()
 
 
 def _rule(name, **tables):
@@ -48,14 +50,14 @@ QUERIES = {
     "hierarchy_related_evidence": lambda s, d: _related(s, d),
     "rule_transitive_hierarchy": _rule("transitive_hierarchy", up=_up),
     "rule_transitive_descendants": _rule("transitive_descendants", up=_up),
-    "rule_transitive_treatment": _rule("transitive_treatment", up=_up, treats=_group_treats),
-    "rule_indirect_treatment": _rule("indirect_treatment", up=_up, treats=_group_treats),
+    "rule_transitive_treatment": _rule("transitive_treatment", is_a=t.is_a, treats=_group_treats),
+    "rule_indirect_treatment": _rule("indirect_treatment", is_a=t.is_a, treats=_group_treats),
     "rule_comparable_siblings": _rule("comparable_siblings", is_a=t.is_a),
     "rule_comparable_by_category": _rule("comparable_by_category", intervention=t.intervention),
-    "rule_comparison_papers": _rule("comparison_papers", investigates=t.investigates),
-    "rule_aggregate_evidence": _rule("aggregate_evidence", up=_up, facts=_facts),
-    "rule_aggregate_by_pathology": _rule("aggregate_evidence_by_pathology", up=_up, treats=_treats, facts=_facts),
-    "rule_combined_outcomes": _rule("combined_outcomes", facts=_facts),
+    "rule_comparison_papers": _rule("comparison_papers", investigates=t.investigates, papers=t.paper),
+    "rule_aggregate_evidence": _rule("aggregate_evidence", is_a=t.is_a, facts=_group_facts),
+    "rule_aggregate_by_pathology": _rule("aggregate_evidence_by_pathology", is_a=t.is_a, treats=_group_treats, facts=_group_facts),
+    "rule_combined_outcomes": _rule("combined_outcomes", facts=_facts, investigates=t.investigates, papers=t.paper),
     "rule_conflict_detection": _rule("conflict_detection", facts=_facts),
     "rule_cross_intervention_conflicts": _rule("cross_intervention_conflicts", facts=_facts),
 }
@@ -78,8 +80,8 @@ def _related(s, d):
 
 _facts_sql = "facts AS (SELECT *, 'S' || intervention AS entity FROM affects)"
 _self = "reach AS (SELECT node, ancestor, distance FROM up WHERE distance <= {0} UNION ALL SELECT DISTINCT n, n, 0 FROM (SELECT child AS n FROM is_a UNION SELECT parent FROM is_a) z)"
-_group = """own AS (SELECT 'S' || intervention AS entity, pathology FROM treats WHERE paper_count >= 25),
-gt AS (SELECT entity, pathology FROM own UNION SELECT 'N' || s_nationkey, pathology FROM supplier JOIN own ON 'S' || s_suppkey = entity)"""
+_group = """gt AS (SELECT 'S' || intervention AS entity, pathology FROM treats UNION SELECT 'N' || s_nationkey, pathology FROM treats JOIN supplier ON s_suppkey = intervention)"""
+_group_facts_sql = "facts AS (SELECT a.*, CASE WHEN line % 3 = 0 THEN 'N' || s_nationkey ELSE 'S' || intervention END AS entity FROM affects a JOIN supplier ON s_suppkey = intervention)"
 W = lambda x: f"CAST({x} AS DOUBLE) AS rule_weight"
 _kin = """kin AS (SELECT a.node, b.node AS relative, min(a.distance + b.distance) AS distance FROM up a JOIN up b ON a.ancestor = b.ancestor AND a.node <> b.node
   WHERE a.distance + b.distance <= {0} AND a.distance <= {1} AND b.distance <= {1} {2} GROUP BY 1, 2)"""
@@ -134,24 +136,38 @@ SELECT node, coalesce(k.n, 0) + coalesce(a.n, 0) AS n_paper_links, coalesce(n_re
     "rule_comparable_siblings": with_tables("is_a", then=f"SELECT a.child AS first, b.child AS second, a.parent, {W(0.9)} FROM is_a a JOIN is_a b ON a.parent = b.parent AND a.child < b.child"),
     "rule_comparable_by_category": with_tables("intervention", then=f"SELECT a.intervention AS first, b.intervention AS second, a.category, {W(0.7)} FROM intervention a JOIN intervention b ON a.category = b.category AND a.intervention < b.intervention"),
     "rule_comparison_papers": with_tables(
-        "investigates",
-        then=f"SELECT a.intervention AS first, b.intervention AS second, count(*) AS n_papers, min(a.paper_id) AS first_paper, {W(1)} FROM investigates a JOIN investigates b ON a.paper_id = b.paper_id AND a.intervention < b.intervention GROUP BY 1, 2",
+        "investigates", "paper",
+        then=f"""SELECT a.paper_id, a.intervention, string_agg(CAST(b.intervention AS VARCHAR), ',' ORDER BY b.intervention) AS compared_with, count(*) AS num_comparisons, year, evidence_level, {W(1)}
+FROM investigates a JOIN investigates b ON a.paper_id = b.paper_id AND a.intervention <> b.intervention JOIN paper p ON p.paper_id = a.paper_id GROUP BY ALL""",
+    ),
+    "rule_aggregate_evidence": with_tables(
+        "up", "affects",
+        then=f""", {_group_facts_sql}, {_self.format(2)}
+SELECT node, entity, outcome, direction, distance AS hierarchy_distance, count(*) AS n_findings, count(*) FILTER (WHERE is_significant) AS n_significant, min(p_value) AS least_p, {W(0.9)}
+FROM reach JOIN facts ON entity = ancestor GROUP BY ALL""",
     ),
-    "rule_aggregate_evidence": with_tables("up", "affects", then=f", {_facts_sql}, {_self.format(2)} SELECT ancestor AS node, outcome, direction, count(*) AS n_findings, {W(0.9)} FROM reach JOIN facts ON node = entity GROUP BY 1, 2, 3"),
     "rule_aggregate_by_pathology": with_tables(
         "up", "treats", "affects",
-        then=f", {_facts_sql}, {_self.format(2)}, x AS (SELECT DISTINCT node, pathology FROM reach JOIN (SELECT 'S' || intervention AS e, pathology FROM treats) tr ON ancestor = e) "
-        f"SELECT pathology, outcome, count(*) AS n_findings, count(*) FILTER (WHERE is_significant) AS n_significant, {W(0.85)} FROM x JOIN facts ON node = entity GROUP BY 1, 2",
+        then=f""", {_group}, {_group_facts_sql}, {_self.format(2)}
+SELECT node, pathology, f.entity, outcome, direction, distance AS hierarchy_distance, count(*) AS n_findings, min(p_value) AS least_p, {W(0.85)}
+FROM reach JOIN gt ON gt.entity = ancestor JOIN facts f ON f.entity = ancestor WHERE is_significant GROUP BY ALL""",
+    ),
+    "rule_combined_outcomes": with_tables(
+        "affects", "paper", "investigates",
+        then=f""", {_facts_sql}
+SELECT entity, outcome, source_paper_id, direction, p_value, is_significant, effect, evidence_level, {W(1)}
+FROM facts f LEFT JOIN (SELECT i.paper_id, i.intervention, evidence_level FROM investigates i JOIN paper USING (paper_id)) p ON p.paper_id = source_paper_id AND p.intervention = f.intervention""",
     ),
-    "rule_combined_outcomes": with_tables("affects", then=f", {_facts_sql} SELECT source_paper_id, entity, count(DISTINCT outcome) AS n_outcomes, string_agg(DISTINCT outcome, ',' ORDER BY outcome) AS outcomes, {W(1)} FROM facts GROUP BY 1, 2 HAVING count(DISTINCT outcome) > 1"),
     "rule_conflict_detection": with_tables(
         "affects",
-        then=f", {_facts_sql}, g AS (SELECT entity, outcome, count(*) FILTER (WHERE direction = 'improved') AS n_improved, count(*) FILTER (WHERE direction = 'worsened') AS n_worsened FROM facts WHERE is_significant GROUP BY 1, 2) "
-        f"SELECT *, 2 * n_improved * n_worsened AS n_pairs, {W(1)} FROM g WHERE n_improved > 0 AND n_worsened > 0",
+        then=f""", {_facts_sql}
+SELECT a.entity, a.outcome, count(*) AS n_pairs, {W(1)} FROM facts a JOIN facts b ON a.entity = b.entity AND a.outcome = b.outcome
+AND a.source_paper_id <> b.source_paper_id AND a.direction <> b.direction AND a.is_significant AND b.is_significant GROUP BY 1, 2""",
     ),
     "rule_cross_intervention_conflicts": with_tables(
         "affects",
-        then=f", {_facts_sql}, g AS (SELECT outcome, entity, count(*) FILTER (WHERE direction = 'improved') AS up, count(*) FILTER (WHERE direction = 'worsened') AS down FROM facts WHERE is_significant GROUP BY 1, 2) "
-        f"SELECT outcome, count(*) FILTER (WHERE up > down) AS n_for, count(*) FILTER (WHERE up < down) AS n_against, count(*) FILTER (WHERE up > down) * count(*) FILTER (WHERE up < down) AS n_conflicts, {W(1)} FROM g WHERE up <> down GROUP BY 1",
+        then=f""", {_facts_sql}, c AS (SELECT outcome, entity, direction, count(*) AS n FROM facts WHERE is_significant GROUP BY 1, 2, 3)
+SELECT a.outcome, (SELECT count(DISTINCT entity) FROM c z WHERE z.outcome = a.outcome) AS n_entities, CAST(sum(a.n * b.n) AS BIGINT) AS n_conflicts, {W(1)}
+FROM c a JOIN c b ON a.outcome = b.outcome AND a.entity < b.entity AND a.direction <> b.direction GROUP BY 1""",
     ),
 }

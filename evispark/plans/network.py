@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from evispark.operators import hierarchy as h
 from evispark.operators import network as n
+from evispark.operators import synthesis
+from evispark.plans.evidence import synthesis_ctes
 from evispark.sources import tables as t
 from evispark.sources.tables import with_tables
 
@@ -45,10 +47,11 @@ def claim_stances(s, d):
 
 
 def chains(s, d):
-    facts = t.affects(s, d).join(t.intervention(s, d).select("intervention", "balance"), "intervention")
-    strength = F.when(F.col("balance") < 0, "insufficient").when(F.col("balance") < 3000, "low").when(F.col("balance") < 6000, "moderate").otherwise("high")
-    scored = facts.withColumn("score", (F.col("effect") / 100).cast("double")).withColumn("strength", strength)
-    return n.chain_confidence(scored, ["intervention"], "score", [F.desc("score"), F.asc("source_paper_id"), F.asc("line")], "strength")
+    """Confidence of each intervention and outcome: its best findings, moved by the strength of their synthesis."""
+    facts = t.evidence(s, d)
+    strength = synthesis.synthesize(facts, "effect").select("intervention", "outcome", "strength")
+    scored = facts.withColumn("score", (F.col("effect") / 100).cast("double")).join(strength, ["intervention", "outcome"])
+    return n.chain_confidence(scored, ["intervention", "outcome"], "score", [F.desc("score"), F.asc("source_paper_id"), F.asc("line")], "strength")
 
 
 def three_hops(s, d):
@@ -60,9 +63,9 @@ def three_hops(s, d):
 
 def supplemented(s, d):
     facts = t.affects(s, d).select("intervention", "source_paper_id", "line", "direction", "effect", "is_significant")
-    local = facts.filter("direction = 'improved' AND is_significant AND effect > 40")
-    extra = facts.filter("direction = 'improved' AND NOT is_significant AND effect > 40")
-    return n.supplement(local, extra, t.intervention(s, d), "intervention", 8).select("intervention", "source_paper_id", "line", "origin")
+    local = facts.filter("direction = 'improved' AND is_significant")
+    extra = facts.filter("direction = 'improved' AND NOT is_significant")
+    return n.supplement(local, extra, t.intervention(s, d), "intervention", 110).select("intervention", "source_paper_id", "line", "origin")
 
 
 def drafted(s, d):
@@ -132,9 +135,12 @@ SELECT outcome AS claim_id, CASE WHEN yes AND NOT opposed THEN 'supporting' WHEN
         then="SELECT pathology, outcome, count(DISTINCT intervention) AS n_interventions, count(*) AS n_findings FROM studies JOIN affects ON source_paper_id = paper_id GROUP BY 1, 2",
     ),
     "agg_chain_confidence": with_tables(
-        "affects", "intervention",
-        then=f""", r AS (SELECT intervention, effect / {D(100)} AS score, balance, row_number() OVER (PARTITION BY intervention ORDER BY effect DESC, source_paper_id, line) AS k FROM affects JOIN intervention USING (intervention))
-SELECT intervention, round(least({D(1)}, avg(score) * CASE WHEN max(balance) < 0 THEN {D(0.5)} WHEN max(balance) < 3000 THEN {D(0.8)} WHEN max(balance) < 6000 THEN {D(1)} ELSE {D(1.2)} END), 6) AS confidence FROM r WHERE k <= 5 GROUP BY 1""",
+        "evidence",
+        then=", " + synthesis_ctes("intervention, outcome", "evidence") + f""", r AS (SELECT intervention, outcome, effect / {D(100)} AS score,
+  row_number() OVER (PARTITION BY intervention, outcome ORDER BY effect DESC, source_paper_id, line) AS place FROM evidence),
+f AS (SELECT intervention, outcome, avg(score) AS score FROM r WHERE place <= 5 GROUP BY 1, 2)
+SELECT intervention, outcome, round(least({D(1)}, score * CASE strength WHEN 'strong' THEN {D(1.2)} WHEN 'moderate' THEN {D(1)} WHEN 'weak' THEN {D(0.8)} ELSE {D(0.5)} END), 6) AS confidence
+FROM f JOIN k USING (intervention, outcome)""",
     ),
     "agg_review_papers": with_tables(
         "investigates", "affects",
@@ -144,7 +150,7 @@ SELECT * FROM a JOIN b USING (paper_id) WHERE n_intervention >= 4 AND n_outcome
     "agg_by_outcome": with_tables("affects", then="SELECT outcome, count(*) AS n_findings, count(DISTINCT source_paper_id) AS n_papers FROM affects GROUP BY 1"),
     "fusion_supplement": with_tables(
         "affects", "intervention",
-        then=""", f AS (SELECT * FROM affects WHERE direction = 'improved' AND effect > 40), k AS (SELECT i.intervention FROM intervention i LEFT JOIN f ON f.intervention = i.intervention AND f.is_significant GROUP BY 1 HAVING count(f.line) < 8)
+        then=""", f AS (SELECT * FROM affects WHERE direction = 'improved'), k AS (SELECT i.intervention FROM intervention i LEFT JOIN f ON f.intervention = i.intervention AND f.is_significant GROUP BY 1 HAVING count(f.line) < 110)
 SELECT intervention, source_paper_id, line, 'local' AS origin FROM f WHERE is_significant UNION ALL SELECT intervention, source_paper_id, line, 'extra' FROM f SEMI JOIN k USING (intervention) WHERE NOT is_significant""",
     ),
     "fusion_first_per_document": with_tables(

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evispark.operators.maintain import backfill_treats
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -82,10 +84,9 @@ def investigates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper_id"), F.col("l_suppkey").alias("intervention")).distinct()
 
 
-def treats(spark: SparkSession, sf_dir: str, least_papers: int = 10) -> DataFrame:
-    """Intervention to pathology, where at least ``least_papers`` papers hold both."""
-    both = investigates(spark, sf_dir).join(studies(spark, sf_dir), "paper_id")
-    return both.groupBy("intervention", "pathology").agg(F.count("*").alias("paper_count")).filter(F.col("paper_count") >= least_papers)
+def treats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervention to pathology with the number of papers that hold both and aren't reviews."""
+    return backfill_treats(investigates(spark, sf_dir), studies(spark, sf_dir)).drop("first_paper")
 
 
 def is_a(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +113,8 @@ CTE = {
     "pathology": "pathology AS (SELECT n_nationkey AS pathology_key, n_name AS pathology, n_regionkey AS region_key FROM nation)",
     "studies": "studies AS (SELECT paper_id, pathology FROM paper JOIN pathology USING (pathology_key))",
     "investigates": "investigates AS (SELECT DISTINCT l_orderkey AS paper_id, l_suppkey AS intervention FROM lineitem)",
-    "treats": "treats AS (SELECT intervention, pathology, count(*) AS paper_count FROM investigates JOIN studies USING (paper_id) GROUP BY 1, 2 HAVING count(*) >= 10)",
+    "treats": """treats AS (SELECT intervention, pathology, count(*) AS paper_count FROM investigates JOIN studies USING (paper_id) WHERE paper_id NOT IN
+  (SELECT paper_id FROM investigates GROUP BY 1 HAVING count(*) >= 4 INTERSECT SELECT paper_id FROM studies GROUP BY 1 HAVING count(*) >= 4) GROUP BY 1, 2)""",
     "is_a": """is_a AS (SELECT 'S' || s_suppkey AS child, 'N' || s_nationkey AS parent FROM supplier
   UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation UNION ALL SELECT 'R' || r_regionkey, 'ROOT' FROM region)""",
     "up": """up AS (SELECT child AS node, parent AS ancestor, 1 AS distance FROM is_a
