@@ -7,7 +7,7 @@ start earlier: in a document of a smaller identifier, or earlier in the same row
    equal windows have equal phrases, and only windows whose phrase occurs twice or more
    in the corpus are looked at any further: about a seventh of the phrases are counted,
    and few windows are left.
-2. Confirming. Those windows are counted by two 64-bit hashes, with the least identifier
+2. Confirming. Those windows are counted by hashes of 96 bits, with the least identifier
    that has them, their holder. Shards add up before anything is shuffled, so a window
    that a third of all documents share is one row a shard.
 3. Automata. The holder's runs of such windows are passages; the runs of other rows that
@@ -30,13 +30,13 @@ equal results; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 from math import ceil
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.llm.common import discarded, join_on_key, read_table, stored
@@ -46,58 +46,121 @@ WINDOW, PHRASE, PIECE = 20, 8, 10  # words
 SHARD_BYTES = 16 << 20
 CELL_WORDS = 500_000  # of the passages of a cell, and of the regions dealt to one
 LAST = (1 << 63) - 1  # stands for a null identifier
-FACTOR, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """Hashes of the words; ``known`` keeps them, up to a bound."""
-    if len(known) > 500_000:
-        known.clear()
-    for w in set(words).difference(known):
-        known[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+class Powers:
+    """Powers of an odd number modulo 2^64 and their inverses, as many as were asked for so far."""
 
+    def __init__(self, base: np.uint64):
+        inverse = np.uint64(pow(int(base), -1, 1 << 64))
+        self.base, self.inverse, self.up, self.down = base, inverse, np.ones(1, np.uint64), np.ones(1, np.uint64)
 
-def rolled(hashes: np.ndarray, size: int, factor: np.uint64) -> np.ndarray:
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.up) < n:
+            size = np.uint64(len(self.up))
+            self.up = np.concatenate([self.up, self.up * _power(self.base, size)])
+            self.down = np.concatenate([self.down, self.down * _power(self.inverse, size)])
+        return self.up[:n], self.down[:n]
+
+
+def _power(base: np.uint64, n: np.uint64) -> np.uint64:
+    return np.uint64(pow(int(base), int(n), 1 << 64))
+
+
+BYTES, FIRST, SECOND = (Powers(np.uint64(x)) for x in (0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+BLANKS = re.compile(rb"[\x20\x09-\x0d]")
+CHUNK = 1 << 20  # bytes of a text hashed at once
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def _ranges(terms: np.ndarray, starts, ends, inverse: np.ndarray) -> np.ndarray:
+    """Sums of terms from starts to ends, moved to place 0."""
+    so_far = np.zeros(len(terms) + 1, dtype=np.uint64)
+    np.cumsum(terms, out=so_far[1:])
+    return _mixed((so_far[ends] - so_far[starts]) * inverse)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word of a text: a polynomial of its bytes, by sums over the text; the words are those of ``text.split()``."""
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(text):
+        end = min(at + CHUNK, len(text))
+        if end < len(text):
+            blank = BLANKS.search(text, end)
+            end = blank.start() if blank else len(text)
+        data = np.frombuffer(text, np.uint8, end - at, at)
+        inside = np.zeros(len(data) + 2, dtype=np.int8)
+        inside[1:-1] = ~BLANK[data]
+        turns = np.diff(inside)
+        starts, ends = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+        up, down = BYTES.get(len(data))
+        out.append(_ranges((data + np.uint64(1)) * up, starts, ends, down[starts]))
+        at = end
+    return np.concatenate(out)
+
+
+def rolled(hashes: np.ndarray, size: int, powers: Powers) -> np.ndarray:
     """A hash of each run of ``size`` words."""
-    out = np.zeros(max(0, len(hashes) - size + 1), dtype=np.uint64)
-    for i in range(size if len(out) else 0):
-        out = out * factor + hashes[i : i + len(out)]
-    out = (out ^ (out >> np.uint64(31))) * OTHER
-    return out ^ (out >> np.uint64(29))
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    up, down = powers.get(len(hashes))
+    return _ranges(hashes * up, slice(0, n), slice(size, None), down[:n])
+
+
+def sliding(op: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    """The least or greatest of each ``width`` neighbours, by doubling."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        values = op(values[: len(values) - step], values[step:])
+        have += step
+    return values
+
+
+WIDTH = WINDOW - PHRASE + 1  # phrases of a window
 
 
-def phrase_places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all phrases, and for each window the place of its phrase: that of the least hash, the first of equals."""
-    phrases = rolled(hashes, PHRASE, FACTOR)
-    width = WINDOW - PHRASE + 1
-    if len(phrases) < width:
-        return phrases, np.zeros(0, np.int64)
-    return phrases, np.arange(len(phrases) - width + 1) + np.lib.stride_tricks.sliding_window_view(phrases, width).argmin(axis=1)
+def window_phrases(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all phrases, and for each window the least of its phrases."""
+    phrases = rolled(hashes, PHRASE, FIRST)
+    return phrases, sliding(np.minimum, phrases, WIDTH) if len(phrases) >= WIDTH else np.zeros(0, np.uint64)
+
+
+def chosen_phrases(hashes: np.ndarray) -> np.ndarray:
+    """The hash at each place whose phrase stands for some window."""
+    phrases, least = window_phrases(hashes)
+    if not len(least):
+        return least
+    around = np.zeros(WIDTH - 1, np.uint64)
+    return phrases[sliding(np.maximum, np.concatenate([around, least, around]), WIDTH) == phrases]
 
 
 def window_keys(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return rolled(hashes, WINDOW, FACTOR).view(np.int64), rolled(hashes, WINDOW, OTHER).view(np.int64)
+    """Two hashes of each window, of 64 and 32 bits."""
+    return rolled(hashes, WINDOW, FIRST).view(np.int64), (rolled(hashes, WINDOW, SECOND) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _shard_phrases(rows: pa.Table) -> pa.Table:
-    known, found = {}, [np.zeros(0, np.uint64)]
-    for text in texts(rows):
-        phrases, at = phrase_places(word_hashes(text.split(), known))
-        found.append(phrases[np.unique(at)])
+    found = [np.zeros(0, np.uint64)]
+    found += [chosen_phrases(word_hashes(text)) for text in texts(rows)]
     key, n = np.unique(np.concatenate(found), return_counts=True)
     shard = rows.column("shard")[0].as_py()
-    return pa.table({"phrase": key.view(np.int64), "shard": np.full(len(key), shard, np.int32), "n": n})
+    return pa.table({"phrase": key.view(np.int64), "shard": np.full(len(key), shard, np.int32), "n": n.astype(np.int32)})
 
 
 def _shard_windows(rows: pa.Table, side: pa.Table) -> pa.Table:
     """Windows whose phrase recurs: their hashes, the least identifier that has them in the shard, and how often they occur."""
-    recurring, known = np.sort(numbers(side, "phrase").view(np.uint64)), {}
+    recurring = np.sort(numbers(side, "phrase").view(np.uint64))
     parts = [np.zeros((3, 0), np.int64)]
     for text, own in zip(texts(rows), numbers(rows, "id").tolist()):
-        hashes = word_hashes(text.split(), known)
-        phrases, at = phrase_places(hashes)
-        due = _member(phrases[at], recurring)
+        hashes = word_hashes(text)
+        due = _member(window_phrases(hashes)[1], recurring)
         if due.any():
             first, second = (k[due] for k in window_keys(hashes))
             parts.append(np.stack([first, second, np.full(len(first), own, np.int64)]))
@@ -107,7 +170,7 @@ def _shard_windows(rows: pa.Table, side: pa.Table) -> pa.Table:
     at = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])) if len(first) else np.zeros(0, np.int64)
     shard = rows.column("shard")[0].as_py() if rows.num_rows else 0
     n = np.diff(np.concatenate([at, [len(first)]]))
-    return pa.table({"k1": first[at], "k2": second[at], "shard": np.full(len(at), shard, np.int32), "least": own[at], "n": n})
+    return pa.table({"k1": first[at], "k2": second[at].astype(np.int32), "shard": np.full(len(at), shard, np.int32), "least": own[at], "n": n.astype(np.int32)})
 
 
 def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -152,17 +215,15 @@ PASSAGE, REGION = 1, 2
 def _shard_spans(rows: pa.Table, side: pa.Table) -> pa.Table:
     """Passages and regions of the rows of a shard, with their words."""
     holders = Holders(numbers(side, "k1"), numbers(side, "k2"), numbers(side, "holder"))
-    known, out = {}, []
+    out = []
     if holders.most:
         for text, own, row, shard in zip(texts(rows), numbers(rows, "id").tolist(), numbers(rows, "row").tolist(), numbers(rows, "shard").tolist()):
-            words = text.split()
-            k1, k2 = window_keys(word_hashes(words, known))
-            if not len(k1):
-                continue
+            k1, k2 = window_keys(word_hashes(text))
             found, holder = holders.find(k1, k2)
-            first = np.zeros(len(k1), dtype=bool)
-            _, _, pair = _pairs(k1, k2)
-            first[pair] = True
+            if not found.any():
+                continue
+            words, first = text.split(), np.zeros(len(k1), dtype=bool)
+            first[first_places(k1, k2)] = True
             kind = np.where(found, np.where((holder == own) & first, PASSAGE, REGION), 0)
             for a, b in _runs(kind, np.where(found, holder, 0)):
                 out.append((int(holder[a]), int(kind[a]), shard, row, a, b - a + WINDOW - 1, b" ".join(words[a : b + WINDOW - 1])))
@@ -173,12 +234,11 @@ def _shard_spans(rows: pa.Table, side: pa.Table) -> pa.Table:
     return pa.table(dict(zip(("holder", "kind", "shard", "row", "start", "size", "words"), arrays)))
 
 
-def _pairs(k1: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct pairs and where each occurs first."""
+def first_places(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    """Where each distinct pair occurs first."""
     order = np.lexsort((k2, k1))
     a, b = k1[order], k2[order]
-    at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    return a[at], b[at], order[at]
+    return order[np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))]
 
 
 class PhraseAutomaton:
@@ -289,16 +349,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = F.col(f"`{id_col}`").cast("long")
     rows = sharded(docs, [own.alias("doc_id"), F.coalesce(own, F.lit(LAST)).alias("id")], F.col(f"`{text_col}`"), shard_bytes)
     narrow = rows.select("shard", "id", "row", "text")
-    phrases = stored(per_shard(narrow.select("shard", "text"), _shard_phrases, "phrase long, shard int, n long"), "phrases")
-    recurring = phrases.groupBy("phrase").agg(F.sum("n").alias("of")).filter("of > 1").select("phrase")
-    due = phrases.select("phrase", "shard").join(recurring, "phrase")
-    windows = stored(with_side(narrow.select("shard", "id", "text"), due, _shard_windows, "k1 long, k2 long, shard int, least long, n long"), "windows")
-    discarded(phrases)
+    phrases = per_shard(narrow.select("shard", "text"), _shard_phrases, "phrase long, shard int, n int")
+    of = Window.partitionBy("phrase")  # a row a shard at most
+    due = stored(phrases.withColumn("of", F.sum("n").over(of)).filter("of > 1").select("phrase", "shard"), "phrases")
     freed(spark)
-    held = windows.groupBy("k1", "k2").agg(F.min("least").alias("holder"), F.sum("n").alias("of")).filter("of > 1").drop("of")
-    side = windows.select("k1", "k2", "shard").join(held, ["k1", "k2"])
+    windows = with_side(narrow.select("shard", "id", "text"), due, _shard_windows, "k1 long, k2 int, shard int, least long, n int")
+    of = Window.partitionBy("k1", "k2")  # a row a shard at most
+    held = windows.withColumns({"holder": F.min("least").over(of), "of": F.sum("n").over(of)}).filter("of > 1")
+    side = held.select("k1", "k2", "shard", "holder")
     spans = stored(with_side(narrow, side, _shard_spans, "holder long, kind int, shard int, row long, start long, size long, words string"), "spans")
-    discarded(windows)
+    discarded(due)
+    del phrases, due, windows, held, side
     freed(spark)
     located = stored(locate(spans), "located")
     discarded(spans)

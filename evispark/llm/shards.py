@@ -35,6 +35,7 @@ def sharded(docs: DataFrame, columns: list[Column], text: Column, shard_bytes: i
     name = f"evispark_shards_{uuid.uuid4().hex}"
     written = rows.repartition(shards, "shard").write.bucketBy(shards, "shard").option("path", shared_path(spark, "shards"))
     written.saveAsTable(name)
+    freed(spark)
     return spark.table(name)
 
 

@@ -99,3 +99,29 @@ def test_hashes_alone_decide_nothing():
     automaton = passages.PhraseAutomaton([(1, passage)])
     other = passage.replace(b"a15", b"zz")
     assert automaton.covered(1, passage).all() and not automaton.covered(2, passage).any() and not automaton.covered(1, other).any()
+
+
+def test_word_hashes_are_those_of_the_words(monkeypatch):
+    """Equal words have equal hashes wherever they stand, other words have others; the words are those of ``split``."""
+    draw = random.Random(8)
+    words = [w.encode() for w in ("a", "b", "ab", "ba", "é", "\x01", "a\x00", "\x00a", "long" * 30)]
+    monkeypatch.setattr(passages, "CHUNK", 16)
+    known = {}
+    for _ in range(50):
+        text = b"".join(draw.choice(words) + draw.choice([b" ", b"\t\n ", b"\x0b", b"\x0c\r"]) for _ in range(draw.randrange(12)))
+        hashes = passages.word_hashes(text).tolist()
+        assert len(hashes) == len(text.split())
+        assert all(known.setdefault(w, h) == h for w, h in zip(text.split(), hashes))
+    assert len(set(known.values())) == len(known) == len(words)
+
+
+def test_chosen_phrases_cover_every_window():
+    import numpy as np
+
+    hashes = passages.word_hashes(" ".join(random.Random(2).choices("abc", k=300)).encode())
+    phrases, least = passages.window_phrases(hashes)
+    assert least.tolist() == [phrases[j : j + passages.WIDTH].min() for j in range(len(hashes) - passages.WINDOW + 1)]
+    chosen = passages.chosen_phrases(hashes)
+    assert set(least.tolist()) == set(chosen.tolist()) and len(passages.chosen_phrases(hashes[:19])) == 0
+    spam = passages.word_hashes(b"spam " * 25)
+    assert len(passages.chosen_phrases(spam)) == 18 and np.unique(passages.rolled(spam, 20, passages.FIRST)).size == 1
