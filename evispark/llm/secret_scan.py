@@ -8,13 +8,15 @@ a secret when the mean log-likelihood ratio a character passes a threshold. Toke
 ordinary names, and digits alone are numbers.
 
 The models learn from labelled samples, a table of (token, label). ``labelled_tokens``
-makes one from a corpus: values of base spans and seeded random strings are label 1,
-words without a digit and seeded identifiers label 0, from at most ``max_docs``
-documents by hash. Transition counts are summed by Spark; the models are two square
-tables. The threshold lies half-way between the scores of ordinary identifiers (their
-99.9th percentile) and of random strings (their first percentile), of labelled samples
-that took no part in the counts. At sf0.1 no held-out random string of 16 characters
-scored below it, of 3000 of each alphabet, and no identifier of 12 or more above it.
+makes one from a corpus: values of base spans and seeded random strings are label 1;
+words clear of base spans, seeded identifiers and seeded technical tokens (paths,
+versions, dates, UUIDs, host names, names with numbers, repeats, runs of the alphabet or
+of a keyboard) are label 0, from at most ``max_docs`` documents by hash. Transition
+counts are summed by Spark; the models are two square tables. The threshold lies half-way
+between the scores of ordinary tokens (their 99.9th percentile) and of random strings
+(their first percentile), made of words and by seeds that took no part in the counts.
+Random strings of hexadecimal digits shorter than 32 look like UUIDs and the numbers of
+commits, and are left.
 
 Defined cases: null and empty texts have no spans; overlapping spans of different kinds
 all stay, but a token that overlaps a base span is not added; repeated rows give equal
@@ -44,6 +46,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST = 16  # characters of a token that the models judge
 TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 LETTER = re.compile(r"[A-Za-z]")
+WORDS = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 PLACE = np.full(128, 0, dtype=np.int64)
@@ -59,14 +62,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def uncovered_tokens(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Tokens that the models judge: long enough, with a letter, and clear of base spans."""
+def uncovered_tokens(text: str, spans: list[tuple[int, int, int]], pattern: re.Pattern = TOKEN) -> list[tuple[int, int]]:
+    """Tokens with a letter, clear of base spans; unless told otherwise those long enough for the models to judge."""
     starts, ends, reach = [s for s, _, _ in spans], [], 0
     for _, _, e in spans:
         reach = max(reach, e)
         ends.append(reach)
     found = []
-    for m in TOKEN.finditer(text):
+    for m in pattern.finditer(text):
         i = bisect_left(starts, m.end())  # spans that start before the token's end
         if (not i or ends[i - 1] <= m.start()) and LETTER.search(m[0]):
             found.append(m.span())
@@ -134,6 +137,39 @@ def ordinary_identifiers(n: int = 4000, seed: int = 7) -> list[str]:
     return out
 
 
+# Words of technical tokens, for training and, others, for the threshold.
+HELD_OUT_WORDS = (
+    "alpha kernel socket thread buffer device module driver packet router gateway cluster replica schema vector matrix invoice ledger payment account "
+    "applications share project zones instances dashboard firefox widget branch commit sensor camera orders shipping"
+).split()
+KEY_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890")
+DIGITS_LETTERS = "0123456789abcdefghijklmnopqrstuvwxyz"
+
+
+def technical_tokens(n: int = 400, seed: int = 7, words: tuple | list = IDENTIFIER_WORDS) -> dict[str, list[str]]:
+    """Seeded tokens of each ordinary kind that has digits, slashes, capitals or repeats: ``n`` of each."""
+    rng = random.Random(seed)
+    word = lambda: rng.choice(words)
+    number = lambda most: str(rng.randint(0, most))
+    hexadecimal = lambda k: "".join(rng.choices(DIGITS_LETTERS[:16], k=k))
+    several = lambda sep, make, a, b: sep.join(make() for _ in range(rng.randint(a, b)))
+    kinds = {
+        "path": lambda: rng.choice(("", "/", "/usr/local/", "v1/", "src/")) + several("/", lambda: word() + rng.choice(("", number(99), "_" + word(), "-" + word())), 3, 6),
+        "version": lambda: word() + rng.choice("-_") + rng.choice(("v", "", "r")) + several(rng.choice("-_"), lambda: number(40), 2, 4) + rng.choice(("", "-" + word(), "-rc" + number(9))),
+        "date": lambda: f"{word()}-{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}" + rng.choice(("", f"T{rng.randint(0, 23):02}-{rng.randint(0, 59):02}-{rng.randint(0, 59):02}Z")),
+        "uuid": lambda: "-".join(hexadecimal(k) for k in (8, 4, 4, 4, 12)),
+        "host": lambda: f"{word()}-{word()}-{rng.choice(('eu', 'us', 'asia'))}-{rng.choice(('west', 'east', 'north'))}{number(9)}-{rng.choice('abc')}-{rng.randint(1, 99):02}",
+        "numbered": lambda: rng.choice("_-").join((word(), number(10 ** rng.randint(2, 8)), word() + number(99))),
+        "instance": lambda: "-".join((word(), word(), hexadecimal(rng.choice((8, 10))), "".join(rng.choices(DIGITS_LETTERS, k=5)))),
+        "code": lambda: several(rng.choice("-_"), lambda: rng.choice((word().upper(), word().upper() + number(99), number(9999), word() + number(64))), 3, 5),
+        "repeat": lambda: rng.choice("AaxX0_=-") * rng.randint(16, 40) + rng.choice(("", "A", "x")),
+        "sequence": lambda: (rng.choice((DIGITS_LETTERS, DIGITS_LETTERS[:16])) * 5)[rng.randrange(16) :][: rng.randint(16, 40)],
+        "keyboard": lambda: "".join(rng.sample(KEY_ROWS, 3))[: rng.randint(16, 26)],
+        "camel": lambda: word() + several("", lambda: word().title() + rng.choice(("", number(99))), 2, 5),
+    }
+    return {kind: [make() for _ in range(n)] for kind, make in kinds.items()}
+
+
 def labelled_tokens(docs: DataFrame, max_docs: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(token, label) from about ``max_docs`` documents at most, chosen by hash of the identifier, and the seeded samples."""
     total = docs.count()
@@ -146,7 +182,7 @@ def labelled_tokens(docs: DataFrame, max_docs: int = 20_000, id_col: str = "doc_
                 text = text or ""
                 spans = base_spans(text)
                 values = [ASSIGN.match(text, s)[2] if k == 0 else text[s:e] for s, k, e in spans]
-                words = [w for w in re.findall(r"[A-Za-z0-9+/_=-]{4,}", text) if not any(c.isdigit() for c in w)]
+                words = [text[a:b] for a, b in uncovered_tokens(text, spans, WORDS)]
                 out.append([{"token": re.sub(r"[^A-Za-z0-9+/_=-]", "", v), "label": 1} for v in values] + [{"token": w, "label": 0} for w in words])
             return {"found": out}
 
@@ -154,7 +190,8 @@ def labelled_tokens(docs: DataFrame, max_docs: int = 20_000, id_col: str = "doc_
 
     kind = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("label", T.IntegerType())]))
     found = map_text(drawn, make, [T.StructField("found", kind)], [id_col], text_col).select(F.explode("found").alias("x")).select("x.token", "x.label").distinct()
-    seeded = docs.sparkSession.createDataFrame([(t, 1) for t in random_strings()] + [(t, 0) for t in ordinary_identifiers()], "token string, label int")
+    technical = [t for tokens in technical_tokens().values() for t in tokens]
+    seeded = docs.sparkSession.createDataFrame([(t, 1) for t in random_strings(4000)] + [(t, 0) for t in ordinary_identifiers() + technical], "token string, label int")
     return found.filter("length(token) > 0").unionByName(seeded)
 
 
@@ -178,9 +215,15 @@ def train(labelled: DataFrame) -> np.ndarray:
 
 
 def calibrated(ratio: np.ndarray, seed: int = 8) -> float:
-    """The threshold between held-out ordinary identifiers and random strings, both of ``LEAST`` characters or more."""
-    ordinary = mean_ratio([t for t in ordinary_identifiers(8000, seed) if len(t) >= LEAST], ratio)
-    drawn = mean_ratio([t[:LEAST] for t in random_strings(4000, seed)], ratio)
+    """The threshold between ordinary tokens and random strings of ``LEAST`` characters, none of which was trained on.
+
+    The ordinary ones are identifiers and technical tokens of other words; the random
+    ones are those of letters and digits of any kind. Hexadecimal digits alone aren't
+    judged by the models' threshold: up to 31 of them are an identifier, more a base span.
+    """
+    technical = [t for tokens in technical_tokens(2000, seed, HELD_OUT_WORDS).values() for t in tokens]
+    ordinary = mean_ratio([t for t in ordinary_identifiers(8000, seed) + technical if TOKEN.fullmatch(t) and LETTER.search(t)], ratio)
+    drawn = mean_ratio([t[:LEAST] for i, t in enumerate(random_strings(4000, seed)) if i % 4 != 1], ratio)
     return float((np.quantile(ordinary, 0.999) + np.quantile(drawn, 0.01)) / 2)
 
 

@@ -171,3 +171,34 @@ def test_added_spans_of_a_text(spark):
     want = ",".join(f"markov:{text.index(t)}:{text.index(t) + len(t)}" for t in (short, long_))
     assert sorted((r.doc_id or 0, r.spans) for r in rows) == [(0, ""), (1, want), (1, want), (2, "")]
     assert secret_scan.redact(df, ratio).columns == df.columns
+
+
+def test_secret_models_leave_technical_tokens_and_find_random_ones(spark):
+    """Precision and recall on words, kinds and lengths that were not trained on, with models learned from documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    ratio = secret_scan.train(secret_scan.labelled_tokens(docs))
+    threshold = secret_scan.calibrated(ratio)
+    clean = (
+        "/usr/local/share/applications/firefox v1/projects/my-project/zones/us-west1-b/instances ISO-8859-15_latin9-UTF8 0123456789abcdef0123 "
+        "chr19-bp-20481-hg38-v2 kubernetes-dashboard-7b544877d5-xk2pq AAAAAAAAAAAAAAAAAAAAAAAA qwertyuiopasdfghjkl "
+        "123e4567-e89b-12d3-a456-426614174000 2024-02-29T23-59-59Z-backup da39a3ee5e6b4b0d3255bfef95601890 linux-image-6_8_0-45-generic node_modules/lodash/fp/_baseConvert"
+    ).split()
+    base = {t: secret_scan.base_spans(t) for t in clean}
+    assert not any(t for t in clean if secret_scan.find_spans(t, ratio, threshold)[1] != base[t])
+    held_out = secret_scan.technical_tokens(500, 4321, "zebra quartz harbor lantern meadow orbit pigment saddle timber violet wander yonder".split())
+    for kind, tokens in held_out.items():
+        judged = [t for t in tokens if secret_scan.TOKEN.fullmatch(t) and secret_scan.LETTER.search(t)]
+        marked = (secret_scan.mean_ratio(judged, ratio) > threshold).mean()
+        assert marked < 0.02, (kind, marked)
+    rng = random.Random(77)
+    for letters in (secret_scan.ALPHABET[:62], secret_scan.ALPHABET[:64], secret_scan.ALPHABET[:26] + secret_scan.ALPHABET[52:62]):
+        for length, least in ((16, 0.97), (24, 0.99), (40, 0.995)):
+            secrets = ["".join(rng.choices(letters, k=length)) for _ in range(1000)]
+            assert (secret_scan.mean_ratio(secrets, ratio) > threshold).mean() >= least, (len(letters), length)
+
+
+def test_words_with_digits_are_ordinary_unless_a_pattern_holds_them(spark):
+    text = "see src/main2/app_v3.py and token = Zk3Q9xW1pL7vR2tB8nMd or 12345678"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    found = {(r.token, r.label) for r in secret_scan.labelled_tokens(docs).collect()}
+    assert ("src/main2/app_v3", 0) in found and ("Zk3Q9xW1pL7vR2tB8nMd", 1) in found and ("Zk3Q9xW1pL7vR2tB8nMd", 0) not in found
