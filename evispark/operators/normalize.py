@@ -56,19 +56,11 @@ def normalize(names: DataFrame, aliases: DataFrame, least_overlap: float = 0.8,
     such a pair, as an edit breaks two pairs at most. A name is left to a later stage only
     if no earlier one has it.
     """
-    n = names.select("name", key(F.col("name")).alias("k"), words(F.col("name")).alias("w")).distinct()
-    a = aliases.select(key(F.col("alias")).alias("ak"), words(F.col("alias")).alias("aw"), "canonical", "ord")
-    pick = lambda df, order: df.groupBy("name").agg(F.min_by(F.struct("canonical", "confidence"), F.struct(*order)).alias("x"))
-    exact = pick(n.join(a, n.k == a.ak).withColumn("confidence", F.lit(1.0)), ["ord"])
+    n, a = split_names(names), split_aliases(aliases)
+    exact = exact_stage(n, a)
     rest = n.join(exact.select("name"), "name", "left_anti")
-    share = F.size(F.array_intersect("w", "aw")) / F.greatest(F.size("w"), F.size("aw"))
-    shared = rest.withColumn("e", F.explode("w")).join(a.withColumn("e", F.explode("aw")), "e").withColumn("share", share)
-    token = pick(shared.filter(F.col("share") >= least_overlap).withColumn("confidence", F.round(0.9 + 0.1 * F.col("share"), 6)), [-F.col("share"), F.col("ord")])
-    left = rest.join(token.select("name"), "name", "left_anti")
-    fits = 2 * F.least(F.length("k"), F.length("ak")) >= least_ratio * (F.length("k") + F.length("ak"))
-    close = left.withColumn("g", F.explode(letter_pairs("k"))).join(a.withColumn("g", F.explode(letter_pairs("ak"))), "g").filter(fits)
-    close = close.select("name", "k", "ak", "canonical", "ord").distinct().withColumn("confidence", F.round(indel_ratio("k", "ak"), 6))
-    fuzzy = pick(close.filter(F.col("confidence") >= least_ratio), [-F.col("confidence"), F.col("ord")])
+    token = token_stage(rest, a, least_overlap)
+    fuzzy = fuzzy_stage(rest.join(token.select("name"), "name", "left_anti"), a, least_ratio)
     found = None
     for method, df in (("exact", exact), ("token", token), ("fuzzy", fuzzy)):
         part = df.select("name", "x.canonical", "x.confidence", F.lit(method).alias("method"))
@@ -76,6 +68,37 @@ def normalize(names: DataFrame, aliases: DataFrame, least_overlap: float = 0.8,
     return n.select("name").distinct().join(found, "name", "left").withColumn("method", F.coalesce("method", F.lit("none")))
 
 
+def split_names(names: DataFrame) -> DataFrame:
+    """(name, k, w): distinct names with their key and words."""
+    return names.select("name", key(F.col("name")).alias("k"), words(F.col("name")).alias("w")).distinct()
+
+
+def split_aliases(aliases: DataFrame) -> DataFrame:
+    return aliases.select(key(F.col("alias")).alias("ak"), words(F.col("alias")).alias("aw"), "canonical", "ord")
+
+
+def first_match(df: DataFrame, order: list) -> DataFrame:
+    """(name, x): each name's canonical name and confidence that come first in the order."""
+    return df.groupBy("name").agg(F.min_by(F.struct("canonical", "confidence"), F.struct(*order)).alias("x"))
+
+
+def exact_stage(n: DataFrame, a: DataFrame) -> DataFrame:
+    return first_match(n.join(a, n.k == a.ak).withColumn("confidence", F.lit(1.0)), ["ord"])
+
+
+def token_stage(rest: DataFrame, a: DataFrame, least_overlap: float = 0.8) -> DataFrame:
+    share = F.size(F.array_intersect("w", "aw")) / F.greatest(F.size("w"), F.size("aw"))
+    shared = rest.withColumn("e", F.explode("w")).join(a.withColumn("e", F.explode("aw")), "e").withColumn("share", share)
+    return first_match(shared.filter(F.col("share") >= least_overlap).withColumn("confidence", F.round(0.9 + 0.1 * F.col("share"), 6)), [-F.col("share"), F.col("ord")])
+
+
+def fuzzy_stage(left: DataFrame, a: DataFrame, least_ratio: float = 0.85) -> DataFrame:
+    fits = 2 * F.least(F.length("k"), F.length("ak")) >= least_ratio * (F.length("k") + F.length("ak"))
+    close = left.withColumn("g", F.explode(letter_pairs("k"))).join(a.withColumn("g", F.explode(letter_pairs("ak"))), "g").filter(fits)
+    close = close.select("name", "k", "ak", "canonical", "ord").distinct().withColumn("confidence", F.round(indel_ratio("k", "ak"), 6))
+    return first_match(close.filter(F.col("confidence") >= least_ratio), [-F.col("confidence"), F.col("ord")])
+
+
 def candidates(names: DataFrame, aliases: DataFrame, most: int = 5, least: float = 0.3) -> DataFrame:
     """(name, canonical, score, place): for each name the ``most`` canonical names with the closest aliases that share a pair of letters with it and score above ``least``."""
     n = names.select("name", key(F.col("name")).alias("k")).distinct().withColumn("g", F.explode(letter_pairs("k")))
