@@ -43,8 +43,9 @@ from evispark.llm.common import discarded, join_on_key, read_table, stored
 from evispark.llm.shards import freed, numbers, per_shard, sharded, texts, with_side
 
 WINDOW, PHRASE, PIECE = 20, 8, 10  # words
-SHARD_BYTES = 16 << 20
-CELL_WORDS = 500_000  # of the passages of a cell, and of the regions dealt to one
+SHARD_BYTES = 8 << 20
+CELL_WORDS = 500_000  # of the passages of a cell
+REGION_WORDS = 4_000_000  # of the regions streamed through one
 LAST = (1 << 63) - 1  # stands for a null identifier
 
 
@@ -246,12 +247,12 @@ class PhraseAutomaton:
 
     def __init__(self, passages: list[tuple[int, bytes]]):
         self.number: dict[bytes, int] = {}
-        self.holders = [h for h, _ in passages]
         self.words = [self._numbered(text.split()) for _, text in passages]
-        places: dict[tuple, list[tuple[int, int]]] = {}
-        for p, words in enumerate(self.words):
+        places: dict[tuple, dict[int, list[tuple[int, int]]]] = {}  # by phrase and holder
+        for p, (holder, _) in enumerate(passages):
+            words = self.words[p].tolist()
             for offset in range(0, len(words) - PIECE + 1, PIECE):
-                places.setdefault(tuple(words[offset : offset + PIECE].tolist()), []).append((p, offset))
+                places.setdefault(tuple(words[offset : offset + PIECE]), {}).setdefault(holder, []).append((p, offset))
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for phrase, found in places.items():
             self.automaton.add_word(phrase, found)
@@ -271,9 +272,9 @@ class PhraseAutomaton:
             return cover
         seen = set()
         for end, found in self.automaton.iter(tuple(region.tolist())):
-            for p, offset in found:
+            for p, offset in found.get(holder, ()):
                 shift = end - PIECE + 1 - offset
-                if self.holders[p] != holder or (p, shift) in seen:
+                if (p, shift) in seen:
                     continue
                 seen.add((p, shift))
                 a, b = max(0, shift), min(len(region), shift + len(self.words[p]))
@@ -311,7 +312,7 @@ def locate(spans: DataFrame) -> DataFrame:
     groups = max(1, ceil(words / CELL_WORDS))
     dealt = spans.withColumn("group", F.pmod(F.xxhash64("holder"), F.lit(groups)).cast("int"))
     size = F.sum(F.when(F.col("kind") == REGION, F.col("size")).otherwise(0))
-    sizes = dealt.groupBy("group").agg(F.count("*").alias("n"), F.ceil(F.greatest(size, F.lit(1)) / F.lit(CELL_WORDS)).cast("int").alias("cells"))
+    sizes = dealt.groupBy("group").agg(F.count("*").alias("n"), F.ceil(F.greatest(size, F.lit(1)) / F.lit(REGION_WORDS)).cast("int").alias("cells"))
     own = F.array(F.pmod(F.xxhash64("row", "start"), F.col("cells")).cast("int"))
     every = F.sequence(F.lit(0), F.col("cells") - 1)
     cells = join_on_key(dealt, sizes, "group", spans.count()).withColumn("part", F.explode(F.when(F.col("kind") == PASSAGE, every).otherwise(own)))

@@ -33,7 +33,7 @@ def sharded(docs: DataFrame, columns: list[Column], text: Column, shard_bytes: i
     own = F.monotonically_increasing_id()
     rows = docs.select(*columns, F.coalesce(text.cast("string"), F.lit("")).alias("text"), own.alias("row"), F.pmod(own, F.lit(shards)).cast("int").alias("shard"))
     name = f"evispark_shards_{uuid.uuid4().hex}"
-    written = rows.repartition(shards, "shard").write.bucketBy(shards, "shard").option("path", shared_path(spark, "shards"))
+    written = rows.repartition(shards, "shard").write.bucketBy(shards, "shard").option("compression", "zstd").option("path", shared_path(spark, "shards"))
     written.saveAsTable(name)
     freed(spark)
     return spark.table(name)
@@ -50,7 +50,11 @@ def per_shard(rows: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str)
 
 
 def freed(spark) -> None:
-    """Let Spark delete the shuffle files of jobs that are over, which it does once their plans are collected as garbage."""
+    """Let Spark delete the shuffle files of jobs that are over, which it does once their plans are collected as garbage.
+
+    The session keeps the last plan, so an empty one takes its place first.
+    """
+    spark.range(1).count()
     spark._jvm.System.gc()
 
 

@@ -62,6 +62,7 @@ def test_equals_brute_force(spark, varied, shard_bytes):
 
 def test_cells_are_dealt(spark, varied, monkeypatch):
     monkeypatch.setattr(passages, "CELL_WORDS", 300)
+    monkeypatch.setattr(passages, "REGION_WORDS", 200)
     assert found(spark, varied, shard_bytes=10_000) == brute(varied)
 
 
