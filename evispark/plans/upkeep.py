@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evispark.functions import classify
 from evispark.operators import maintain as m
 from evispark.plans.network import CITES, cites
 from evispark.sources import tables as t
+from evispark.sources.staging import staging_dir
 from evispark.sources.tables import with_tables
+from evispark.sources.writes import merge_write
 
 KNOWN_RELATIONS = ("supports", "contradicts")
 PART_RULES = [("^(?:economy|standard)", "plain"), ("^promo", "offer"), ("polished|plated", "finished")]
@@ -78,6 +82,17 @@ def checked_relations(s, d):
     return both.groupBy("kind", "valid").agg(F.count("*").alias("n"))
 
 
+def merge_counters(s, d):
+    """What two merges of customers wrote: all of them, then a new nation for every third and a new name for every tenth."""
+    c = t.table(s, d, "customer").select(F.col("c_mktsegment").alias("label"), F.col("c_custkey").cast("string").alias("name"), F.col("c_nationkey").cast("int").alias("nation"), F.col("c_acctbal").alias("balance"))
+    moved = c.filter("CAST(name AS BIGINT) % 3 = 0").withColumns({"nation": (F.col("nation") + 1) % 25, "balance": F.lit(None).cast("double")})
+    added = c.filter("CAST(name AS BIGINT) % 10 = 0").withColumns({"name": F.concat(F.lit("X"), "name"), "nation": F.lit(None).cast("int")})
+    path = f"{staging_dir(s)}/merged-{uuid.uuid4().hex}"
+    found = [merge_write(s, path, changes, ["label", "name"], "label") for changes in (c, moved.unionByName(added))]
+    rows = [(i, x.created, x.updated, x.properties_set) for i, x in enumerate(found, start=1)]
+    return s.createDataFrame(rows, "step int, created long, updated long, properties_set long")
+
+
 def sorted_questions(s, d):
     c = t.table(s, d, "conversations").filter("role = 'user'")
     kind, comment = classify.first(F.col("text"), classify.QUERY_TYPES, "exploratory"), classify.first(F.col("text"), classify.COMMENTS, "minor")
@@ -95,12 +110,15 @@ QUERIES = {
     "maintain_replace_children": replaced,
     "maintain_valid_relations": checked_relations,
     "text_question_types": sorted_questions,
+    "maintain_merge_counters": merge_counters,
 }
 
 _DOMAINS = "domains AS (SELECT c_custkey, c_nationkey, CASE c_mktsegment WHEN 'BUILDING' THEN '' WHEN 'MACHINERY' THEN 'Unknown' WHEN 'FURNITURE' THEN NULL ELSE c_mktsegment END AS sub_domain FROM customer)"
 _first = lambda rules, default: "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{k}'" for k, p in rules) + f" ELSE '{default}' END"
 
 ORACLE = {
+    "maintain_merge_counters": """SELECT 1 AS step, count(*) AS created, 0 AS updated, count(c_nationkey) + count(c_acctbal) AS properties_set FROM customer
+UNION ALL SELECT 2, count(*) FILTER (WHERE c_custkey % 10 = 0), count(*) FILTER (WHERE c_custkey % 3 = 0), count(*) FILTER (WHERE c_custkey % 3 = 0) + count(c_acctbal) FILTER (WHERE c_custkey % 10 = 0) FROM customer""",
     "filter_unclassified": f"WITH {_DOMAINS} SELECT c_custkey FROM domains WHERE sub_domain IS NULL OR sub_domain IN ('', 'Unknown')",
     "maintain_fill_missing": f"WITH {_DOMAINS} SELECT c_custkey, coalesce(nullif(sub_domain, ''), n_name) AS sub_domain FROM domains LEFT JOIN nation ON c_nationkey = n_nationkey",
     "maintain_append_once": with_tables(
