@@ -205,15 +205,15 @@ QUERIES = {
 
 def _level_sql(column: str, rules, weight: float) -> str:
     rank_of = {level: len(studies.LEVELS) - i for i, level in enumerate(studies.LEVELS)}
-    return "greatest(" + ", ".join(f"CASE WHEN regexp_matches(lower({column}), '{p}') THEN {D(10.0 * rank_of[level] + c * weight)} END" for p, level, c in rules) + ")"
+    return "greatest(" + ", ".join(f"CASE WHEN regexp_matches(lower({column}), '{studies.phrase_pattern(p)}') THEN {D(10.0 * rank_of[level] + c * weight)} END" for p, level, c in rules) + ")"
 
 
-def _count_sql(column: str, names: str) -> str:
-    return "(" + " + ".join(f"len(regexp_extract_all({column}, '\\b{n.lower()}\\b'))" for n in names.split("|")) + ")"
+def _count_sql(column: str, names) -> str:
+    return "(" + " + ".join(f"len(regexp_extract_all({column}, '\\b{n.lower()}\\b'))" for n in names) + ")"
 
 
-def _any_sql(column: str, names: str, value: int = 1) -> str:
-    return "(" + " + ".join(f"CASE WHEN regexp_matches({column}, '\\b{n.lower()}\\b') THEN {value} ELSE 0 END" for n in names.split("|")) + ")"
+def _any_sql(column: str, names, value: int = 1) -> str:
+    return "(" + " + ".join(f"CASE WHEN regexp_matches({column}, '\\b{n.lower()}\\b') THEN {value} ELSE 0 END" for n in names) + ")"
 
 
 _types = list(studies.STUDY_TYPES)
@@ -239,7 +239,7 @@ _total = " + ".join(f"CAST(contains(lower(text), '{w}') AS INTEGER)" for words i
 _present = " + ".join("CAST((" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ") AS INTEGER)" for words in SUBJECT.values())
 
 ORACLE = {
-    "text_evidence_levels": f"""WITH {PAPERS}, x AS (SELECT *, greatest({_level_sql("kind", studies.PUBLICATION_RULES, 1.0)}, {_level_sql("text", studies.DESIGN_RULES, 0.9)}, {_level_sql("title", studies.DESIGN_RULES, 0.7)}) AS v FROM papers)
+    "text_evidence_levels": f"""WITH {PAPERS}, x AS (SELECT *, greatest({_level_sql("kind", studies.PUBLICATION_PHRASES, 1.0)}, {_level_sql("text", studies.DESIGN_PHRASES, 0.9)}, {_level_sql("title", studies.DESIGN_PHRASES, 0.7)}) AS v FROM papers)
 SELECT p_partkey, CASE WHEN v IS NULL THEN '5' ELSE {_list_sql(reversed(studies.LEVELS))}[CAST(floor(v / 10) AS INTEGER)] END AS level, CASE WHEN v IS NULL THEN {D(0.3)} ELSE round(v - 10 * floor(v / 10), 6) END AS confidence,
   CASE {" ".join(f"WHEN contains(lower(kind), '{p}') THEN '{level}'" for p, level in studies.INFERRED)} ELSE '5' END AS inferred FROM x""",
     "text_study_types": f"""WITH {PAPERS}, a AS (SELECT p_partkey, lower(title) AS lt, lower(concat_ws(' ', nullif(title, ''), nullif(title, ''), text)) AS w, lower(concat_ws(' ', title, text)) AS o FROM papers),
