@@ -38,7 +38,7 @@ from evispark.llm.common import discarded, join_on_key, read_table, stored
 from evispark.llm.shards import freed, numbers, per_shard, sharded, texts, with_side
 
 LEAST, TOP, SHARE = 10, 2000, 50
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 8 << 20
 PARTITION_ROWS = 4_000_000  # n-grams of a range partition, before shards add up
 BITS = 42
 BREAK = b"."
@@ -89,9 +89,9 @@ def radix_order(columns: list[np.ndarray]) -> np.ndarray:
     order = None
     for column in reversed(columns):
         differ = int(np.bitwise_or.reduce(column ^ column[:1])) if len(column) else 0
-        for shift in range(0, 64, 16):
+        for shift in range(0, 8 * column.itemsize, 16):
             if differ >> shift & 0xFFFF:
-                digit = (column >> np.uint64(shift)).astype(np.uint16)
+                digit = (column >> column.dtype.type(shift)).astype(np.uint16)
                 step = np.argsort(digit if order is None else digit[order], kind="stable")
                 order = step if order is None else order[step]
     return np.arange(len(columns[0])) if order is None else order
@@ -128,17 +128,17 @@ def _shard_ngrams(parts: int):
             local.setdefault(lang, {})[word] = i
         ids = np.concatenate([[0], numbers(side, "id")]).astype(np.uint64)
         at, width, within = (np.concatenate([[0.0], numbers(side, c).astype(float)]) for c in ("at", "width", "within"))
-        found = [np.zeros(1, np.int32)]
+        found = [np.zeros(1, np.uint32)]
         for text, lang in zip(texts(rows), rows.column("lang").to_pylist()):
             get = local.get(lang, {}).get
-            found.append(np.array([get(t, 0) for t in tokens(text)] + [0], dtype=np.int32))
-        line = np.concatenate(found).astype(np.uint64)
+            found.append(np.array([get(t, 0) for t in tokens(text)] + [0], dtype=np.uint32))
+        line = np.concatenate(found)
         pair = (line[:-1] > 0) & (line[1:] > 0)
         triple = pair[:-1] & pair[1:]
         two, n_two = run_lengths([line[:-1][pair], line[1:][pair]])
         three, n_three = run_lengths([line[:-2][triple], line[1:-1][triple], line[2:][triple]])
         first, second = np.concatenate([two[0], three[0]]), np.concatenate([two[1], three[1]])
-        third = np.concatenate([np.zeros(len(two[0]), np.uint64), three[2]])
+        third = np.concatenate([np.zeros(len(two[0]), np.uint32), three[2]])
         hi, lo = pack(ids[first], ids[second], ids[third])
         place = at[first] + width[first] * within[second]
         part = np.minimum((place * parts).astype(np.int32), parts - 1)
