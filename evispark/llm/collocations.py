@@ -163,10 +163,13 @@ def _count_runs(least: int):
 
 
 def looked_up(rows: DataFrame, key: Column, table: DataFrame, total: int) -> DataFrame:
-    """Rows with the columns that ``table`` has for their key, in column ``key``; rows without a match go."""
+    """Rows with the columns that ``table`` has for their key, in column ``key``; rows without a match go.
+
+    Stored, as the next look-up reads its rows several times.
+    """
     keyed = rows.withColumn("key", key)
     one = table.join(keyed.groupBy("key").agg(F.count("*").alias("n")), "key")
-    return join_on_key(keyed, one, "key", total).drop("key")
+    return stored(join_on_key(keyed, one, "key", total).drop("key"), "looked-up")
 
 
 def _score(a: str, left: str, right: str) -> Column:
@@ -204,13 +207,11 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     total = counted.count()
     word = lambda i: known.select(F.col("id").alias("key"), F.col("word").alias(f"w{i}"), F.col("f").alias(f"f{i}"), *([F.col("lang")] if i == 1 else []))
     named = looked_up(looked_up(counted, F.col("id1"), word(1), total), F.col("id2"), word(2), total)
-    named = stored(named, "named-phrases")
     twos = named.filter("id3 = 0")
-    pair = twos.select(F.struct("id1", "id2").alias("key"), "a")
+    pair = twos.select(F.struct("id1", "id2").alias("key"), "a")  # candidates, many fewer than the n-grams
     threes = looked_up(named.filter("id3 > 0"), F.col("id3"), word(3), total)
     threes = looked_up(threes, F.struct("id1", "id2"), pair.withColumnRenamed("a", "a12"), total)
     threes = looked_up(threes, F.struct(F.col("id2").alias("id1"), F.col("id3").alias("id2")), pair.withColumnRenamed("a", "a23"), total)
-    threes = stored(threes, "three-words")
     inside = threes.select("id1", "id2", "a").unionByName(threes.select(F.col("id2").alias("id1"), F.col("id3").alias("id2"), "a"))
     longest = inside.groupBy("id1", "id2").agg(F.max("a").alias("longer"))
     twos = twos.join(longest, ["id1", "id2"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a")))
