@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from evispark.operators.search import tokens
 from evispark.sources.staging import staged, staging_dir, unstaged
+from evispark.sources.tables import spread
 
 BUCKETS = 64
 SLICE_DOCS = 1024
@@ -81,7 +82,7 @@ class TextIndex:
         done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/stats/_SUCCESS")
         if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
             return cls(spark, path)
-        return cls.build(docs.select("doc_id", "text"), path)
+        return cls.build(spread(docs.select("doc_id", "text")), path)
 
     def _wanted(self, queries: DataFrame) -> DataFrame:
         """(query_id, term, idf) of the queries' known terms."""

@@ -89,7 +89,7 @@ def tier_fill(s, d):
 
 
 def _vectors(s, d):
-    return se.with_norm(t.table(s, d, "embeddings"))
+    return se.with_norm(t.spread(t.table(s, d, "embeddings")))
 
 
 def _queries(s, d):
@@ -133,7 +133,7 @@ def cached(s, d):
 
 
 def text_search(s, d):
-    return se.bm25(t.table(s, d, "documents"), t.table(s, d, "benchmark").filter("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text"))
+    return se.bm25(t.spread(t.table(s, d, "documents").select("doc_id", "text")), t.table(s, d, "benchmark").filter("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text"))
 
 
 def paper_overlap(s, d):

@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt to all cores where a table has fewer parts than there are cores, as a file of one row group has; larger tables stay."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def choose(column: str, pairs: dict[str, str | float | int], default=None) -> Column:
     """CASE column WHEN key THEN value ... ELSE default."""
     out = None
