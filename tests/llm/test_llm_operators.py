@@ -502,4 +502,4 @@ def test_extra_columns_with_the_names_of_results(spark):
 
 
 def test_every_operator_is_registered():
-    assert {int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES} == set(range(1, 14))
