@@ -155,8 +155,10 @@ def first_and_last(s, d):
 
 
 def merged(s, d):
-    p = t.table(s, d, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("name"), "p_brand")
-    mapping = maintain.case_duplicates(p, "name", [])
+    """Brands by name, names that differ in case being one: that with a code (an even size) first, then that of most parts."""
+    p = t.table(s, d, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("name"), "p_brand", "p_size")
+    nodes = p.groupBy("name").agg(F.max((F.col("p_size") % 2 == 0).cast("int")).alias("coded"), F.count("*").alias("degree"))
+    mapping = maintain.case_duplicates(nodes, "name", [-F.col("coded"), -F.col("degree")])
     edges = p.select(F.col("name"), F.col("p_brand").alias("target"))
     return maintain.redirect(edges, mapping, ["name"]).groupBy("name").agg(F.count("*").alias("n_targets"))
 
@@ -270,7 +272,10 @@ SELECT o_orderkey, author || '. ' || title || '. ' || c_mktsegment || '. ' || ye
 SELECT c_custkey, coalesce(new_name, c_name) AS c_name, c_acctbal FROM customer FULL JOIN n USING (c_custkey)""",
     "maintain_first_last": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS a, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS z FROM orders)
 SELECT o_custkey, max(o_orderkey) FILTER (WHERE a = 1) AS first_order, max(o_orderkey) FILTER (WHERE z = 1) AS last_order FROM r GROUP BY 1""",
-    "maintain_merge_case": "WITH p AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS name, p_brand FROM part), c AS (SELECT lower(name) AS low, min(name) AS name FROM p GROUP BY 1) SELECT c.name, count(DISTINCT p_brand) AS n_targets FROM p JOIN c ON lower(p.name) = low GROUP BY 1",
+    "maintain_merge_case": """WITH p AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS name, p_brand, p_size FROM part),
+n AS (SELECT name, max(CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END) AS coded, count(*) AS degree FROM p GROUP BY 1),
+c AS (SELECT name, lower(name) AS low, row_number() OVER (PARTITION BY lower(name) ORDER BY coded DESC, degree DESC, name) AS place FROM n)
+SELECT c.name, count(DISTINCT p_brand) AS n_targets FROM p JOIN c ON lower(p.name) = low AND place = 1 GROUP BY 1""",
     "maintain_delete_cascade": "SELECT 'paper' AS kind, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT 'affects', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')",
     "maintain_backfill": with_tables("investigates", "studies", then="SELECT intervention, pathology, count(*) AS paper_count, min(paper_id) AS first_paper FROM investigates JOIN studies USING (paper_id) GROUP BY 1, 2"),
     "maintain_coverage": f"""SELECT 'customer' AS label, count(*) AS total, count(*) FILTER (WHERE c_acctbal > 0) AS mapped, round(count(*) FILTER (WHERE c_acctbal > 0) * {D(100)} / count(*), 4) AS percent FROM customer
