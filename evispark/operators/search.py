@@ -80,6 +80,18 @@ def weighted_overlap(factors: dict[str, float]) -> Column:
     return out
 
 
+def prefix_keys(least: float, most_pairs: int = 64) -> Column:
+    """Keys on which sets (``items`` from rare to common, ``n`` of them) of a similarity of ``least`` or more meet; see ``similarity_join``."""
+    # a hair's breadth of slack: the product may round to just above a whole number
+    needed = F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int")
+    front = lambda k: F.slice("items", F.lit(1), F.least(F.col("n"), F.col("n") - needed + k))
+    ones = F.transform(front(1), lambda x: x.cast("string"))
+    two = F.flatten(F.transform(front(2), lambda x, i: F.transform(F.slice(front(2), i + 2, F.size(front(2))), lambda y: F.concat_ws("|", x.cast("string"), y.cast("string")))))
+    small, large = F.col("n") <= 1 / least**2 + 1e-9, F.col("n") > most_pairs * least
+    none = F.array().cast("array<string>")
+    return F.concat(F.when(small | large, ones).otherwise(none), F.when((needed >= 2) & (F.col("n") <= most_pairs), two).otherwise(none))
+
+
 def similarity_join(sets: DataFrame, key: str, element: str, least: float, most_pairs: int = 64) -> DataFrame:
     """Pairs of keys whose element sets have a Jaccard similarity of ``least`` or more, by prefix filtering.
 
@@ -96,16 +108,8 @@ def similarity_join(sets: DataFrame, key: str, element: str, least: float, most_
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("__df", F.col(element)))), lambda x: x[element])
     whole = rows.join(frequency, element).groupBy(key).agg(ordered.alias("items"))
     classes = whole.groupBy("items").agg(F.min(key).alias("id"), F.count("*").alias("n_members")).withColumn("n", F.size("items"))
-    # a hair's breadth of slack: the product may round to just above a whole number
-    needed = F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int")
-    front = lambda k: F.slice("items", F.lit(1), F.least(F.col("n"), F.col("n") - needed + k))
-    ones = F.transform(front(1), lambda x: x.cast("string"))
-    two = F.flatten(F.transform(front(2), lambda x, i: F.transform(F.slice(front(2), i + 2, F.size(front(2))), lambda y: F.concat_ws("|", x.cast("string"), y.cast("string")))))
-    small, large = F.col("n") <= 1 / least**2 + 1e-9, F.col("n") > most_pairs * least
-    none = F.array().cast("array<string>")
-    keys = F.concat(F.when(small | large, ones).otherwise(none), F.when((needed >= 2) & (F.col("n") <= most_pairs), two).otherwise(none))
     # identifiers and keys alone meet; sets are joined to the distinct candidates afterwards
-    met = classes.select("id", "n", F.explode(keys).alias("e"))
+    met = classes.select("id", "n", F.explode(prefix_keys(least, most_pairs)).alias("e"))
     a, b = met.alias("a"), met.alias("b")
     fits = (F.col("a.id") < F.col("b.id")) & (F.col("b.n") >= least * F.col("a.n")) & (F.col("a.n") >= least * F.col("b.n"))
     pairs = a.join(b, (F.col("a.e") == F.col("b.e")) & fits).select(F.col("a.id").alias("first"), F.col("b.id").alias("second")).distinct()
