@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evispark.operators.search import prefix_keys
+from evispark.sources.staging import staged
 
 LEAST = 0.6  # titles are alike above this similarity of their words
 YEAR, AUTHORS = 0.4, 0.6  # weights of the year and of the authors; a year off by one counts half
@@ -96,7 +97,7 @@ def match_citations(citations: DataFrame, papers: DataFrame) -> DataFrame:
     sure = citations.select("citation_id", _low("identifier").alias("key")).filter("key IS NOT NULL").join(known, "key").select("citation_id", "paper_id")
     shape = lambda rows, key: rows.select(key, _authors("authors").alias("authors"), F.col("year").cast("int").alias("year"), F.array_sort(title_words("title")).alias("words"))
     rest = citations.join(sure, "citation_id", "left_anti")
-    cited, have = _classes(rest, "citation_id"), _classes(papers, "paper_id")
+    cited, have = staged(_classes(rest, "citation_id"), "cited"), staged(_classes(papers, "paper_id"), "citable")  # each read several times
     pairs = _alike_titles(cited, have).unionByName(_same_author(cited, have)).distinct()
     scored = _scored(pairs, cited, have)
     alike = F.col("similarity") > LEAST
