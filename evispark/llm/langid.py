@@ -25,18 +25,18 @@ drawn by their text; an empty table gives an empty result; other columns are ign
 from __future__ import annotations
 
 import random
-import re
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evispark.llm.common import filter_text, fold, hash_share, map_text, read_table
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")  # letters by category, so no number signs, with the marks that belong to them
 START, END = "\x02", "\x03"
 UNDETERMINED = "und"
 BASE = np.uint64(0x9E3779B97F4A7C15)

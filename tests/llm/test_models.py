@@ -2,6 +2,7 @@
 
 import math
 import random
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -106,6 +107,23 @@ def test_kneser_ney_is_a_distribution():
         assert abs(sum(p(c, before) for c in ("a", "b", langid.END)) + p("?", before) - 1) < 1e-9
 
 
+def test_letters_are_those_of_the_unicode_categories():
+    """Against ``unicodedata``: number signs are no letters; marks stay with the letter before them."""
+    signs = [chr(c) for c in range(0x30000) if chr(c).isalnum() and unicodedata.category(chr(c))[0] == "N"]
+    assert "\u00bd" in signs and "\u2167" in signs and langid.words_of(" ".join(signs) + " _ \u0301") == []
+    letters = [chr(c) for c in range(0x3000) if unicodedata.category(chr(c))[0] == "L" and len(chr(c).lower()) == 1]
+    assert langid.words_of(" ".join(letters)) == [c.lower() for c in letters]
+    hindi = "\u0939\u093f\u0928\u094d\u0926\u0940"
+    assert langid.words_of(f"{hindi} cafe\u0301, x\u00b2y") == [hindi, "cafe\u0301", "x", "y"]
+
+
+def test_texts_of_number_signs_are_undetermined(spark):
+    docs = spark.createDataFrame([(i, w * 20, "abcd"[i % 2]) for i, w in enumerate(["some words ", "andere worte "] * 10)], "doc_id long, text string, lang string")
+    signs = spark.createDataFrame([(1, "\u00bd \u00b2 \u2167 12"), (2, "\u0301"), (3, None), (4, "words")], "doc_id long, text string")
+    found = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(signs, langid.train(docs)).select("doc_id", "lang_pred", "score").collect()}
+    assert found[1] == found[2] == found[3] == ("und", 0.0) and found[4][0] in ("a", "b")
+
+
 def test_languages_without_labels_and_clashing_columns(spark):
     rows = [(i, "the cat and the dog of it" if i % 2 else "der hund und die katze", "en" if i % 2 else "de", 1.0) for i in range(60)]
     schema = "doc_id long, text string, lang string, score double"
