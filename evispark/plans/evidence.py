@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evispark.functions.levels import CONFLICT, SYNTHESIS, case_sql
 from evispark.operators import conflict, synthesis
+from evispark.operators.pairs import pairs_within
 from evispark.sources import tables as t
 from evispark.sources.tables import with_tables
 
@@ -27,10 +28,11 @@ QUERIES = {
 def _across(s, d):
     """Pairs of interventions of one category with significant findings in opposite directions on an outcome, from counts by direction."""
     facts = t.affects(s, d).filter("is_significant AND direction <> 'unchanged'").join(t.intervention(s, d), "intervention")
-    counts = facts.groupBy("category", "outcome", "intervention", "direction").agg(F.count("*").alias("n"))
-    a, b = counts.alias("a"), counts.alias("b")
-    pairs = a.join(b, [F.col("a.category") == F.col("b.category"), F.col("a.outcome") == F.col("b.outcome"), F.col("a.intervention") < F.col("b.intervention"), F.col("a.direction") != F.col("b.direction")])
-    return pairs.groupBy(F.col("a.intervention").alias("first"), F.col("b.intervention").alias("second"), F.col("a.outcome").alias("outcome")).agg(F.sum(F.col("a.n") * F.col("b.n")).alias("n_conflicts"))
+    # both directions in one row, so that a pair is a row of the result and isn't shuffled again
+    counts = facts.groupBy("category", "outcome", "intervention").agg(F.count_if(F.col("direction") == "improved").alias("up"), F.count_if(F.col("direction") == "worsened").alias("down"))
+    n = F.col("a.up") * F.col("b.down") + F.col("a.down") * F.col("b.up")
+    pairs = pairs_within(counts, ["category", "outcome"], "intervention")
+    return pairs.select(F.col("a.intervention").alias("first"), F.col("b.intervention").alias("second"), F.col("a.outcome").alias("outcome"), n.alias("n_conflicts")).filter("n_conflicts > 0")
 
 
 def _hierarchical(s, d):
