@@ -10,7 +10,7 @@ from evispark.sources.staging import staged
 
 LEAST = 0.6  # titles are alike above this similarity of their words
 YEAR, AUTHORS = 0.4, 0.6  # weights of the year and of the authors; a year off by one counts half
-GRAM = 3  # letters of the pieces on which authors meet
+GRAM = 8  # letters of the pieces on which authors meet; with fewer, ever more papers of a year share one
 
 
 def _low(c: str | Column) -> Column:
@@ -59,7 +59,9 @@ def _same_author(cited: DataFrame, papers: DataFrame) -> DataFrame:
     year's papers; a name shorter than a piece is a piece itself.
     """
     names = F.concat_ws(" ", "authors")
-    have = papers.filter("year IS NOT NULL AND size(authors) > 0").select("paper_id", "year", "n", F.explode(grams(names, list(range(1, GRAM + 1)))).alias("gram"))
+    asked = cited.filter("year IS NOT NULL AND size(authors) > 0").select(F.least(F.length(F.element_at("authors", 1)), F.lit(GRAM)).alias("size")).distinct()
+    sizes = sorted(r.size for r in asked.collect()) or [GRAM]  # up to GRAM numbers
+    have = papers.filter("year IS NOT NULL AND size(authors) > 0").select("paper_id", "year", "n", F.explode(grams(names, sizes)).alias("gram"))
     frequency = have.groupBy("year", "gram").agg(F.count("*").alias("df"), F.count_if(F.col("n") == 0).alias("df_bare"))
     first = F.element_at("authors", 1)
     pieces = F.when(F.length(first) < GRAM, F.array(first)).otherwise(grams(first, [GRAM]))
