@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from math import ceil
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+CELL = 8192  # vectors of a cell, and queries of a block
+AT_ONCE = 64  # queries whose cosines with a block are held at once
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -19,18 +27,78 @@ def cosine(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
     return F.when((norm_a == 0) | (norm_b == 0), 0.0).otherwise(dot(a, b) / (norm_a * norm_b))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0, condition: Column | None = None) -> DataFrame:
-    """The ``k`` nearest vectors of each query: (query_id, vec_id, similarity, place).
+def _unit(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of a matrix, each scaled to a norm of 1, or 0 where it is 0."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm != 0)
+
+
+def _best(cosine: np.ndarray, order: np.ndarray, k: int, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each row of cosines the places of its k best and their rounded values; equal ones by ``order``."""
+    cosine[np.isnan(cosine)] = np.inf  # not-a-number is above all, as Spark sorts it
+    n = cosine.shape[1]
+    # rounding can't lift a cosine over one that is more than a digit of the sixth place above it
+    bound = np.partition(cosine, n - k, axis=1)[:, n - k] - 2e-6 if k < n else np.full(len(cosine), -np.inf)
+    out = []
+    for row, low in zip(cosine, np.maximum(bound, least - 1e-6)):
+        at = np.flatnonzero(row >= low)
+        value = np.copysign(np.floor(np.abs(row[at]) * 1e6 + 0.5), row[at]) / 1e6 + 0.0
+        kept = value >= least
+        at, value = at[kept], value[kept]
+        first = np.lexsort((order[at], -value))[:k]
+        out.append((at[first], np.where(np.isinf(value[first]), np.nan, value[first])))
+    return out
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0, others: bool = False) -> DataFrame:
+    """The ``k`` nearest vectors of each query: (query_id, vec_id, similarity, place) and the other columns of both.
 
-    ``queries`` (query_id, query, query_norm) is a stated set that is broadcast only if
-    Spark finds it small; every vector meets every query in its own partition, and a
-    row_number filter keeps k a query and partition before the shuffle.
+    Every vector of ``vectors`` (vec_id, embedding) meets every query (query_id, query).
+    Vectors are dealt into cells and queries into blocks of bounded size; a cell and a block
+    give a product of matrices in one task, and of that only the k best of each query are
+    shuffled. The work is that of all pairs; what moves is a row for each query, cell and
+    place, each vector once a block and each query once a cell. Similarities are rounded to
+    six digits, and 0 where a norm is 0. ``others`` leaves out a query's own identifier.
+    Rows without a vector, or with a null in it, have no similarity.
     """
-    pairs = vectors.crossJoin(queries)
-    sim = F.round(cosine(F.col("embedding"), F.col("query"), F.col("norm"), F.col("query_norm")), 6)
-    scored = pairs.withColumn("similarity", sim).filter(F.col("similarity") >= least)
-    if condition is not None:
-        scored = scored.filter(condition)
+    clean = lambda df, c: df.filter(F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())).withColumn("__dims", F.size(c))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    n = vectors.count()
+    cells, blocks = max(1, ceil(n / CELL), min(cores, ceil(n / 512))), max(1, ceil(queries.count() / CELL))
+    dealt = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    v = clean(vectors.drop("norm"), "embedding").withColumn("__cell", dealt("vec_id", cells)).withColumn("__block", every(blocks))
+    q = clean(queries.drop("query_norm"), "query").withColumn("__block", dealt("query_id", blocks)).withColumn("__cell", every(cells))
+    keys, tasks = ["__cell", "__block", "__dims"], min(cells * blocks, 16 * cores)
+    if others:
+        v, q = v.filter("vec_id IS NOT NULL"), q.filter("query_id IS NOT NULL")
+    inner = {"embedding", "query", *keys}
+    q_columns, v_columns = [c for c in q.columns if c not in inner], [c for c in v.columns if c not in inner]
+    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for df, columns in ((q, q_columns), (v, v_columns)) for c in columns]
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.combine_chunks(), right.combine_chunks()
+        who, which, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if left.num_rows and right.num_rows:
+            x, y = _unit(left.column("query").combine_chunks()), _unit(right.column("embedding").combine_chunks())
+            ids = right.column("vec_id").combine_chunks()
+            order = pc.rank(ids, null_placement="at_start", tiebreaker="dense").to_numpy()
+            own, asked = ({}, []) if not others else (ids.to_pandas().groupby(ids.to_pandas()).indices, left.column("query_id").to_pylist())
+            for a in range(0, len(x), AT_ONCE):
+                cosine = x[a : a + AT_ONCE] @ y.T
+                for i, (at, value) in enumerate(_best(cosine, order, k + max(map(len, own.values()), default=0) if others else k, least)):
+                    if others:
+                        kept = ~np.isin(at, own.get(asked[a + i], []))
+                        at, value = at[kept][:k], value[kept][:k]
+                    who.append(np.full(len(at), a + i))
+                    which.append(at)
+                    values.append(value)
+        who, which = pa.array(np.concatenate(who)), pa.array(np.concatenate(which))
+        return pa.table([*(left.column(c).take(who) for c in q_columns), *(right.column(c).take(which) for c in v_columns), pa.array(np.concatenate(values))], names=[*q_columns, *v_columns, "similarity"])
+
+    met = q.repartition(tasks, *keys).groupBy(*keys).cogroup(v.repartition(tasks, *keys).groupBy(*keys))
+    scored = met.applyInArrow(compare, ", ".join([*fields, "similarity double"]))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 

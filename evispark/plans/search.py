@@ -99,11 +99,11 @@ def _queries(s, d):
 
 
 def vector_top(s, d):
-    return se.nearest(_vectors(s, d), _queries(s, d), 10, condition=F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "similarity", "place")
+    return se.nearest(_vectors(s, d), _queries(s, d), 10, others=True).select("query_id", "vec_id", "similarity", "place")
 
 
 def vector_filtered(s, d):
-    near = se.nearest(_vectors(s, d), _queries(s, d), 30, condition=F.col("vec_id") != F.col("query_id"))
+    near = se.nearest(_vectors(s, d), _queries(s, d), 30, others=True)
     kept = near.filter((se.rescaled(F.col("similarity")) >= 0.5) & (F.col("label") == F.col("query_label")))
     return kept.groupBy("query_id").agg(F.count("*").alias("n_kept"), F.max("similarity").alias("best"))
 

@@ -1,5 +1,6 @@
 """Edge cases that the driver's tables don't hold."""
 
+import math
 import random
 
 import pytest
@@ -214,6 +215,28 @@ def test_zero_vectors(spark):
     assert [(r.vec_id, r.similarity) for r in search.nearest(v, q, 3).orderBy("place").collect()] == [(2, 1.0), (1, 0.0), (3, -1.0)]
 
 
+def test_nearest_moves_a_bounded_number_of_rows(spark, monkeypatch):
+    """In cells and blocks as in one: equal to all pairs, with ties by identifier; only k rows a query and cell are ranked."""
+    rng = random.Random(5)
+    pool = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(40)] + [[0.0] * 4]
+    rows = [(i, rng.choice(pool), i % 3) for i in range(600)]
+    v = spark.createDataFrame([*rows, (600, None, 0), (601, [1.0, None, 0.0, 0.0], 0), (602, [1.0], 0)], "vec_id long, embedding array<double>, label int")
+    q = v.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    monkeypatch.setattr(search, "CELL", 50)
+    for others in (False, True):
+        df = search.nearest(v, q, 3, others=others)
+        got = {}
+        for r in sorted(df.collect(), key=lambda r: r.place):
+            got.setdefault(r.query_id, []).append((r.vec_id, r.similarity, r.label))
+        norm = lambda x: math.sqrt(sum(a * a for a in x)) or 1.0
+        for i, x, _ in rows[::10]:
+            all_pairs = [(j, round(sum(a * b for a, b in zip(x, y)) / norm(x) / norm(y), 6) + 0.0, label) for j, y, label in rows if not (others and i == j)]
+            assert got.pop(i) == [(j, pytest.approx(c), label) for j, c, label in sorted(all_pairs, key=lambda r: (-r[1], r[0]))[:3]]
+        assert not got
+        plan = df._jdf.queryExecution().toString()
+        assert "Join" not in plan  # no row for each pair
+
+
 def test_similarity_join_is_exact(spark):
     rng = random.Random(1)
     sets = {i: frozenset(rng.sample(range(12), rng.randint(1, 6))) for i in range(60)}
