@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from evispark.operators.search import bm25
-from evispark.operators.text_index import TextIndex
+from evispark.operators.text_index import TextIndex, slice_scores
 
 
 @pytest.fixture(scope="module")
@@ -64,6 +65,15 @@ def test_only_the_terms_buckets_are_read(spark, index):
     assert len(read.select("bucket").distinct().collect()) == 1 and read.rdd.getNumPartitions() == 1
 
 
+def test_texts_and_postings_are_shuffled_once(spark, corpus, queries, index):
+    """Blocks don't multiply by queries: what meets in a slice is a row a term, and no pair of query and document is shuffled."""
+    plan = index.scores(queries)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(postings" not in plan
+    table = pa.table({"slice": [0, 0], "postings": [[{"doc_id": 7, "weight": 1.0}, {"doc_id": 3, "weight": 1.0}], [{"doc_id": 3, "weight": 0.5}]], "asked": [[{"query_id": 1, "idf": 2.0}, {"query_id": 2, "idf": 2.0}], [{"query_id": 2, "idf": 4.0}]]})
+    assert [tuple(r.values()) for r in slice_scores(table, None, None).to_pylist()] == [(1, 7, 2.0), (1, 3, 2.0), (2, 7, 2.0), (2, 3, 4.0)]
+    assert [tuple(r.values()) for r in slice_scores(table, pa.table({"query_id": [1]}), 1).to_pylist()] == [(1, 3, 2.0)]
+
+
 def test_empty_table(spark, queries, tmp_path):
     empty = TextIndex.build(spark.createDataFrame([], "doc_id long, text string"), f"file://{tmp_path}")
     assert empty.top(queries, 5).count() == 0 and empty.scores(queries).count() == 0
