@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+MOST_BROADCAST = 10_000  # aliases
+
 
 def key(name: Column) -> Column:
     """Lower case, single spaces, trimmed."""
@@ -112,9 +114,9 @@ def candidates(names: DataFrame, aliases: DataFrame, most: int = 5, least: float
 def mentions(texts: DataFrame, aliases: DataFrame, text_col: str = "text", id_col: str = "doc_id", longest: int = 4) -> DataFrame:
     """(id, canonical, count) of aliases that occur in texts as whole words.
 
-    Texts become runs of one to ``longest`` words that meet the aliases in an equi-join;
-    the alias table is usually small, and then Spark broadcasts it and nothing shuffles
-    before the counts.
+    Texts become runs of one to ``longest`` words that meet the aliases in an equi-join.
+    Up to ``MOST_BROADCAST`` aliases are broadcast, whatever Spark knows of their size, and
+    then no run that isn't an alias is shuffled.
     """
     split = F.filter(F.split(F.lower(text_col), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     base = texts.select(id_col, split.alias("w"))
@@ -122,7 +124,8 @@ def mentions(texts: DataFrame, aliases: DataFrame, text_col: str = "text", id_co
     runs = lambda n: F.transform(place, lambda i: F.array_join(F.slice("w", i + 1, n), " "))
     grams = base.filter(F.size("w") > 0).select(id_col, F.explode(F.concat(*(F.slice(runs(n), F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(0))) for n in range(1, longest + 1)))).alias("gram"))
     names = aliases.select(F.array_join(F.filter(F.split(F.lower("alias"), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " ").alias("gram"), "canonical").distinct()
-    return grams.join(names, "gram").groupBy(id_col, "canonical").agg(F.count("*").alias("n_mentions"))
+    few = names.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return grams.join(F.broadcast(names) if few else names, "gram").groupBy(id_col, "canonical").agg(F.count("*").alias("n_mentions"))
 
 
 def unregistered(normalized: DataFrame) -> DataFrame:

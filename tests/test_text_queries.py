@@ -151,6 +151,14 @@ def test_candidates_equal_brute_force(spark):
         assert got.get(name, {}) == dict(enumerate(want, 1))
 
 
+def test_few_aliases_are_broadcast(spark):
+    """A table made of rows has no known size; still no run of words is shuffled to meet a few aliases."""
+    texts = spark.createDataFrame([(1, "Of the sea, the"), (2, None), (3, "")], "doc_id long, text string")
+    found = normalize.mentions(texts, spark.createDataFrame([("the", "EN"), ("of the", "EN")], "alias string, canonical string"))
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [(1, "EN", 3)]
+
+
 def test_paragraph_chunks(spark):
     assert chunk.paragraph_chunks("one\n\ntwo\n \nthree", least=5, most=9) == ["one two", "three"]
     assert chunk.paragraph_chunks(None) == [] and chunk.merged(["a" * 300, "b", "c" * 300], 200, 1500) == ["a" * 300 + " b", "c" * 300]
