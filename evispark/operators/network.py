@@ -15,20 +15,26 @@ BOOST_ELSEWHERE = 0.5
 BOOST_BY_STRENGTH = {"strong": 1.2, "moderate": 1.0, "weak": 0.8, "insufficient": 0.5}
 
 
-def followers(cites: DataFrame, depth: int = 3) -> DataFrame:
+def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """The rows dealt by ``keys`` into so many parts; without a number as Spark decides."""
+    return df.repartition(parts, *keys) if parts else df
+
+
+def followers(cites: DataFrame, depth: int = 3, parts: int | None = None) -> DataFrame:
     """(paper, root, depth): papers that build on a root over one to ``depth`` citations, at their least depth.
 
-    Breadth first: each step starts from the distinct pairs that the step before found
-    anew, so a dense network costs its pairs, not its trails.
+    Breadth first: each step starts from the distinct pairs of the step before, so a dense
+    network costs its pairs, not its trails. Pairs found at several depths are told apart
+    once, at the end. ``parts``: in how many the pairs are dealt.
     """
-    steps = cites.select(F.col("source").alias("via"), F.col("target").alias("next")).distinct()
-    level = cites.select(F.col("source").alias("paper"), F.col("target").alias("root")).distinct()
+    steps = dealt(cites.select(F.col("source").alias("via"), F.col("target").alias("next")), parts, "via").distinct()
+    level = cites.select(F.col("source").alias("paper"), F.col("target").alias("root"))
     out = level.withColumn("depth", F.lit(1))
     for d in range(2, depth + 1):
-        ahead = level.join(steps, level.root == steps.via).select("paper", F.col("next").alias("root")).distinct()
-        level = ahead.join(out, ["paper", "root"], "left_anti")
+        level = dealt(level, parts, "paper", "root").distinct() if d > 2 else level
+        level = dealt(level, parts, "root").join(steps, F.col("root") == F.col("via")).select("paper", F.col("next").alias("root"))
         out = out.unionByName(level.withColumn("depth", F.lit(d)))
-    return out.filter("paper <> root")
+    return dealt(out.filter("paper <> root"), parts, "paper", "root").groupBy("paper", "root").agg(F.min("depth").alias("depth"))
 
 
 def ego(cites: DataFrame, depth: int = 2, centres: DataFrame | None = None) -> DataFrame:

@@ -87,7 +87,7 @@ def by_outcome(s, d):
 
 
 QUERIES = {
-    "network_research_chain": lambda s, d: n.followers(cites(s, d)),
+    "network_research_chain": lambda s, d: n.followers(cites(s, d), parts=t.parts(s, d, "orders")),
     "network_ego": around,
     "join_citing_papers": lambda s, d: n.citing(cites(s, d), t.paper(s, d)),
     "join_citation_confidence": citation_scores,

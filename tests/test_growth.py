@@ -1,8 +1,17 @@
 """What a task holds and what goes through the driver must not grow with the tables."""
 
+import re
+
+import pytest
+
 import __spark_entry__ as entry_module
+from evispark.sources import tables as t
 
 SF_DIR = "/root/testdata/sf0.001"
+#: The table in proportion to which a query's rows are dealt into parts, and the keys by which they are.
+DEALT = {
+    "network_research_chain": ("orders", {"via", "root", "paper, root"}),
+}
 
 
 def test_study_types_use_all_cores_and_compute_a_score_once(spark):
@@ -10,3 +19,18 @@ def test_study_types_use_all_cores_and_compute_a_score_once(spark):
     assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     patterns = df._jdf.queryExecution().optimizedPlan().toString().count("case series")
     assert 0 < patterns < 10
+
+
+@pytest.mark.parametrize("name", DEALT)
+def test_rows_are_dealt_into_parts_that_grow_with_the_table(spark, name):
+    table, keys = DEALT[name]
+    few = t.parts(spark, SF_DIR, table)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        many = t.parts(spark, SF_DIR, table)
+        plan = entry_module.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    found = re.findall(r"hashpartitioning\(([^()]*), (\d+)\), REPARTITION_BY_NUM", plan)
+    assert many > few and {int(n) for _, n in found} == {many}
+    assert {re.sub(r"#\d+L?", "", by) for by, _ in found} == keys
