@@ -79,17 +79,16 @@ def citation_confidence(cited_year: Column, year: Column, cited_authors: Column,
     return F.when(most == 0, 0.5).otherwise(F.try_divide(from_year + from_names, most))
 
 
-def stances(claims: DataFrame, facts: DataFrame) -> DataFrame:
+def stances(claims: DataFrame, facts: DataFrame, parts: int | None = None) -> DataFrame:
     """(claim_id, paper, stance) of every paper with facts on a claim's outcome.
 
     ``claims``: (claim_id, outcome, claimed, opposite). A paper whose facts point only the
     claimed way supports, one whose facts point only the opposite way refutes, all others
-    are neutral. Facts are counted by paper and direction before the join.
+    are neutral. A paper has few facts on an outcome, so counting them before the join would
+    only hold and shuffle nearly all rows once more. ``parts``: in how many the papers are dealt.
     """
-    counts = facts.groupBy("outcome", "source_paper_id", "direction").agg(F.count("*").alias("n"))
-    met = counts.join(claims, "outcome").groupBy("claim_id", "source_paper_id").agg(
-        F.max(F.col("direction") == F.col("claimed")).alias("yes"), F.max(F.col("direction") == F.col("opposite")).alias("no")
-    )
+    met = facts.join(claims, "outcome").select("claim_id", "source_paper_id", (F.col("direction") == F.col("claimed")).alias("yes"), (F.col("direction") == F.col("opposite")).alias("no"))
+    met = dealt(met, parts, "claim_id", "source_paper_id").groupBy("claim_id", "source_paper_id").agg(F.max("yes").alias("yes"), F.max("no").alias("no"))
     stance = F.when(F.col("yes") & ~F.col("no"), "supporting").when(F.col("no") & ~F.col("yes"), "refuting").otherwise("neutral")
     return met.select("claim_id", F.col("source_paper_id").alias("paper_id"), stance.alias("stance"))
 

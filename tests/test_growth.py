@@ -11,6 +11,7 @@ SF_DIR = "/root/testdata/sf0.001"
 #: The table in proportion to which a query's rows are dealt into parts, and the keys by which they are.
 DEALT = {
     "network_research_chain": ("orders", {"via", "root", "paper, root"}),
+    "join_claim_stances": ("lineitem", {"claim_id, source_paper_id"}),
 }
 
 
