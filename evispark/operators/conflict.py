@@ -18,8 +18,9 @@ def severity(top: Column) -> Column:
 def conflict_report(evidence: DataFrame, least_papers: int = 2) -> DataFrame:
     """One row for each pair with both improved and worsened findings: counts, severity and confidence.
 
-    A single aggregation over the facts: Spark sums map-side, so what is shuffled is a row
-    a pair and task. The paper count is distinct, hence a second, smaller step in the plan.
+    A single aggregation over the facts. The paper count is distinct, so Spark adds up by pair
+    and paper first, which are nearly as many as the facts: where they are large, deal them
+    by pair into enough parts beforehand, then they are shuffled once and each task holds few.
     """
     score = weight("evidence_level", CONFLICT, 1.0)
     opposed = F.col("direction").isin("improved", "worsened")

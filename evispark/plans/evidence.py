@@ -13,7 +13,7 @@ from evispark.sources.tables import with_tables
 D = lambda x: f"CAST({x} AS DOUBLE)"
 
 QUERIES = {
-    "conflict_report": lambda s, d: conflict.conflict_report(t.evidence(s, d)),
+    "conflict_report": lambda s, d: conflict.conflict_report(t.evidence(s, d).repartition(t.parts(s, d, "lineitem"), *conflict.PAIR)),
     "conflict_gap_pairs": lambda s, d: conflict.gap_conflicts(t.evidence(s, d)),
     "conflict_within_pair": lambda s, d: conflict.opposed_counts(t.affects(s, d).filter("is_significant")),
     "conflict_across_interventions": lambda s, d: _across(s, d),

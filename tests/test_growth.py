@@ -12,6 +12,7 @@ SF_DIR = "/root/testdata/sf0.001"
 DEALT = {
     "network_research_chain": ("orders", {"via", "root", "paper, root"}),
     "join_claim_stances": ("lineitem", {"claim_id, source_paper_id"}),
+    "conflict_report": ("lineitem", {"intervention, outcome"}),
 }
 
 
