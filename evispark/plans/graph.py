@@ -111,10 +111,13 @@ def treatment_comparison(s, d):
 
 def head_to_head(s, d):
     """Papers that report on two interventions, with counts of their findings for each."""
-    g = t.affects(s, d).groupBy("source_paper_id", "intervention").agg(F.count("*").alias("n"), F.min("p_value").alias("p"))
+    parts = t.parts(s, d, "lineitem")
+    g = t.affects(s, d).repartition(parts, "source_paper_id").groupBy("source_paper_id", "intervention").agg(F.min("p_value").alias("p"))
     a, b = g.alias("a"), g.alias("b")
     both = a.join(b, (F.col("a.source_paper_id") == F.col("b.source_paper_id")) & (F.col("a.intervention") < F.col("b.intervention")))
-    return both.groupBy(F.col("a.intervention").alias("first"), F.col("b.intervention").alias("second")).agg(F.count("*").alias("n_papers"), F.count_if(F.col("a.p") < F.col("b.p")).alias("first_stronger"))
+    # most pairs share one paper, so pairs are dealt first and counted once
+    pairs = both.select(F.col("a.intervention").alias("first"), F.col("b.intervention").alias("second"), (F.col("a.p") < F.col("b.p")).alias("stronger")).repartition(parts, "first", "second")
+    return pairs.groupBy("first", "second").agg(F.count("*").alias("n_papers"), F.count_if("stronger").alias("first_stronger"))
 
 
 def paper_star(s, d):

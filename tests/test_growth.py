@@ -13,6 +13,7 @@ DEALT = {
     "network_research_chain": ("orders", {"via", "root", "paper, root"}),
     "join_claim_stances": ("lineitem", {"claim_id, source_paper_id"}),
     "conflict_report": ("lineitem", {"intervention, outcome"}),
+    "join_head_to_head": ("lineitem", {"source_paper_id", "first, second"}),
 }
 
 
