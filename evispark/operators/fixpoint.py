@@ -16,6 +16,11 @@ from evispark.sources.staging import staged, unstaged
 STEPS = 4  # rounds of peeling, or levels, between two stagings
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: both sides are sorted, none is sent to all executors by way of the driver."""
+    return df.hint("merge")
+
+
 def _edges(is_a: DataFrame) -> DataFrame:
     return is_a.filter("child IS NOT NULL AND parent IS NOT NULL").select("child", "parent").distinct()
 
@@ -127,14 +132,14 @@ def components(pairs: DataFrame, first: str = "a", second: str = "b") -> DataFra
     both = staged(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "pairs")
     now = staged(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
     while True:
-        near = both.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        met = now.join(near, "node").select("node", "label", F.least("label", "near").alias("least"))
+        near = both.join(_sorted(now.withColumnRenamed("node", "b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        met = now.join(_sorted(near), "node").select("node", "label", F.least("label", "near").alias("least"))
         hooks = met.select("node", "least").unionByName(met.select(F.col("label").alias("node"), "least"))
         hooked = staged(hooks.groupBy("node").agg(F.min("least").alias("label")), "labels")
         jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        after = staged(hooked.join(jump, "label").select("node", F.least("label", "next").alias("label")), "labels")
+        after = staged(hooked.join(_sorted(jump), "label").select("node", F.least("label", "next").alias("label")), "labels")
         unstaged(hooked)
-        same = after.join(now, ["node", "label"], "left_anti").isEmpty()
+        same = after.join(_sorted(now), ["node", "label"], "left_anti").isEmpty()
         unstaged(now)
         now = after
         if same:
@@ -151,10 +156,10 @@ def settled_names(mapping: DataFrame, prefer: Sequence[Column] = (), facts: Data
     steps = staged(mapping.filter("old IS NOT NULL AND canonical IS NOT NULL AND old <> canonical").select("old", "canonical").distinct(), "renames")
     member = components(steps, "old", "canonical").withColumnRenamed("node", "name")
     renamed = steps.select(F.col("old").alias("name")).distinct().withColumn("renamed", F.lit(1))
-    known = member.join(renamed, "name", "left").fillna({"renamed": 0})
-    known = known if facts is None else known.join(facts, "name", "left")
+    known = member.join(_sorted(renamed), "name", "left").fillna({"renamed": 0})
+    known = known if facts is None else known.join(_sorted(facts), "name", "left")
     best = known.groupBy("component").agg(F.min_by("name", F.struct("renamed", *(p.alias(f"p{i}") for i, p in enumerate(prefer)), "name")).alias("canonical"))
-    return member.join(best, "component").filter("name <> canonical").select(F.col("name").alias("old"), "canonical")
+    return member.join(_sorted(best), "component").filter("name <> canonical").select(F.col("name").alias("old"), "canonical")
 
 
 def problems(is_a: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry_module
+from evispark.operators import fixpoint
 from evispark.sources import tables as t
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -37,3 +38,19 @@ def test_rows_are_dealt_into_parts_that_grow_with_the_table(spark, name):
     found = re.findall(r"hashpartitioning\(([^()]*), (\d+)\), REPARTITION_BY_NUM", plan)
     assert many > few and {int(n) for _, n in found} == {many}
     assert {re.sub(r"#\d+L?", "", by) for by, _ in found} == keys
+
+
+def test_names_settle_without_tables_sent_by_way_of_the_driver(spark, monkeypatch):
+    plans = []
+
+    def staged(df, name, write=fixpoint.staged):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(fixpoint, "staged", staged)
+    steps = spark.createDataFrame([(f"v{i}", f"v{i + 1}") for i in range(9)], "old string, canonical string")
+    facts = steps.select("old").withColumnRenamed("old", "name")
+    found = fixpoint.settled_names(steps, (), facts)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert found.count() == 9
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
