@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.functions.levels import CONFLICT, weight
+from evispark.functions.numeric import rounded
 
 PAIR = ("intervention", "outcome")
 DIRECTIONS = ("improved", "worsened", "unchanged")
@@ -46,7 +47,7 @@ def conflict_report(evidence: DataFrame, least_papers: int = 2) -> DataFrame:
     ratio = F.least("n_improved", "n_worsened") / F.col("n_findings")
     return g.select(
         *PAIR, "n_papers", "n_improved", "n_worsened", "n_unchanged", "n_significant",
-        severity(F.col("top_score")).alias("severity"), F.round(confidence, 4).alias("confidence"), F.round(ratio, 4).alias("conflict_ratio"),
+        severity(F.col("top_score")).alias("severity"), rounded(confidence, 4).alias("confidence"), F.round(ratio, 4).alias("conflict_ratio"),
     )
 
 
