@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from evispark.sources.staging import staged, unstaged
 
-STEPS = 4  # rounds of peeling, or levels, between two stagings
+STEPS = 4  # levels between two stagings
 
 
 def _sorted(df: DataFrame) -> DataFrame:
@@ -33,12 +33,9 @@ def core(is_a: DataFrame) -> DataFrame:
     now = staged(_edges(is_a), "core")
     before = now.count()
     while before:
-        peeled = now
-        for _ in range(STEPS):
-            inner = peeled.join(peeled.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")  # the child is someone's parent
-            peeled = inner.join(inner.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child", "parent")
-        last, now = now, staged(peeled, "core")
-        unstaged(last)
+        for low, high in (("child", "parent"), ("parent", "child")):
+            last, now = now, _without_ends(now, low, high)
+            unstaged(last)
         after = now.count()
         if after == before:
             break
@@ -46,6 +43,29 @@ def core(is_a: DataFrame) -> DataFrame:
     return now
 
 
+def _without_ends(edges: DataFrame, low: str, high: str) -> DataFrame:
+    """The edges without nodes that have none on the ``low`` side, and without the chains that such a node ends.
+
+    A node with one neighbour on that side goes if the neighbour does. It points there, and
+    pointers are followed by doubling, so a chain goes in as many rounds as its length has
+    digits in base two. Where none is added in a round, no later one would add any.
+    """
+    one = F.min(low) == F.max(low)
+    ahead = edges.groupBy(F.col(high).alias("node")).agg(F.when(one, F.min(low)).otherwise(F.first(high)).alias("next"))
+    inner = edges.select(F.col(high).alias("next")).distinct().withColumn("inner", F.lit(True))
+    now = staged(ahead.join(_sorted(inner), "next", "left").select("node", "next", F.isnull("inner").alias("ends")), "ends")
+    before, ended = 0, now.filter("ends").count()
+    while ended > before:
+        met = now.select(F.col("node").alias("next"), F.col("next").alias("then"), F.col("ends").alias("too"))
+        moved = now.join(_sorted(met), "next", "left").select("node", F.coalesce("then", "next").alias("next"), (F.col("ends") | F.coalesce("too", F.lit(False))).alias("ends"))
+        last, now = now, staged(moved, "ends")
+        unstaged(last)
+        before, ended = ended, now.filter("ends").count()
+    kept = staged(edges.join(_sorted(now.filter("NOT ends").select(F.col("node").alias(low))), low, "left_semi").select("child", "parent"), "core")
+    unstaged(now)
+    return kept
+
+
 def cycles(is_a: DataFrame) -> DataFrame:
     """(node, cycle): each node that is its own ancestor over any number of edges, with the greatest node of its strongly connected component.
 
@@ -57,46 +77,43 @@ def cycles(is_a: DataFrame) -> DataFrame:
     left, found = core(is_a), None
     while left.count():
         colour = _greatest_above(left)
-        inside = left.join(colour.withColumnRenamed("node", "child").withColumnRenamed("colour", "c1"), "child").join(colour.withColumnRenamed("node", "parent").withColumnRenamed("colour", "c2"), "parent")
+        below, over = colour.toDF("child", "c1"), colour.toDF("parent", "c2")
+        inside = left.join(_sorted(below), "child").join(_sorted(over), "parent")
         inside = staged(inside.filter("c1 = c2").select("child", "parent", F.col("c1").alias("colour")), "colours")
-        own = _back(inside)
-        part = staged(own.join(inside.select(F.col("child").alias("node")).union(inside.select("parent")).distinct(), "node", "left_semi"), "cycles")
+        back = _greatest_above(inside.select(F.col("parent").alias("child"), F.col("child").alias("parent")))  # a colour is its greatest node
+        own = back.withColumnRenamed("colour", "cycle").join(_sorted(inside.select(F.col("colour").alias("cycle")).distinct()), "cycle", "left_semi")
+        part = staged(own.select("node", "cycle"), "cycles")
         found = part if found is None else found.unionByName(part)
         gone = part.select("node")
-        rest = left.join(gone.withColumnRenamed("node", "child"), "child", "left_anti").join(gone.withColumnRenamed("node", "parent"), "parent", "left_anti")
+        rest = left.join(_sorted(gone.toDF("child")), "child", "left_anti").join(_sorted(gone.toDF("parent")), "parent", "left_anti")
         left = core(rest)
     if found is None:
         return left.select(F.col("child").alias("node"), F.col("parent").alias("cycle"))
     loops = _edges(is_a).filter("child = parent").select(F.col("child").alias("node"))
     sizes = found.groupBy("cycle").count()
-    joined = found.join(sizes, "cycle").join(loops.withColumn("loop", F.lit(True)), "node", "left")
+    joined = found.join(_sorted(sizes), "cycle").join(_sorted(loops.withColumn("loop", F.lit(True))), "node", "left")
     return joined.filter("count > 1 OR loop").select("node", "cycle")
 
 
 def _greatest_above(edges: DataFrame) -> DataFrame:
-    """(node, colour): the greatest of the node and all nodes below it, as every child hands its colour on to its parents."""
-    nodes = edges.select(F.col("child").alias("node")).union(edges.select("parent")).distinct()
-    now = staged(nodes.withColumn("colour", F.col("node")), "colour")
-    while True:
-        handed = edges.join(now.withColumnRenamed("node", "child"), "child").select(F.col("parent").alias("node"), "colour")
-        after = staged(now.unionByName(handed).groupBy("node").agg(F.max("colour").alias("colour")), "colour")
-        same = after.join(now, ["node", "colour"], "left_anti").isEmpty()
-        unstaged(now)
-        now = after
-        if same:
-            return now
+    """(node, colour): the greatest of the node and all nodes below it, as every child hands its colour on to its parents.
 
-
-def _back(inside: DataFrame) -> DataFrame:
-    """(node, cycle): nodes from which the colour's own node can be reached over edges of the colour."""
-    reached = staged(inside.select(F.col("colour").alias("node"), F.col("colour").alias("cycle")).distinct(), "reached")
-    fresh = reached
+    Only colours that have changed are handed on. A node also takes the colour of one node
+    further below, to which it points, and then that one's pointer, so that a colour goes
+    along a chain or round a cycle in as many rounds as its length has digits in base two.
+    """
+    nodes = edges.select(F.col("child").alias("node"), F.lit(None).alias("far")).union(edges.select("parent", "child"))
+    now = staged(nodes.groupBy("node").agg(F.coalesce(F.max("far"), F.col("node")).alias("far")).select("node", "far", F.col("node").alias("colour"), F.lit(True).alias("changed")), "colour")
     while True:
-        ahead = inside.join(fresh.select(F.col("node").alias("parent"), F.col("cycle").alias("colour")), ["parent", "colour"])
-        fresh = staged(ahead.select(F.col("child").alias("node"), F.col("colour").alias("cycle")).distinct().join(reached, ["node", "cycle"], "left_anti"), "reached")
-        if fresh.isEmpty():
-            return reached
-        reached = reached.unionByName(fresh)
+        handed = edges.join(_sorted(now.filter("changed").select(F.col("node").alias("child"), "colour")), "child")
+        further = now.select(F.col("node").alias("far"), F.col("far").alias("next"), F.col("colour").alias("met"))
+        own = now.join(_sorted(further), "far").select("node", F.greatest("colour", "met").alias("new"), F.col("colour").alias("old"), F.col("next").alias("far"))
+        rows = own.unionByName(handed.select(F.col("parent").alias("node"), F.col("colour").alias("new")), allowMissingColumns=True)
+        found = rows.groupBy("node").agg(F.max("far").alias("far"), F.max("new").alias("colour"), F.max("old").alias("old"))
+        last, now = now, staged(found.select("node", "far", "colour", (F.col("colour") != F.col("old")).alias("changed")), "colour")
+        unstaged(last)
+        if now.filter("changed").isEmpty():
+            return now.select("node", "colour")
 
 
 def levels(is_a: DataFrame) -> DataFrame:
@@ -169,7 +186,7 @@ def problems(is_a: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     linked = is_a.select(F.col("child").alias("node")).union(is_a.select("parent")).distinct()
     kind = lambda name, df: df.select(F.lit(name).alias("kind"), "node").distinct()
-    out = kind("orphan", nodes.select("node").filter("node IS NOT NULL").join(linked, "node", "left_anti")).unionByName(kind("cycle", cycles(is_a)))
+    out = kind("orphan", nodes.select("node").filter("node IS NOT NULL").join(_sorted(linked), "node", "left_anti")).unionByName(kind("cycle", cycles(is_a)))
     if "level" in is_a.columns:
         out = out.unionByName(kind("no_level", is_a.filter("level IS NULL AND parent IS NOT NULL").select(F.col("child").alias("node"))))
     return out

@@ -54,3 +54,21 @@ def test_names_settle_without_tables_sent_by_way_of_the_driver(spark, monkeypatc
     plans.append(found._jdf.queryExecution().executedPlan().toString())
     assert found.count() == 9
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_cycles_are_found_without_tables_sent_by_way_of_the_driver(spark, monkeypatch):
+    plans = []
+
+    def staged(df, name, write=fixpoint.staged):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(fixpoint, "staged", staged)
+    ring = [(f"r{i:02}", f"r{(i + 1) % 24:02}") for i in range(24)]
+    chain = [(f"c{i:02}", f"c{i + 1:02}") for i in range(40)] + [("c40", "r00")]
+    is_a = spark.createDataFrame([(c, p, None) for c, p in ring + chain], "child string, parent string, level int")
+    found = fixpoint.problems(is_a, is_a.select("child").withColumnRenamed("child", "node"))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert found.filter("kind = 'cycle'").count() == 24
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+    assert len(plans) < 40  # a step each for 41 nodes to drop and 24 to go round would take more
