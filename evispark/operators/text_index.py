@@ -29,6 +29,7 @@ BUCKETS = 64
 SLICE_DOCS = 1024
 PROBED = 4  # slices of each query that are scored first
 MOST_TERMS = 1000  # up to so many terms are pushed into the scan by name
+ASKED = 1024  # all scores of a slice are made for up to about so many queries at once
 SLACK = 2e-6  # scores are rounded to six digits
 
 
@@ -143,17 +144,23 @@ class TextIndex:
         term, and all scores of the slice are added up there; with ``k`` only the best of
         each query and slice leave it. Postings don't multiply by queries.
         """
-        asked = wanted.groupBy("term").agg(F.collect_list(F.struct("query_id", "idf")).alias("asked"))
+        groups = ["asking"] if slices is None else []
+        asked = wanted.groupBy("term", *groups).agg(F.collect_list(F.struct("query_id", "idf")).alias("asked"))
         blocks = self._pruned("postings", wanted).select("term", "slice", "postings").join(asked, "term").drop("term")
         schema = f"query_id {wanted.schema['query_id'].dataType.simpleString()}, doc_id {self.doc_type}, score double"
         if slices is None:
-            return blocks.groupBy("slice").applyInArrow(lambda table: slice_scores(table, None, k), schema)
+            return blocks.groupBy("slice", *groups).applyInArrow(lambda table: slice_scores(table, None, k), schema)
         blocks = blocks.join(slices.select("slice").distinct(), "slice", "left_semi")
         return blocks.groupBy("slice").cogroup(slices.groupBy("slice")).applyInArrow(lambda left, right: slice_scores(left, right, k), schema)
 
     def scores(self, queries: DataFrame) -> DataFrame:
-        """(query_id, doc_id, score) of every document that shares a term with a query (query_id, text)."""
-        return self._scores(staged(self._wanted(queries), "wanted-terms"))
+        """(query_id, doc_id, score) of every document that shares a term with a query (query_id, text).
+
+        Many queries are dealt into groups, so that what a task makes of a slice stays bounded.
+        """
+        wanted = staged(self._wanted(queries), "wanted-terms")
+        groups = max(1, ceil(wanted.select("query_id").distinct().count() / ASKED))
+        return self._scores(wanted.withColumn("asking", F.pmod(F.xxhash64("query_id"), F.lit(groups))))
 
     def bounds(self, queries: DataFrame) -> DataFrame:
         """(query_id, slice, bound): no document of the slice scores higher. No posting is read."""

@@ -5,8 +5,10 @@ import random
 import pyarrow as pa
 import pytest
 
+from evispark.operators import text_index
 from evispark.operators.search import bm25
 from evispark.operators.text_index import TextIndex, slice_scores
+from evispark.plans.indexes import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -41,6 +43,19 @@ def test_scores_are_those_without_an_index(corpus, queries, index):
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) <= 2e-6 for x in want)
 
 
+def test_scores_of_many_queries_are_made_in_groups(monkeypatch, queries, index):
+    want = sorted(tuple(r) for r in index.scores(queries).collect())
+    monkeypatch.setattr(text_index, "ASKED", 2)
+    assert sorted(tuple(r) for r in index.scores(queries).collect()) == want
+
+
+def test_every_item_is_asked_for(spark):
+    """Items were asked for only where their number is divisible by 100, which is one of 40 here."""
+    asked = {r.query_id for r in QUERIES["text_index_scores"](spark, "/root/testdata/sf0.001").select("query_id").distinct().collect()}
+    assert asked == {r.query_id for r in QUERIES["text_index_top"](spark, "/root/testdata/sf0.001").select("query_id").distinct().collect()}
+    assert len(asked) == 40
+
+
 @pytest.mark.parametrize("k, probed", [(3, 1), (10, 4), (1000, 2)])
 def test_top_is_exact(queries, index, k, probed):
     want = ranked(index.scores(queries), k)
