@@ -11,6 +11,7 @@ from evispark.sources.staging import staged
 LEAST = 0.6  # titles are alike above this similarity of their words
 YEAR, AUTHORS = 0.4, 0.6  # weights of the year and of the authors; a year off by one counts half
 GRAM = 8  # letters of the pieces on which authors meet; with fewer, ever more papers of a year share one
+HOT = 1000  # papers are looked up by an author who has up to so many records; by title and author for others
 
 
 def _low(c: str | Column) -> Column:
@@ -34,41 +35,74 @@ def grams(text: Column, sizes: list[int]) -> Column:
 
 
 def _classes(rows: DataFrame, key: str) -> DataFrame:
-    """Rows of equal authors, year and title words as one, named by their smallest key."""
-    shape = rows.select(key, _authors("authors").alias("authors"), F.col("year").cast("int").alias("year"), F.array_sort(title_words("title")).alias("words"))
-    return shape.groupBy("authors", "year", "words").agg(F.min(key).alias(key)).withColumn("n", F.size("words"))
+    """Records of equal authors, year and title words as one, named by their smallest key."""
+    return rows.groupBy("authors", "year", "words").agg(F.min(key).alias(key)).withColumn("n", F.size("words")).withColumn("names", F.concat_ws(" ", "authors"))
 
 
 def _alike_titles(cited: DataFrame, papers: DataFrame) -> DataFrame:
-    """(citation_id, paper_id) whose titles may be alike: prefix filter over words from rare to common, on both tables."""
-    both = cited.select(F.lit(0).alias("side"), F.col("citation_id").alias("id"), "words", "year").unionByName(papers.select(F.lit(1).alias("side"), F.col("paper_id").alias("id"), "words", "year"))
+    """(cited_set, paper_set) of distinct sets of title words (id, words) that are alike: prefix filter over words from rare to common, on both tables."""
+    both = cited.select(F.lit(0).alias("side"), "id", "words").unionByName(papers.select(F.lit(1).alias("side"), "id", "words"))
     words = both.select("side", "id", F.explode("words").alias("word"))
     frequency = words.groupBy("word").agg(F.count("*").alias("df"))
     ordered = words.join(frequency, "word").groupBy("side", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "word"))), lambda x: x.word).alias("items"))
     met = ordered.withColumn("n", F.size("items")).select("side", "id", "n", F.explode(prefix_keys(LEAST)).alias("e"))
-    left = met.filter("side = 0").select("e", F.col("id").alias("citation_id"), F.col("n").alias("n_cited"))
-    right = met.filter("side = 1").select("e", F.col("id").alias("paper_id"), "n")
+    left = met.filter("side = 0").select("e", F.col("id").alias("cited_set"), F.col("n").alias("n_cited"))
+    right = met.filter("side = 1").select("e", F.col("id").alias("paper_set"), "n")
     fits = (F.col("n") >= LEAST * F.col("n_cited")) & (F.col("n_cited") >= LEAST * F.col("n"))
-    return left.join(right, "e").filter(fits).select("citation_id", "paper_id").distinct()
+    pairs = left.join(right, "e").filter(fits).select("cited_set", "paper_set").distinct()
+    own, other = cited.select(F.col("id").alias("cited_set"), "words"), papers.select(F.col("id").alias("paper_set"), F.col("words").alias("paper_words"))
+    return pairs.join(own, "cited_set").join(other, "paper_set").filter(_similarity("words", "paper_words") > LEAST).select("cited_set", "paper_set")
 
 
-def _same_author(cited: DataFrame, papers: DataFrame) -> DataFrame:
-    """(citation_id, paper_id) of one year where either lacks a title and the first author may be among the paper's.
+def _author_names(cited: DataFrame, papers: DataFrame) -> DataFrame:
+    """(author, names, n): a citation's author, and the joined authors of ``n`` records of papers that hold it.
 
-    A citation meets papers on the piece of its first author's name that is rarest among that
-    year's papers; a name shorter than a piece is a piece itself.
+    An author meets papers on the piece of its name that is rarest among theirs; a name
+    shorter than a piece is a piece itself.
     """
-    names = F.concat_ws(" ", "authors")
-    asked = cited.filter("year IS NOT NULL AND size(authors) > 0").select(F.least(F.length(F.element_at("authors", 1)), F.lit(GRAM)).alias("size")).distinct()
-    sizes = sorted(r.size for r in asked.collect()) or [GRAM]  # up to GRAM numbers
-    have = papers.filter("year IS NOT NULL AND size(authors) > 0").select("paper_id", "year", "n", F.explode(grams(names, sizes)).alias("gram"))
-    frequency = have.groupBy("year", "gram").agg(F.count("*").alias("df"), F.count_if(F.col("n") == 0).alias("df_bare"))
-    first = F.element_at("authors", 1)
-    pieces = F.when(F.length(first) < GRAM, F.array(first)).otherwise(grams(first, [GRAM]))
-    want = cited.filter("year IS NOT NULL AND size(authors) > 0").select("citation_id", "year", F.col("n").alias("n_cited"), F.explode(pieces).alias("gram"))
-    met = want.join(frequency, ["year", "gram"]).withColumn("df", F.when(F.col("n_cited") > 0, F.col("df_bare")).otherwise(F.col("df"))).filter("df > 0")
-    rare = met.groupBy("citation_id", "year", "n_cited").agg(F.min(F.struct("df", "gram")).alias("x")).select("citation_id", "year", "n_cited", "x.gram")
-    return rare.join(have, ["year", "gram"]).filter("n_cited = 0 OR n = 0").select("citation_id", "paper_id").distinct()
+    who = cited.select(F.explode("authors").alias("author")).distinct()
+    sizes = sorted(r.size for r in who.select(F.least(F.length("author"), F.lit(GRAM)).alias("size")).distinct().collect()) or [GRAM]  # up to GRAM numbers
+    names = papers.filter("size(authors) > 0").groupBy("names").agg(F.count("*").alias("n"))
+    have = names.select("names", "n", F.explode(grams(F.col("names"), sizes)).alias("gram"))
+    frequency = have.groupBy("gram").agg(F.count("*").alias("df"))
+    pieces = F.when(F.length("author") < GRAM, F.array("author")).otherwise(grams(F.col("author"), [GRAM]))
+    rare = who.select("author", F.explode(pieces).alias("gram")).join(frequency, "gram").groupBy("author").agg(F.min(F.struct("df", "gram")).alias("x")).select("author", "x.gram")
+    return rare.join(have, "gram").filter(F.contains("names", F.col("author"))).select("author", "names", "n")
+
+
+def _near(year: str, paper_year: str) -> Column:
+    """Years at most one apart, or one unknown."""
+    return F.coalesce(F.abs(F.col(year) - F.col(paper_year)) <= 1, F.lit(True))
+
+
+def _by_title(cited: DataFrame, papers: DataFrame, hot: DataFrame) -> DataFrame:
+    """(citation_id, paper_id) whose titles are alike: of each set of title words and year near enough the first paper, and all papers with a ``hot`` author of the citation.
+
+    Without an author in common only year, title and number tell papers apart, so the first stands for all.
+    """
+    first = lambda rows, key: rows.filter("n > 0").groupBy("words").agg(F.min(key).alias("id"))
+    own, other = staged(first(cited, "citation_id"), "cited-titles"), staged(first(papers, "paper_id"), "titles")
+    alike = _alike_titles(own, other)
+    placed = papers.join(other, "words").select(F.col("id").alias("paper_set"), F.col("year").alias("paper_year"), "names", "paper_id")
+    asked = staged(cited.join(own, "words").select("citation_id", "year", "authors", F.col("id").alias("cited_set")).join(alike, "cited_set"), "alike-titles")
+    stand = placed.groupBy("paper_set", "paper_year").agg(F.min("paper_id").alias("paper_id"))
+    some = asked.join(stand, "paper_set").filter(_near("year", "paper_year")).select("citation_id", "paper_id")
+    known = placed.join(hot.select("author", "names"), "names").select("paper_set", "author", "paper_year", "paper_id")
+    by_hot = asked.select("citation_id", "year", "paper_set", F.explode("authors").alias("author")).join(known, ["paper_set", "author"]).filter(_near("year", "paper_year"))
+    return some.unionByName(by_hot.select("citation_id", "paper_id")).distinct()
+
+
+def _without_title(cited: DataFrame, papers: DataFrame, hot: DataFrame) -> DataFrame:
+    """(citation_id, paper_id) of one year where either lacks a title and the first author, a ``hot`` one, is among the paper's."""
+    first = cited.filter("size(authors) > 0 AND year IS NOT NULL").select("citation_id", "year", F.col("n").alias("n_cited"), F.element_at("authors", 1).alias("author"))
+    have = papers.join(hot.select("author", "names"), "names").select("author", "year", "n", "paper_id")
+    both = [first.filter("n_cited = 0").join(have, ["author", "year"]), first.filter("n_cited > 0").join(have.filter("n = 0"), ["author", "year"])]
+    return both[0].unionByName(both[1]).select("citation_id", "paper_id").distinct()
+
+
+def _similarity(words: str, paper_words: str) -> Column:
+    common = F.size(F.array_intersect(words, paper_words))
+    return F.round(common / F.greatest(F.size(words) + F.size(paper_words) - common, F.lit(1)), 6)
 
 
 def confidence(authors: Column, year: Column, paper_authors: Column, paper_year: Column) -> Column:
@@ -93,32 +127,48 @@ def match_citations(citations: DataFrame, papers: DataFrame) -> DataFrame:
     * ``title``: titles alike, and years at most one apart or one unknown.
 
     Then the higher confidence wins, the higher similarity, the smaller paper_id. Equal
-    records are compared once. Only keys and identifiers travel until the pairs are distinct.
+    records are compared once. Papers that hold one of a citation's authors are looked at
+    first; only citations that a paper without these could still match better go on to those
+    of like titles. Authors of more than ``HOT`` records are met within like titles only.
+    Only keys and identifiers travel until the pairs are distinct.
     """
-    known = papers.select(_low("identifier").alias("key"), "paper_id").filter("key IS NOT NULL").groupBy("key").agg(F.min("paper_id").alias("paper_id"))
-    sure = citations.select("citation_id", _low("identifier").alias("key")).filter("key IS NOT NULL").join(known, "key").select("citation_id", "paper_id")
-    shape = lambda rows, key: rows.select(key, _authors("authors").alias("authors"), F.col("year").cast("int").alias("year"), F.array_sort(title_words("title")).alias("words"))
-    rest = citations.join(sure, "citation_id", "left_anti")
-    cited, have = staged(_classes(rest, "citation_id"), "cited"), staged(_classes(papers, "paper_id"), "citable")  # each read several times
-    pairs = _alike_titles(cited, have).unionByName(_same_author(cited, have)).distinct()
-    scored = _scored(pairs, cited, have)
-    alike = F.col("similarity") > LEAST
-    by_author = (F.col("year") == F.col("paper_year")) & F.contains(F.concat_ws(" ", "paper_authors"), F.element_at("authors", 1)) & (alike | (F.size("words") == 0) | (F.size("paper_words") == 0))
-    near = F.coalesce(F.abs(F.col("year") - F.col("paper_year")) <= 1, F.lit(True))
-    method = F.when(F.when(F.size("authors") > 0, by_author).otherwise(False), "author").when(alike & near, "title")
-    found = scored.withColumn("method", method).filter("method IS NOT NULL")
-    best = F.min(F.struct("method", (-F.col("confidence")).alias("c"), (-F.col("similarity")).alias("s"), "paper_id")).alias("x")
-    won = found.groupBy("citation_id").agg(best).select(F.col("citation_id").alias("class_id"), "x.paper_id", "x.method", (-F.col("x.c")).alias("confidence"), (-F.col("x.s")).alias("similarity"))
+    shape = lambda rows, key: staged(rows.select(key, _low("identifier").alias("key"), _authors("authors").alias("authors"), F.col("year").cast("int").alias("year"), F.array_sort(title_words("title")).alias("words")), "records")
+    given, own = shape(citations, "citation_id"), shape(papers, "paper_id")
+    known = own.filter("key IS NOT NULL").groupBy("key").agg(F.min("paper_id").alias("paper_id"))
+    sure = given.filter("key IS NOT NULL").join(known, "key").select("citation_id", "paper_id")
+    rest = given.join(sure, "citation_id", "left_anti")
+    cited, have = staged(_classes(rest, "citation_id"), "cited"), staged(_classes(own, "paper_id"), "citable")  # each read several times
+    names = staged(_author_names(cited, have), "author-names")
+    hot = names.groupBy("author").agg(F.sum("n").alias("records")).filter(F.col("records") > HOT).select("author")
+    many, few = names.join(hot, "author"), names.join(hot, "author", "left_anti")
+    asked = cited.select("citation_id", F.col("year").alias("asked"), F.explode("authors").alias("author")).join(few, "author")
+    met = asked.join(have, "names").filter(_near("asked", "year")).select("citation_id", "paper_id").distinct()
+    early = staged(_best(met, cited, have), "first-matches")
+    # a paper without an author of the citation has its year at most, and isn't matched by author
+    most = F.when(F.col("year").isNotNull(), YEAR / (YEAR + AUTHORS)).otherwise(0.0)
+    frequent = cited.select("citation_id", F.explode("authors").alias("author")).join(hot, "author").select("citation_id").distinct()
+    settled = early.join(cited.filter("size(authors) > 0"), "citation_id").filter((F.col("x.method") == "author") | (-F.col("x.c") > F.round(most, 6))).select("citation_id")
+    open_ = staged(cited.join(settled.join(frequent, "citation_id", "left_anti"), "citation_id", "left_anti"), "open-citations")
+    late = _by_title(open_, have, many).unionByName(_without_title(open_, have, many)).distinct()
+    found = early.unionByName(_best(late, open_, have)).groupBy("citation_id").agg(F.min("x").alias("x"))
+    won = found.select(F.col("citation_id").alias("class_id"), "x.paper_id", "x.method", (-F.col("x.c")).alias("confidence"), (-F.col("x.s")).alias("similarity"))
     same = ["authors", "year", "words"]
-    members = shape(rest, "citation_id").alias("m").join(cited.withColumnRenamed("citation_id", "class_id").alias("k"), [F.col(f"m.{c}").eqNullSafe(F.col(f"k.{c}")) for c in same]).select("citation_id", "class_id")
-    told = _scored(sure, shape(citations, "citation_id"), shape(papers, "paper_id")).select("citation_id", "paper_id", F.lit("identifier").alias("method"), "confidence", "similarity")
+    members = rest.alias("m").join(cited.withColumnRenamed("citation_id", "class_id").alias("k"), [F.col(f"m.{c}").eqNullSafe(F.col(f"k.{c}")) for c in same]).select("citation_id", "class_id")
+    told = _scored(sure, given, own).select("citation_id", "paper_id", F.lit("identifier").alias("method"), "confidence", "similarity")
     return told.unionByName(members.join(won, "class_id").drop("class_id"))
 
 
+def _best(pairs: DataFrame, cited: DataFrame, papers: DataFrame) -> DataFrame:
+    """(citation_id, x) of each citation that a paper of its pairs matches, ``x`` being the best: method, confidence and similarity with less for more, paper_id."""
+    alike = F.col("similarity") > LEAST
+    by_author = (F.col("year") == F.col("paper_year")) & F.contains(F.concat_ws(" ", "paper_authors"), F.element_at("authors", 1)) & (alike | (F.size("words") == 0) | (F.size("paper_words") == 0))
+    method = F.when(F.when(F.size("authors") > 0, by_author).otherwise(False), "author").when(alike & _near("year", "paper_year"), "title")
+    found = _scored(pairs, cited, papers).withColumn("method", method).filter("method IS NOT NULL")
+    return found.groupBy("citation_id").agg(F.min(F.struct("method", (-F.col("confidence")).alias("c"), (-F.col("similarity")).alias("s"), "paper_id")).alias("x"))
+
+
 def _scored(pairs: DataFrame, cited: DataFrame, papers: DataFrame) -> DataFrame:
     """Pairs with both records, their confidence and the similarity of their titles."""
     other = papers.select("paper_id", F.col("authors").alias("paper_authors"), F.col("year").alias("paper_year"), F.col("words").alias("paper_words"))
     rows = pairs.join(cited.select("citation_id", "authors", "year", "words"), "citation_id").join(other, "paper_id")
-    common = F.size(F.array_intersect("words", "paper_words"))
-    similarity = F.round(common / F.greatest(F.size("words") + F.size("paper_words") - common, F.lit(1)), 6)
-    return rows.withColumn("similarity", similarity).withColumn("confidence", confidence(F.col("authors"), F.col("year"), F.col("paper_authors"), F.col("paper_year")))
+    return rows.withColumn("similarity", _similarity("words", "paper_words")).withColumn("confidence", confidence(F.col("authors"), F.col("year"), F.col("paper_authors"), F.col("paper_year")))

@@ -18,7 +18,7 @@ def papers(s, d):
     who = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     record = who.select(F.col("o_orderkey").alias("paper_id"), F.year("o_orderdate").alias("year"), F.array("c_name", "n_name").alias("authors"))
     k = F.col("paper_id")
-    title = F.array_join(F.slice(F.split("text", " "), 1, 12), " ")
+    title = F.array_join(F.slice(F.split("text", " ", 13), 1, 12), " ")
     docs = t.table(s, d, "documents").select(F.col("doc_id").alias("paper_id"), F.when(F.col("doc_id") % 11 != 3, title).alias("title"))
     return docs.join(record, "paper_id").withColumn("identifier", F.when(k % 5 == 0, F.concat(F.lit("Id:"), k.cast("string"))))
 

@@ -105,6 +105,30 @@ def test_random_records_equal_brute_force(spark):
     assert run(spark, citations, papers) == brute(citations, papers)
 
 
+@pytest.mark.parametrize("most", [0, 20])
+def test_frequent_authors_are_met_within_like_titles(spark, monkeypatch, most):
+    monkeypatch.setattr(linkage, "HOT", most)
+    test_every_way_and_every_null(spark)
+    test_random_records_equal_brute_force(spark)
+
+
+def test_copies_of_a_title_are_not_multiplied(spark, monkeypatch):
+    """Papers of one title by different authors were all compared with all citations of it."""
+    pairs = []
+
+    def scored(met, cited, papers, score=linkage._scored):
+        pairs.append(met.count())
+        return score(met, cited, papers)
+
+    monkeypatch.setattr(linkage, "_scored", scored)
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) * 2 for k in range(3)) + "-author"
+    papers = [(i, None, [name(i)], 2000 + i % 3, f"the one title of them all {i % 5}") for i in range(600)]
+    citations = [(i, None, [name(i) if i % 6 else "nobody"], 2000 + i % 3, "the one title of them all") for i in range(600)]
+    got = {r[0]: r[1] for r in run(spark, citations, papers)}
+    assert all(got[i] == i for i in got if i % 6) and len(got) == 600
+    assert sum(pairs) < 10 * 600
+
+
 def test_one_author_and_year_hold_a_third_of_all(spark):
     """Equal records are compared once, so copies of one reference don't multiply with copies of one paper."""
     papers = [(i, None, ["Same"], 2001, "the one title of them all") for i in range(2000)] + [(9000, None, ["Same"], 2001, None)]
