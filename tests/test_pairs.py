@@ -37,3 +37,9 @@ def test_counts_by_first_source_equal_those_of_pairs(spark):
     for k, *own in rows:
         want = Counter(next((i for i in range(3) if own[i] is not None and own[i] == o[i]), None) for j, *o in rows if j != k)
         assert got[k] == (want[0], want[1], want[2])
+
+
+def test_a_small_table_is_dealt_too(spark):
+    """Spark sent one side whole to the other's parts, so that a small table's pairs, of which there are many, were made by few tasks."""
+    plan = pairs_within(spark.range(50).withColumn("k", F.lit(1)), ["k"], "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
