@@ -67,7 +67,10 @@ def _author_names(cited: DataFrame, papers: DataFrame) -> DataFrame:
     frequency = have.groupBy("gram").agg(F.count("*").alias("df"))
     pieces = F.when(F.length("author") < GRAM, F.array("author")).otherwise(grams(F.col("author"), [GRAM]))
     rare = who.select("author", F.explode(pieces).alias("gram")).join(frequency, "gram").groupBy("author").agg(F.min(F.struct("df", "gram")).alias("x")).select("author", "x.gram")
-    return rare.join(have, "gram").filter(F.contains("names", F.col("author"))).select("author", "names", "n")
+    rare = staged(rare, "rare-pieces")
+    # pieces of most names that are no author's rarest would go to one task each; they are fewer than a thousandth of all
+    idle = F.broadcast(frequency.filter(F.col("df") > HOT).select("gram").join(rare, "gram", "left_anti"))
+    return rare.join(have.join(idle, "gram", "left_anti"), "gram").filter(F.contains("names", F.col("author"))).select("author", "names", "n")
 
 
 def _near(year: str, paper_year: str) -> Column:

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from evispark.operators import linkage
 from evispark.plans import linkage as plan
@@ -112,6 +113,16 @@ def test_frequent_authors_are_met_within_like_titles(spark, monkeypatch, most):
     test_random_records_equal_brute_force(spark)
 
 
+def test_pieces_that_most_names_share_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "HOT", 20)
+    names = [(f"customer#{i * 7919 % 100000:06}",) for i in range(100)]
+    papers = spark.createDataFrame(names, "names string").withColumn("authors", F.array("names"))
+    found = linkage._author_names(papers, papers)
+    assert found.count() == 100
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [gram" in plan and "LeftAnti" in plan
+
+
 def test_copies_of_a_title_are_not_multiplied(spark, monkeypatch):
     """Papers of one title by different authors were all compared with all citations of it."""
     pairs = []
